@@ -1,0 +1,5 @@
+"""Nothing here by design: every computation in scope is a batch over a finished panel.
+
+There is no event time, window state or late data to re-express, so the package
+adds no streaming operator.
+"""
