@@ -16,7 +16,7 @@ from dayloom.functions import kernels
 from dayloom.operators.models import NEIGHBOUR_MODEL, TREND_SUFFIX
 from dayloom.schema import DAY, KEY, LAGS, MEMORY, TARGET, WINDOWS
 
-_FORECAST = "series_id string, model string, ds date, y double, yhat double"
+FORECAST = "series_id string, model string, ds date, y double, yhat double"
 EPOCH = "1970-01-01"
 
 
@@ -74,7 +74,7 @@ def _days(row_last, offsets):
     return pd.to_datetime(row_last + offsets, unit="D").date
 
 
-def _calendar(row, horizon):
+def calendar_of(row, horizon):
     day = row.last_day + 1 + np.arange(horizon)
     return kernels.calendar_block((day - row.start_day).astype(float), day, row.periods)
 
@@ -86,12 +86,13 @@ def _exog_block(row, horizon, default):
     return block
 
 
-def _trend(row, horizon):
+def trend_of(row, horizon):
     t = row.last_day + 1 + np.arange(horizon) - row.start_day
     return row.c0 + row.c1 * t + row.c2 * t * t
 
 
-def _emit(row, names, paths):
+def emit(row, names, paths):
+    """Forecast rows of one series on its wanted days; ``paths`` is (models, horizon)."""
     offsets = np.asarray(row.offsets)
     m, k = len(names), len(offsets)
     return pd.DataFrame({
@@ -117,12 +118,12 @@ def _linear_walker(names, exog_default, add_trend, lags, windows):
                 d = row.d
                 w = np.asarray(row.weights).reshape(len(names), 2, d + 1)
                 known = np.column_stack([
-                    _calendar(row, longest), _exog_block(row, longest, exog_default)])
+                    calendar_of(row, longest), _exog_block(row, longest, exog_default)])
                 variants = [0, 1] if row.degree > 0 else [0]
                 for v in variants:
                     fixed = known @ w[:, v, used + len(windows):d].T + w[:, v, d]
                     if v and add_trend:
-                        fixed = fixed + _trend(row, longest)[:, None]
+                        fixed = fixed + trend_of(row, longest)[:, None]
                     r = np.zeros((len(names), len(lags) + len(windows)))
                     r[:, :used] = w[:, v, :used]
                     r[:, len(lags):] = w[:, v, used:used + len(windows)]
@@ -138,7 +139,7 @@ def _linear_walker(names, exog_default, add_trend, lags, windows):
                                  lags, windows)
             labels = np.asarray(labels, dtype=object)
             yield pd.concat([
-                _emit(row, labels[owners == i], paths[owners == i])
+                emit(row, labels[owners == i], paths[owners == i])
                 for i, row in enumerate(pdf.itertuples(index=False))
             ], ignore_index=True)
 
@@ -154,7 +155,7 @@ def walk_forward_linear(state: DataFrame, weights: DataFrame, names, exog_defaul
     """
     joined = state.join(weights.drop("n"), KEY)
     walker = _linear_walker(list(names), list(exog_default), add_trend, lags, windows)
-    return joined.mapInPandas(walker, _FORECAST)
+    return joined.mapInPandas(walker, FORECAST)
 
 
 def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
@@ -172,20 +173,20 @@ def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
             longest = int(max(row.offsets))
             used = sum(row.n_train > m for m in lags)
             picks = list(range(used)) + [len(lags) + i for i in range(len(windows))]
-            known = np.column_stack([_calendar(row, longest),
+            known = np.column_stack([calendar_of(row, longest),
                                      _exog_block(row, longest, default)])
             for column, suffix in ((TARGET, ""), ("detrended", TREND_SUFFIX)):
                 if suffix and row.degree <= 0:
                     continue
                 y = right[column].to_numpy()
-                lift = (_trend(row, longest) if suffix and add_trend else np.zeros(longest))
+                lift = (trend_of(row, longest) if suffix and add_trend else np.zeros(longest))
 
                 def step(h, z):
                     q = np.concatenate([z[0, picks], known[h]])
                     return kernels.nearest_mean(x, y, q, k) + lift[h]
 
                 path = kernels.walk([row.hist], longest, step, lags, windows)
-                frames.append(_emit(row, np.asarray([NEIGHBOUR_MODEL + suffix], dtype=object), path))
+                frames.append(emit(row, np.asarray([NEIGHBOUR_MODEL + suffix], dtype=object), path))
         schema = pa.schema([("series_id", pa.string()), ("model", pa.string()),
                             ("ds", pa.date32()), ("y", pa.float64()), ("yhat", pa.float64())])
         if not frames:
@@ -196,7 +197,7 @@ def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
     own = state.toDF(*state.columns)
     return own.groupBy(KEY).cogroup(
         vectors.select(KEY, DAY, TARGET, "detrended", "x").groupBy(KEY)
-    ).applyInArrow(run, _FORECAST)
+    ).applyInArrow(run, FORECAST)
 
 
 def flat_fallback(forecasts: DataFrame, wanted: DataFrame, panel: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.operators import evaluate, exog, forecast, models, trend
+from dayloom.operators import evaluate, exog, forecast, models, trees, trend
 from dayloom.operators.features import feature_vectors
 from dayloom.operators.panel import known_rows, with_last_observed
 from dayloom.operators.seasonality import merged_periods
+from dayloom.plans.stage import stage_by_series
 from dayloom.schema import DAY, KEY, PERIODS, TARGET, TEST_FRACTION
 
 # Models whose fit and recursion run per series in one job each.
@@ -54,6 +55,21 @@ def _state(split, facts, plan):
     )
 
 
+def run_trees(split: DataFrame, facts: DataFrame, chosen=tuple(models.TREE_MODELS),
+              add_trend=True) -> DataFrame:
+    """Pooled tree models; fits run eagerly, the recursion is lazy."""
+    train = split.filter("part = 'train'").drop("part", "n_known")
+    fixed = F.array(*[F.lit(p) for p in PERIODS])
+    scaled = facts.withColumn("periods", fixed).join(trees.series_scale(train), KEY)
+    rows = trees.scaled_vectors(_vectors(train, facts.withColumn("periods", fixed), []), scaled)
+    # Every boosting round reads these rows: keep them, Spark rebuilds lost blocks.
+    rows = rows.persist()
+    fitted = trees.fit_trees(rows, chosen)
+    rows.unpersist()
+    state = _state(split, facts.withColumn("periods", fixed), [])
+    return trees.walk_forward_trees(state, scaled, fitted, add_trend)
+
+
 def run_models(split: DataFrame, facts: DataFrame, chosen=SERIES_MODELS, plan=(),
                add_trend=True) -> DataFrame:
     """Fit on ``part = 'train'`` and walk through ``part = 'test'`` rows."""
@@ -71,6 +87,9 @@ def run_models(split: DataFrame, facts: DataFrame, chosen=SERIES_MODELS, plan=()
     if models.NEIGHBOUR_MODEL in chosen:
         parts.append(forecast.walk_forward_knn(state, vectors, exog_default=default,
                                                add_trend=add_trend))
+    tree_names = [m for m in chosen if m in models.TREE_MODELS]
+    if tree_names:
+        parts.append(run_trees(split, facts, tree_names, add_trend))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -96,7 +115,7 @@ def benchmark(panel: DataFrame, chosen=SERIES_MODELS, test_fraction=TEST_FRACTIO
     train = split.filter("part = 'train'")
     plan = exog_plan(train.drop("part", "n_known")) if with_exog else []
     chosen_trend = trend.trend_choice(train, known_rows(panel), leak_free)
-    facts = _facts(train, chosen_trend, detect_periods)
+    facts = stage_by_series(_facts(train, chosen_trend, detect_periods))
     forecasts = run_models(split, facts, chosen, plan)
     return Benchmark(evaluate.leaderboard(evaluate.metrics(forecasts)), forecasts)
 
@@ -117,7 +136,7 @@ def forecast_future(panel: DataFrame, chosen=SERIES_MODELS, detect_periods=True,
     split = as_future_split(panel)
     train = split.filter("part = 'train'")
     plan = exog_plan(train.drop("part")) if with_exog else []
-    facts = _facts(train, _no_trend(train), detect_periods)
+    facts = stage_by_series(_facts(train, _no_trend(train), detect_periods))
     return run_models(split, facts, chosen, plan).drop("y")
 
 

@@ -107,10 +107,20 @@ def _strptime(fmt):
     return "".join("%d" if c == "d" else c for c in out) if "%" in out else out
 
 
+def _digits(fmt):
+    """The oracle's parser takes short years for long ones; digits are counted first."""
+    if fmt.startswith("yyyy"):
+        return r"\d{4}\D.*"
+    if fmt.startswith("yy"):
+        return r"\d{2}\D.*"
+    return r".*\D\d{4}" if fmt.endswith("yyyy") else r".*\D\d{2}"
+
+
 def _parsed_list(formats):
     return " UNION ALL ".join(
         f"SELECT series_id, ds, {i} AS priority, '{f}' AS fmt, "
-        f"CAST(try_strptime(d, '{_strptime(f)}') AS DATE) AS day FROM texts"
+        f"CASE WHEN regexp_full_match(d, '{_digits(f)}') "
+        f"THEN CAST(try_strptime(d, '{_strptime(f)}') AS DATE) END AS day FROM texts"
         for i, f in enumerate(formats)
     )
 
@@ -147,7 +157,7 @@ def detect_format_sample(spark, sf_dir):
 
 
 @query("checklist", f"""WITH {FLAWED}, s AS (SELECT series_id, COUNT(*) AS n,
- {_NULLS} AS fn, COUNT(*) FILTER (y IS NULL) AS tn, {_TRAILING} AS trailing,
+ {_NULLS} AS fn, COUNT(*) FILTER (y IS NULL) AS tn, {_TRAILING} AS at_end,
  MAX(ds) - MIN(ds) + 1 = COUNT(DISTINCT ds) AND COUNT(*) = COUNT(DISTINCT ds) AS daily
  FROM panel GROUP BY 1)
  SELECT series_id, 'rows' AS "check", CASE WHEN n > 10000 THEN 'error' ELSE 'ok' END AS status,
@@ -155,8 +165,8 @@ def detect_format_sample(spark, sf_dir):
  UNION ALL SELECT series_id, 'columns', 'ok', '5 columns' FROM s
  UNION ALL SELECT series_id, 'feature_nulls', CASE WHEN fn > 0 THEN 'error' ELSE 'ok' END,
   CASE WHEN fn > 0 THEN fn || ' feature cells missing' ELSE 'features complete' END FROM s
- UNION ALL SELECT series_id, 'target_nulls', CASE WHEN trailing THEN 'ok' ELSE 'error' END,
-  CASE WHEN trailing THEN tn || ' targets to predict'
+ UNION ALL SELECT series_id, 'target_nulls', CASE WHEN at_end THEN 'ok' ELSE 'error' END,
+  CASE WHEN at_end THEN tn || ' targets to predict'
   ELSE 'missing targets must close the series' END FROM s
  UNION ALL SELECT series_id, 'daily', CASE WHEN daily THEN 'ok' ELSE 'error' END,
   CASE WHEN daily THEN 'days are consecutive' ELSE 'days are not one step apart' END FROM s""")

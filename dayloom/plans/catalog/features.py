@@ -96,16 +96,12 @@ def seasonal_panel(spark, sf_dir):
 
 
 def _acf_sql(source):
-    return f"""src AS ({source}), known AS (SELECT series_id, y, ROW_NUMBER() OVER
-  (PARTITION BY series_id ORDER BY ds) AS pos FROM src WHERE y IS NOT NULL),
- stat AS (SELECT series_id, COUNT(*) AS n, AVG(y) AS m FROM known GROUP BY 1 HAVING COUNT(*) >= 16),
- c AS (SELECT known.series_id, pos, y - m AS d, n FROM known JOIN stat USING (series_id)),
- v AS (SELECT series_id, SUM(d * d) AS s FROM c GROUP BY 1),
- lags AS (SELECT series_id, n, UNNEST(range(0, LEAST(400, GREATEST(1, n // 2)) + 1)) AS k FROM stat),
- prods AS (SELECT l.series_id, l.n, l.k, SUM(a.d * b.d) AS p FROM lags l
-  JOIN c a ON a.series_id = l.series_id
-  JOIN c b ON b.series_id = a.series_id AND b.pos = a.pos + l.k GROUP BY 1, 2, 3),
- acf AS (SELECT series_id, n, CAST(k AS INTEGER) AS k, p / s AS acf FROM prods JOIN v USING (series_id))"""
+    return f"""src AS ({source}), whole AS (SELECT series_id, COUNT(*) AS n, AVG(y) AS m,
+  list(y ORDER BY ds) AS ys FROM src WHERE y IS NOT NULL GROUP BY 1 HAVING COUNT(*) >= 16),
+ c AS (SELECT series_id, n, list_transform(ys, lambda v: v - m) AS d FROM whole),
+ lags AS (SELECT *, UNNEST(range(0, LEAST(400, GREATEST(1, n // 2)) + 1)) AS k FROM c),
+ acf AS (SELECT series_id, n, CAST(k AS INTEGER) AS k,
+  list_inner_product(d[1:n - k], d[k + 1:n]) / list_inner_product(d, d) AS acf FROM lags)"""
 
 
 @query("acf", f"WITH {_acf_sql(MIXED_SQL)} SELECT series_id, n, k, {r('acf')} AS acf FROM acf")

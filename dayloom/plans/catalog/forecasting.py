@@ -163,6 +163,11 @@ def benchmark_models(spark, sf_dir):
     return jobs.benchmark(stage_panel(lineitem_daily(spark, sf_dir))).scores
 
 
+@query("benchmark_trees")
+def benchmark_trees(spark, sf_dir):
+    return jobs.benchmark(stage_panel(lineitem_daily(spark, sf_dir)), tuple(models.TREE_MODELS)).scores
+
+
 @query("benchmark_exog")
 def benchmark_exog(spark, sf_dir):
     return jobs.benchmark(stage_panel(exog_panel(spark, sf_dir)), RIDGES).scores
@@ -190,5 +195,3 @@ def future_top3(spark, sf_dir):
     chosen = RIDGES + ("BayesianRidge", "SGD")
     scores = jobs.benchmark(panel, chosen).scores
     return jobs.future_of_top(panel, scores, chosen)
-
-

@@ -21,7 +21,9 @@ def standardize(spark, sf_dir):
     return out.withColumn("disc", rnd("disc"))
 
 
-@query("parse_mixed_dates", f"WITH {TEXTS} SELECT series_id, d AS raw_date, ds, y FROM texts")
+@query("parse_mixed_dates", f"""WITH {TEXTS} SELECT series_id, d AS raw_date, y,
+ CASE WHEN series_id = 'A' THEN CAST(COALESCE(try_strptime(d, '%m/%d/%Y'), try_strptime(d, '%d/%m/%Y'))
+  AS DATE) ELSE ds END AS ds FROM texts""")
 def parse_mixed_dates(spark, sf_dir):
     # 'yy-MM-dd' texts need a known format, every other spelling is parsed cell by cell.
     raw = _texts(mixed_panel(spark, sf_dir)).drop(DAY).withColumn("raw_date", F.col("Date"))

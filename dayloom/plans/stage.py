@@ -8,21 +8,26 @@ from dayloom.schema import DAY, KEY
 from dayloom.session import shared_dir
 
 
-def stage_panel(panel: DataFrame, buckets=None) -> DataFrame:
-    """Save the panel as a table bucketed and sorted by series in the shared folder.
+def stage_by_series(df: DataFrame, sort=(KEY,), buckets=None) -> DataFrame:
+    """Save a table bucketed by series in the shared folder and read it back.
 
-    Raw data is scanned and aggregated a single time; windows, grouped tasks and joins
-    keyed by series then read co-located buckets without an exchange.  The table also
-    ends the lineage: a lost executor re-reads its bucket instead of the raw data.
+    Windows, grouped tasks and joins keyed by series then read co-located buckets
+    without an exchange.  The table also ends the lineage: a lost executor re-reads its
+    bucket instead of recomputing it from raw data.
     """
-    spark = panel.sparkSession
+    spark = df.sparkSession
     buckets = int(buckets or spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"dayloom_panel_{uuid.uuid4().hex}"
+    name = f"dayloom_{uuid.uuid4().hex}"
     (
-        panel.repartition(buckets, KEY)
+        df.repartition(buckets, KEY)
         .write.format("parquet")
         .option("path", f"{shared_dir(spark)}/{name}")
-        .bucketBy(buckets, KEY).sortBy(KEY, DAY)
+        .bucketBy(buckets, KEY).sortBy(*sort)
         .saveAsTable(name)
     )
     return spark.table(name)
+
+
+def stage_panel(panel: DataFrame, buckets=None) -> DataFrame:
+    """Raw data is scanned and aggregated a single time, then laid out by series and day."""
+    return stage_by_series(panel, (KEY, DAY), buckets)
