@@ -7,7 +7,6 @@ driver loop over steps and no lineage to cut.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,11 @@ from dayloom.operators.models import NEIGHBOUR_MODEL, TREND_SUFFIX
 from dayloom.schema import DAY, KEY, LAGS, MEMORY, TARGET, WINDOWS
 
 FORECAST = "series_id string, model string, ds date, y double, yhat double"
+_FORECAST_SCHEMA = pa.schema([
+    ("series_id", pa.string()), ("model", pa.string()), ("ds", pa.date32()),
+    ("y", pa.float64()), ("yhat", pa.float64())])
 EPOCH = "1970-01-01"
+PATH_CELLS = 4_000_000  # values held at once by a recursion stage, about 32 MB
 
 
 def calendar_gaps(split: DataFrame) -> DataFrame:
@@ -70,10 +73,6 @@ def recursion_state(split: DataFrame, exog_plan=(), exog_arrays=None) -> DataFra
     )
 
 
-def _days(row_last, offsets):
-    return pd.to_datetime(row_last + offsets, unit="D").date
-
-
 def calendar_of(row, horizon):
     day = row.last_day + 1 + np.arange(horizon)
     return kernels.calendar_block((day - row.start_day).astype(float), day, row.periods)
@@ -91,57 +90,70 @@ def trend_of(row, horizon):
     return row.c0 + row.c1 * t + row.c2 * t * t
 
 
-def emit(row, names, paths):
-    """Forecast rows of one series on its wanted days; ``paths`` is (models, horizon)."""
-    offsets = np.asarray(row.offsets)
-    m, k = len(names), len(offsets)
-    return pd.DataFrame({
-        "series_id": row.series_id, "model": np.repeat(names, k),
-        "ds": np.tile(np.asarray(_days(row.last_day, offsets)), m),
-        "y": np.tile(np.asarray(row.actual, dtype=float), m),
-        "yhat": np.asarray(paths)[:, offsets - 1].reshape(-1),
-    })
+def chunks(pdf, paths_per_series):
+    """State rows in slices of alike horizon whose path matrix stays small.
 
+    Sorting by horizon keeps short series from being carried along a long one.
+    """
+    horizon = pdf["offsets"].map(max).to_numpy()
+    order = np.argsort(horizon, kind="stable")[::-1]
+    start = 0
+    while start < len(order):
+        longest = int(horizon[order[start]])
+        size = max(1, PATH_CELLS // (paths_per_series * (MEMORY + longest)))
+        yield longest, list(pdf.iloc[order[start:start + size]].itertuples(index=False))
+        start += size
+
+
+def emit(rows, owners, labels, paths):
+    """Forecast rows on wanted days: one path per (owner series, model label)."""
+    offsets = [np.asarray(r.offsets) for r in rows]
+    actual = [np.asarray(r.actual, dtype=float) for r in rows]
+    counts = np.array([len(offsets[o]) for o in owners])
+    steps = np.concatenate([offsets[o] for o in owners])
+    path = np.repeat(np.arange(len(owners)), counts)
+    last_day = np.array([r.last_day for r in rows])[owners]
+    keys = np.array([r.series_id for r in rows], dtype=object)[owners]
+    y = np.concatenate([actual[o] for o in owners])
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.repeat(keys, counts), pa.string()),
+        pa.array(np.repeat(np.asarray(labels, dtype=object), counts), pa.string()),
+        pa.array((np.repeat(last_day, counts) + steps).astype(np.int32)).view(pa.date32()),
+        pa.array(y, pa.float64(), mask=np.isnan(y)),
+        pa.array(paths[path, steps - 1], pa.float64()),
+    ], names=["series_id", "model", "ds", "y", "yhat"])
 
 
 def _linear_walker(names, exog_default, add_trend, lags, windows):
     """Map stage over state rows joined with weights."""
+    def walk_chunk(longest, rows):
+        base, recent, labels, owners = [], [], [], []
+        for i, row in enumerate(rows):
+            used = sum(row.n_train > n for n in lags)
+            d = row.d
+            w = np.asarray(row.weights).reshape(len(names), 2, d + 1)
+            known = np.column_stack([
+                calendar_of(row, longest), _exog_block(row, longest, exog_default)])
+            for v in (0, 1) if row.degree > 0 else (0,):
+                fixed = known @ w[:, v, used + len(windows):d].T + w[:, v, d]
+                if v and add_trend:
+                    fixed = fixed + trend_of(row, longest)[:, None]
+                r = np.zeros((len(names), len(lags) + len(windows)))
+                r[:, :used] = w[:, v, :used]
+                r[:, len(lags):] = w[:, v, used:used + len(windows)]
+                base.append(fixed.T)
+                recent.append(r)
+                labels += [m + (TREND_SUFFIX if v else "") for m in names]
+                owners += [i] * len(names)
+        base, recent = np.concatenate(base), np.concatenate(recent)
+        paths = kernels.walk([rows[o].hist for o in owners], longest,
+                             lambda h, z: base[:, h] + (z * recent).sum(axis=1), lags, windows)
+        return emit(rows, owners, labels, paths)
+
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            horizons = [int(max(o)) for o in pdf["offsets"]]
-            longest = max(horizons)
-            base, recent, labels, owners = [], [], [], []
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                used = sum(row.n_train > n for n in lags)
-                d = row.d
-                w = np.asarray(row.weights).reshape(len(names), 2, d + 1)
-                known = np.column_stack([
-                    calendar_of(row, longest), _exog_block(row, longest, exog_default)])
-                variants = [0, 1] if row.degree > 0 else [0]
-                for v in variants:
-                    fixed = known @ w[:, v, used + len(windows):d].T + w[:, v, d]
-                    if v and add_trend:
-                        fixed = fixed + trend_of(row, longest)[:, None]
-                    r = np.zeros((len(names), len(lags) + len(windows)))
-                    r[:, :used] = w[:, v, :used]
-                    r[:, len(lags):] = w[:, v, used:used + len(windows)]
-                    base.append(fixed.T)
-                    recent.append(r)
-                    labels += [m + (TREND_SUFFIX if v else "") for m in names]
-                    owners += [i] * len(names)
-            base, recent = np.concatenate(base), np.concatenate(recent)
-            owners = np.asarray(owners)
-            hist = pdf["hist"].to_list()
-            paths = kernels.walk([hist[o] for o in owners], longest,
-                                 lambda h, z: base[:, h] + (z * recent).sum(axis=1),
-                                 lags, windows)
-            labels = np.asarray(labels, dtype=object)
-            yield pd.concat([
-                emit(row, labels[owners == i], paths[owners == i])
-                for i, row in enumerate(pdf.itertuples(index=False))
-            ], ignore_index=True)
+        for batch in batches:
+            for longest, rows in chunks(batch.to_pandas(), 2 * len(names)):
+                yield walk_chunk(longest, rows)
 
     return run
 
@@ -155,7 +167,7 @@ def walk_forward_linear(state: DataFrame, weights: DataFrame, names, exog_defaul
     """
     joined = state.join(weights.drop("n"), KEY)
     walker = _linear_walker(list(names), list(exog_default), add_trend, lags, windows)
-    return joined.mapInPandas(walker, FORECAST)
+    return joined.mapInArrow(walker, FORECAST)
 
 
 def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
@@ -164,12 +176,13 @@ def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
     default = list(exog_default)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        frames = []
+        paths, labels, rows = [], [], []
         if left.num_rows and right.num_rows:
             right = right.sort_by("ds")
             n = right.num_rows
             x = np.asarray(right["x"].combine_chunks().flatten()).reshape(n, -1)
             row = next(left.to_pandas().itertuples(index=False))
+            rows = [row]
             longest = int(max(row.offsets))
             used = sum(row.n_train > m for m in lags)
             picks = list(range(used)) + [len(lags) + i for i in range(len(windows))]
@@ -185,13 +198,12 @@ def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
                     q = np.concatenate([z[0, picks], known[h]])
                     return kernels.nearest_mean(x, y, q, k) + lift[h]
 
-                path = kernels.walk([row.hist], longest, step, lags, windows)
-                frames.append(emit(row, np.asarray([NEIGHBOUR_MODEL + suffix], dtype=object), path))
-        schema = pa.schema([("series_id", pa.string()), ("model", pa.string()),
-                            ("ds", pa.date32()), ("y", pa.float64()), ("yhat", pa.float64())])
-        if not frames:
-            return schema.empty_table()
-        return pa.Table.from_pandas(pd.concat(frames), schema=schema, preserve_index=False)
+                paths.append(kernels.walk([row.hist], longest, step, lags, windows)[0])
+                labels.append(NEIGHBOUR_MODEL + suffix)
+        if not paths:
+            return _FORECAST_SCHEMA.empty_table()
+        batch = emit(rows, [0] * len(paths), labels, np.stack(paths))
+        return pa.Table.from_batches([batch], schema=_FORECAST_SCHEMA)
 
     # Fresh column identities: both sides may come from the same panel.
     own = state.toDF(*state.columns)

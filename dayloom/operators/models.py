@@ -33,6 +33,7 @@ ROW_MODELS = {
     "SVR (Linear)": ("insensitive", {"c": 1.0, "epsilon": 0.1, "penalise_intercept": False}),
     "LinearSVR": ("insensitive", {"c": 1.0, "epsilon": 0.0, "penalise_intercept": True}),
 }
+STACK = 512  # series solved together; a 40-wide Gram matrix stack is then about 7 MB
 LINEAR_MODELS = tuple(MOMENT_MODELS) + tuple(ROW_MODELS)
 NEIGHBOUR_MODEL = "KNN (n_neighbors=5)"
 TREE_MODELS = {
@@ -145,21 +146,20 @@ def _solve_stack(names, n, mean_x, scale, mean_y, gram, cross, yy):
 def _solve(names):
     def run(batches):
         for pdf in batches:
-            parts = []
-            # Series of one width are solved as one stack.
-            for d, g in pdf.groupby("d", sort=False):
-                s = len(g)
-                stacked = {c: np.stack(g[c].to_numpy()) for c in
-                           ("mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights")}
-                own = _solve_stack(
-                    names, g["n"].to_numpy(), stacked["mean_x"], stacked["scale_x"],
-                    stacked["mean_y"], stacked["gram"].reshape(s, d, d),
-                    stacked["cross"].reshape(s, d, 2), stacked["yy"])
-                weights = np.concatenate([own.reshape(s, -1), stacked["row_weights"]], axis=1)
-                parts.append(pd.DataFrame({"series_id": g["series_id"], "n": g["n"], "d": d,
-                                           "weights": list(weights)}))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            # Series of one width are solved as one stack, in slices of bounded size.
+            for d, same in pdf.groupby("d", sort=False):
+                for at in range(0, len(same), STACK):
+                    g = same.iloc[at:at + STACK]
+                    s = len(g)
+                    stacked = {c: np.stack(g[c].to_numpy()) for c in
+                               ("mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights")}
+                    own = _solve_stack(
+                        names, g["n"].to_numpy(), stacked["mean_x"], stacked["scale_x"],
+                        stacked["mean_y"], stacked["gram"].reshape(s, d, d),
+                        stacked["cross"].reshape(s, d, 2), stacked["yy"])
+                    weights = np.concatenate([own.reshape(s, -1), stacked["row_weights"]], axis=1)
+                    yield pd.DataFrame({"series_id": g["series_id"], "n": g["n"], "d": d,
+                                        "weights": list(weights)})
 
     return run
 

@@ -11,7 +11,6 @@ import re
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import DataFrame
@@ -130,33 +129,34 @@ def fit_trees(rows: DataFrame, chosen=tuple(TREE_MODELS), parallel=8):
 
 
 def _walker(fitted, add_trend, lags, windows):
+    def walk_chunk(longest, rows):
+        used = np.array([sum(r.n_train > m for m in lags) for r in rows])
+        known = [forecast.calendar_of(r, longest) for r in rows]
+        lift = np.stack([forecast.trend_of(r, longest) for r in rows])
+        mean, std = np.array([r.mean_y for r in rows]), np.array([r.std_y for r in rows])
+        sloped = np.array([r.degree > 0 for r in rows])
+        for (name, n_lags, variant), ensemble in fitted.items():
+            on = np.flatnonzero((used == n_lags) & (sloped if variant else True))
+            if not len(on):
+                continue
+            picks = list(range(n_lags)) + [len(lags) + i for i in range(len(windows))]
+            calendar = np.stack([known[i] for i in on])
+
+            def step(h, z):
+                recent = (z[:, picks] - mean[on, None]) / std[on, None]
+                y = predict_trees(ensemble, np.column_stack([recent, calendar[:, h]])) * std[on]
+                if not variant:
+                    return y + mean[on]
+                return y + lift[on, h] if add_trend else y
+
+            paths = kernels.walk([rows[i].hist for i in on], longest, step, lags, windows)
+            yield forecast.emit(rows, on, [name + variant] * len(on), paths)
+
     def run(batches):
-        for pdf in batches:
-            classes = pdf["n_train"].map(lambda n: sum(n > m for m in lags))
-            for n_lags, g in pdf.groupby(classes, sort=False):
-                rows = list(g.itertuples(index=False))
-                longest = max(int(max(r.offsets)) for r in rows)
-                known = np.stack([forecast.calendar_of(r, longest) for r in rows])
-                mean, std = g["mean_y"].to_numpy(), g["std_y"].to_numpy()
-                picks = list(range(n_lags)) + [len(lags) + i for i in range(len(windows))]
-                lift = np.stack([forecast.trend_of(r, longest) for r in rows])
-                sloped = g["degree"].to_numpy() > 0
-                for (name, k, variant), ensemble in fitted.items():
-                    on = np.flatnonzero(sloped) if variant else np.arange(len(rows))
-                    if k != n_lags or not len(on):
-                        continue
-
-                    def step(h, z):
-                        recent = (z[:, picks] - mean[on, None]) / std[on, None]
-                        y = predict_trees(ensemble, np.column_stack([recent, known[on, h]])) * std[on]
-                        if not variant:
-                            return y + mean[on]
-                        return y + lift[on, h] if add_trend else y
-
-                    paths = kernels.walk([rows[i].hist for i in on], longest, step, lags, windows)
-                    label = np.asarray([name + variant], dtype=object)
-                    yield pd.concat([forecast.emit(rows[i], label, paths[[j]])
-                                     for j, i in enumerate(on)], ignore_index=True)
+        for batch in batches:
+            # A calendar row is some thirty values wide, hence the smaller slices.
+            for longest, rows in forecast.chunks(batch.to_pandas(), 32):
+                yield from walk_chunk(longest, rows)
 
     return run
 
@@ -164,5 +164,5 @@ def _walker(fitted, add_trend, lags, windows):
 def walk_forward_trees(state: DataFrame, facts: DataFrame, fitted, add_trend=True, lags=LAGS,
                        windows=WINDOWS) -> DataFrame:
     joined = state.join(facts.select(KEY, "mean_y", "std_y"), KEY)
-    return joined.mapInPandas(_walker(fitted, add_trend, lags, windows), forecast.FORECAST)
+    return joined.mapInArrow(_walker(fitted, add_trend, lags, windows), forecast.FORECAST)
 
