@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.operators.panel import by_day, whole_series
+from dayloom.operators.panel import by_day, by_series, whole_series
 from dayloom.schema import DAY, HARMONICS, KEY, LAGS, PERIODS, TARGET, WINDOWS
 
 
@@ -132,8 +132,8 @@ def feature_vectors(panel: DataFrame, periods: Column = None, exog=(), extra=(),
     """Model-edge form: complete rows only, features of one row as ``x`` ARRAY<DOUBLE>.
 
     The array holds just the lags the series is long enough for, and the Fourier
-    terms of its own periods (``periods`` array column), so its length may differ
-    between series but never within one.
+    terms of its own periods (array column as made by ``merge_periods``), so its length
+    may differ between series but never within one.
     """
     keep = [c if isinstance(c, Column) else F.col(c) for c in extra]
     ordered = panel.select(
@@ -142,8 +142,12 @@ def feature_vectors(panel: DataFrame, periods: Column = None, exog=(), extra=(),
     )
     used = sum((F.when(F.col("n_rows") > n, 1).otherwise(0) for n in lags), F.lit(0))
     t = F.col("trend")
-    fourier = (F.array(*fourier_columns(t)) if periods is None
-               else fourier_vector(t, periods, harmonics))
+    fourier = F.array(*fourier_columns(t, PERIODS, harmonics))
+    if periods is not None:
+        # The fixed periods come first in every list; only the rest varies by series.
+        n_fixed = len(PERIODS)
+        detected = F.slice(periods, n_fixed + 1, F.greatest(F.size(periods) - n_fixed, F.lit(0)))
+        fourier = F.concat(fourier, fourier_vector(t, detected, harmonics))
     exog = list(exog)
     parts = [
         F.slice(F.array(*[F.col(lag_name(n)) for n in lags]), F.lit(1), used),
@@ -177,11 +181,16 @@ def feature_info(panel: DataFrame, lags=LAGS, windows=WINDOWS, periods=PERIODS,
 
 
 def standard_scale(rows: DataFrame, columns) -> DataFrame:
-    """Per-series z-scores with the population deviation; a constant column divides by 1."""
+    """Per-series z-scores with the population deviation; a constant column divides by 1.
+
+    Means are window aggregates over the series, so the rows are read once and stay in
+    the partitioning the feature windows gave them.
+    """
     columns = list(columns)
-    stats = rows.groupBy(KEY).agg(
-        *[F.avg(c).alias(f"{c}__mean") for c in columns],
-        *[F.stddev_pop(c).alias(f"{c}__std") for c in columns],
+    rest = [c for c in rows.columns if c not in columns and c != KEY]
+    stats = rows.select(
+        "*", *[F.avg(c).over(by_series()).alias(f"{c}__mean") for c in columns],
+        *[F.stddev_pop(c).over(by_series()).alias(f"{c}__std") for c in columns],
     )
 
     def scaled(c):
@@ -189,8 +198,7 @@ def standard_scale(rows: DataFrame, columns) -> DataFrame:
         constant = std <= F.abs(F.col(f"{c}__mean")) * 1e-14
         return F.when(constant, centred).otherwise(centred / F.when(~constant, std)).alias(c)
 
-    rest = [c for c in rows.columns if c not in columns and c != KEY]
-    return rows.join(stats, KEY).select(KEY, *rest, *[scaled(c) for c in columns])
+    return stats.select(KEY, *rest, *[scaled(c) for c in columns])
 
 
 def series_state(panel: DataFrame) -> DataFrame:

@@ -22,18 +22,19 @@ def query(name, sql=None):
     return add
 
 
-# Exact decimal ties round differently in the two engines; both move off them first.
-NUDGE = 1 + 1e-13
+# Exact decimal ties round differently in the two engines: both shift by the same small
+# part of the last kept digit before rounding, which moves every tie to one side.
+SHIFT = 0.1234567
 
 
 def rnd(col, digits=6):
     """Rounded for comparison; adding zero turns -0.0 into 0.0."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.round(col * F.lit(NUDGE), digits) + F.lit(0.0)
+    return F.round(col + F.lit(SHIFT * 10.0 ** -digits), digits) + F.lit(0.0)
 
 
 def r(expr, digits=6):
-    return f"(ROUND(({expr}) * CAST({NUDGE!r} AS DOUBLE), {digits}) + 0.0)"
+    return f"(ROUND(({expr}) + CAST({SHIFT * 10.0 ** -digits!r} AS DOUBLE), {digits}) + 0.0)"
 
 
 def table(spark, sf_dir, name):

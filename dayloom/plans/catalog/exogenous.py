@@ -7,12 +7,18 @@ from dayloom.operators import exog, panel as panel_ops
 from dayloom.plans.catalog.base import (
     MASKED_EXOG_SQL, exog_panel, masked_exog_panel, query, r, rnd, table, EXOG_SQL,
 )
+from dayloom.plans.stage import stage_panel
 from dayloom.schema import DAY, KEY
 
 _SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
 SOURCES = ("disc", "status", "labels")
 
 
+def staged(spark, sf_dir):
+    """Kinds, levels and encodings each read the panel: aggregate the raw rows once."""
+    return stage_panel(masked_exog_panel(spark, sf_dir))
+
+
 def _with_texts(panel):
     """Near-numeric columns: numbers on four, respectively five, days of a week."""
     day = F.weekday(DAY)
@@ -52,7 +58,7 @@ def exog_kinds(spark, sf_dir):
 @query("exog_numeric", f"""WITH panel AS ({MASKED_EXOG_SQL})
  SELECT series_id, ds, {r('disc')} AS x_disc FROM panel""")
 def exog_numeric(spark, sf_dir):
-    return _encoded(masked_exog_panel(spark, sf_dir), ("disc",))
+    return _encoded(staged(spark, sf_dir), ("disc",))
 
 
 def _plan(panel, columns):
@@ -79,13 +85,13 @@ _LABELS = ", ".join(_flag(f"list_contains(string_split(labels, ','), '{v}')", f"
 @query("exog_categorical", f"""WITH panel AS ({MASKED_EXOG_SQL})
  SELECT series_id, ds, {_STATUS} FROM panel""")
 def exog_categorical(spark, sf_dir):
-    return _encoded(masked_exog_panel(spark, sf_dir), ("status",))
+    return _encoded(staged(spark, sf_dir), ("status",))
 
 
 @query("exog_multilabel", f"""WITH panel AS ({MASKED_EXOG_SQL})
  SELECT series_id, ds, {_LABELS} FROM panel""")
 def exog_multilabel(spark, sf_dir):
-    return _encoded(masked_exog_panel(spark, sf_dir), ("labels",))
+    return _encoded(staged(spark, sf_dir), ("labels",))
 
 
 @query("exog_long", f"""WITH panel AS ({MASKED_EXOG_SQL})
@@ -93,7 +99,7 @@ def exog_multilabel(spark, sf_dir):
  UNION ALL SELECT series_id, ds, 'x_status_' || COALESCE(status, 'nan'), 1.0 FROM panel
  UNION ALL SELECT series_id, ds, 'm_labels_' || UNNEST(string_split(labels, ',')), 1.0 FROM panel""")
 def exog_long(spark, sf_dir):
-    panel = masked_exog_panel(spark, sf_dir)
+    panel = staged(spark, sf_dir)
     levels = exog.exog_levels(panel, exog.exog_kinds(panel, SOURCES), SOURCES)
     return exog.encode_long(panel, levels, SOURCES).withColumn("value", rnd("value"))
 
@@ -139,7 +145,7 @@ def sanitize_token_query(spark, sf_dir):
   FROM seen WHERE ds > lo)
  SELECT series_id, ds, {r('COALESCE(disc, 0.0)')} AS x_disc, {_STATUS}, {_LABELS} FROM blanked""")
 def future_exog(spark, sf_dir):
-    panel = masked_exog_panel(spark, sf_dir)
+    panel = staged(spark, sf_dir)
     plan = _plan(panel_ops.known_rows(panel), SOURCES)
     day = F.weekday(DAY)
     future = panel_ops.future_rows(panel).withColumns({

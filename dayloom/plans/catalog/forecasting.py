@@ -67,7 +67,7 @@ def walk_forward_ma7(spark, sf_dir):
  SELECT d.series_id, d.ds, s.ds IS NOT NULL AS wanted FROM days d
  LEFT JOIN (SELECT * FROM split WHERE part = 'test') s ON s.series_id = d.series_id AND s.ds = d.ds""")
 def calendar_gaps(spark, sf_dir):
-    return forecast.calendar_gaps(evaluate.time_split(mixed_panel(spark, sf_dir)))
+    return forecast.calendar_gaps(evaluate.time_split(stage_panel(mixed_panel(spark, sf_dir))))
 
 
 def _future_split_sql(source):
@@ -86,7 +86,7 @@ _MASKED = masked_sql(MIXED_SQL)
  LEFT JOIN (SELECT walk.* FROM walk JOIN fsplit USING (series_id, ds) WHERE part = 'test') w
   ON w.series_id = p.series_id AND w.ds = p.ds""")
 def predictions_joined(spark, sf_dir):
-    panel = masked(mixed_panel(spark, sf_dir))
+    panel = stage_panel(masked(mixed_panel(spark, sf_dir)))
     best = _ma7_walk(jobs.as_future_split(panel)).drop("y")
     return join_predictions(panel, best.withColumn("yhat", rnd("yhat", 4)), "y")
 
@@ -98,7 +98,7 @@ def predictions_joined(spark, sf_dir):
  FROM fsplit f JOIN walk w USING (series_id, ds) JOIN lasts USING (series_id)
  WHERE part = 'test'""")
 def flat_fallback(spark, sf_dir):
-    panel = masked(mixed_panel(spark, sf_dir))
+    panel = stage_panel(masked(mixed_panel(spark, sf_dir)))
     split = jobs.as_future_split(panel)
     # The model answers on odd days of the month only.
     given = _ma7_walk(split).filter(F.dayofmonth(DAY) % 2 == 1)
@@ -119,7 +119,7 @@ _DISTANCE = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _FEATURES)
   WHERE a.part = 'test' AND b.part = 'train')
  SELECT series_id, ds, y, {r('AVG(ny)', 4)} AS yhat FROM near WHERE rk <= 5 GROUP BY 1, 2, 3""")
 def knn_one_step(spark, sf_dir):
-    split = evaluate.time_split(lineitem_daily(spark, sf_dir)).drop("n_known")
+    split = evaluate.time_split(stage_panel(lineitem_daily(spark, sf_dir))).drop("n_known")
     rows = features.feature_vectors(split, extra=("part",))
     out = models.knn_one_step(rows.filter("part = 'train'"), rows.filter("part = 'test'"))
     return out.withColumn("yhat", rnd("yhat", 4))
@@ -153,8 +153,9 @@ _fit_query("linear_svr_fit", ("SVR (Linear)", "LinearSVR"))
 
 @query("walk_forward_ridge")
 def walk_forward_ridge(spark, sf_dir):
-    split = evaluate.time_split(lineitem_daily(spark, sf_dir))
-    weights = models.fit_linear(_train_vectors(lineitem_daily(spark, sf_dir)), RIDGES)
+    panel = stage_panel(lineitem_daily(spark, sf_dir))
+    split = evaluate.time_split(panel)
+    weights = models.fit_linear(_train_vectors(panel), RIDGES)
     return forecast.walk_forward_linear(_plain_state(split), weights, RIDGES)
 
 

@@ -5,6 +5,7 @@ from dayloom.operators.panel import known_rows
 from dayloom.plans.catalog.base import MIXED_SQL, masked, masked_sql, mixed_panel, query, r, rnd
 from dayloom.plans.catalog.evaluation import forecasts_sql, trend_forecasts
 from dayloom.plans.catalog.trends import trend_sql
+from dayloom.plans.stage import stage_panel
 
 _KNOWN = f"SELECT * FROM ({masked_sql(MIXED_SQL)}) WHERE y IS NOT NULL"
 _SHOWN = f"""raw AS ({masked_sql(MIXED_SQL)}), {forecasts_sql(_KNOWN)},
@@ -18,7 +19,7 @@ _BOUNDS = f"""{_SHOWN}, vals AS (SELECT series_id, ds, y AS v FROM shown
 
 
 def _shown(spark, sf_dir):
-    panel = masked(mixed_panel(spark, sf_dir))
+    panel = stage_panel(masked(mixed_panel(spark, sf_dir)))
     split_days = evaluate.first_test_day(evaluate.time_split(panel))
     return panel, split_days, plotdata.visible(panel, split_days)
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dayloom.operators import evaluate, trend
 from dayloom.operators.panel import known_rows
 from dayloom.plans.catalog.base import MIXED_SQL, masked, masked_sql, mixed_panel, query, r, rnd
+from dayloom.plans.stage import stage_panel
 from dayloom.schema import DAY, KEY, TARGET
 
 MASKED_SQL = masked_sql(MIXED_SQL)
@@ -102,7 +103,7 @@ _VALUE = "c0 + c1 * (p.ds - t0) + c2 * (p.ds - t0) * (p.ds - t0)"
 @query("trend_extrapolate", f"""WITH {trend_sql(MASKED_SQL)}, days AS ({MIXED_SQL})
  SELECT p.series_id, p.ds, {r(_VALUE, 2)} AS trend FROM days p JOIN tr USING (series_id)""")
 def trend_extrapolate(spark, sf_dir):
-    panel = masked(mixed_panel(spark, sf_dir))
+    panel = stage_panel(masked(mixed_panel(spark, sf_dir)))
     out = trend.trend_extrapolate(panel.select(KEY, DAY), trend.trend_fit(panel))
     return out.withColumn("trend", rnd("trend", 2))
 
@@ -110,7 +111,7 @@ def trend_extrapolate(spark, sf_dir):
 @query("detrended", f"""WITH {trend_sql(MIXED_SQL)}, days AS ({MIXED_SQL})
  SELECT p.series_id, p.ds, {r(f'y - ({_VALUE})', 2)} AS y FROM days p JOIN tr USING (series_id)""")
 def detrended(spark, sf_dir):
-    panel = mixed_panel(spark, sf_dir)
+    panel = stage_panel(mixed_panel(spark, sf_dir))
     return trend.detrend(panel, trend.trend_fit(panel)).withColumn(TARGET, rnd(TARGET, 2))
 
 
@@ -127,7 +128,7 @@ TRAIN_SQL = f"""SELECT series_id, ds, y FROM (SELECT *, ROW_NUMBER() OVER (PARTI
  {r('CASE WHEN a.degree >= b.degree THEN a.c2 ELSE b.c2 END', 6)} AS c2
  FROM a JOIN b USING (series_id)""")
 def trend_choice(spark, sf_dir):
-    panel = mixed_panel(spark, sf_dir)
+    panel = stage_panel(mixed_panel(spark, sf_dir))
     train = evaluate.time_split(panel).filter("part = 'train'")
     t = trend.trend_choice(train, known_rows(panel))
     return t.select(KEY, "t0", "degree", "source", rnd("coef.c0", 2).alias("c0"),
