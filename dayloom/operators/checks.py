@@ -94,9 +94,12 @@ def detect_date_format(raw: DataFrame, date_col: str, order_col=None, formats=DA
             F.min(order_col).cast("long").alias("lo"), F.max(order_col).cast("long").alias("hi"),
         )
     others = [c for c in cells.columns if c not in (KEY, "text")]
-    tried = cells.select(
-        KEY, *others, F.explode(parsed_by(F.col("text"), formats)).alias("f")
-    ).select(KEY, *others, "f.priority", "f.fmt", "f.day")
+    # Only formats that took the text go on; a marker entry keeps the full row count.
+    marker = F.array(F.struct(F.lit(-1).alias("priority"), F.lit(None).cast("string").alias("fmt"),
+                              F.lit(None).cast("date").alias("day")))
+    taken = F.filter(parsed_by(F.col("text"), formats), lambda p: p["day"].isNotNull())
+    tried = cells.select(KEY, *others, F.explode(F.concat(marker, taken)).alias("f")).select(
+        KEY, *others, "f.priority", "f.fmt", "f.day")
     day_number = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
     by_day = tried.groupBy(KEY, "priority", "fmt", "day").agg(
         F.sum("rows").alias("rows"),
@@ -106,21 +109,18 @@ def detect_date_format(raw: DataFrame, date_col: str, order_col=None, formats=DA
     one_step = (
         (F.datediff(F.max("day"), F.min("day")) + 1 == F.sum("rows"))
         & (F.count("day") == F.sum("rows"))
-        & (F.count_if(F.col("day").isNull()) == 0)
     )
     if order_col:
         one_step = one_step & (F.min("lo_off") == F.max("hi_off"))
-    passing = (
-        by_day.groupBy(KEY, "priority", "fmt")
-        .agg(one_step.alias("ok"), F.sum("rows").alias("n_rows"))
-        .groupBy(KEY)
-        .agg(
-            F.min_by("fmt", F.when(F.col("ok"), F.col("priority"))).alias("fmt"),
-            F.max("ok").alias("found"),
-            F.max("n_rows").alias("n_rows"),
-        )
+    by_format = by_day.groupBy(KEY, "priority", "fmt").agg(
+        one_step.alias("ok"), F.sum("rows").alias("rows"))
+    # At most one entry per format and series from here on.
+    verdict = by_format.groupBy(KEY).agg(
+        F.max(F.when(F.col("priority") == -1, F.col("rows"))).alias("n_rows"),
+        F.collect_list(F.when(F.col("ok"), F.struct("priority", "fmt", "rows"))).alias("passed"),
     )
-    return passing.select(KEY, "n_rows", F.when(F.col("found"), F.col("fmt")).alias("date_format"))
+    best = F.array_min(F.filter("passed", lambda p: p["rows"] == F.col("n_rows")))
+    return verdict.select(KEY, "n_rows", best["fmt"].alias("date_format"))
 
 
 def detect_format_sample(raw: DataFrame, date_col: str, order_col=None, n=LABEL_SAMPLE):

@@ -70,6 +70,14 @@ def metrics(forecasts: DataFrame) -> DataFrame:
     )
 
 
+def with_unscored(series: DataFrame, scores: DataFrame) -> DataFrame:
+    """Series without any forecast stay in the table, as a failed ``NoModels`` entry."""
+    worst = {"model": F.lit("NoModels"), "n_test": F.lit(0), "rmse": F.lit(float("inf")),
+             "mape": F.lit(0.0), "smape": F.lit(0.0), "accuracy_pct": F.lit(0.0)}
+    return series.select(KEY).join(scores, KEY, "left").withColumns(
+        {c: F.coalesce(F.col(c), v) for c, v in worst.items()})
+
+
 def leaderboard(scores: DataFrame) -> DataFrame:
     """Rank by RMSE within a series; failed models carry infinity and come last."""
     value = F.coalesce(_finite(F.col("rmse")), F.lit(float("inf")))

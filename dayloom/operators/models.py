@@ -66,8 +66,21 @@ def _scale(x):
     return centre, np.where(flat, 1.0, spread)
 
 
+def _or_nan(fit, d):
+    """A fit that fails leaves NaN weights: its forecasts score infinity and rank last."""
+    try:
+        return fit()
+    except np.linalg.LinAlgError:
+        return np.full(d, np.nan)
+
+
 def _row_fit(kind, params, x, y):
-    return getattr(kernels, kind)(x, y, **params)
+    """Weights then intercept."""
+    def fit():
+        w, b = getattr(kernels, kind)(x, y, **params)
+        return np.append(w, b)
+
+    return _or_nan(fit, x.shape[1] + 1)
 
 
 def _moments_of(row_models):
@@ -85,9 +98,9 @@ def _moments_of(row_models):
                 if t and np.array_equal(targets[:, 0], targets[:, 1]):
                     rows.append(rows[-1])
                     continue
-                w, b = _row_fit(kind, params, xc / scale, targets[:, t])
-                w = w / scale
-                rows.append(np.append(w, b - w @ centre))
+                fitted = _row_fit(kind, params, xc / scale, targets[:, t])
+                w = fitted[:-1] / scale
+                rows.append(np.append(w, fitted[-1] - w @ centre))
         out = {
             "series_id": [table[KEY][0].as_py()], "n": [n], "d": [x.shape[1]],
             "mean_x": [centre], "scale_x": [scale], "mean_y": [mean_y],
@@ -134,8 +147,8 @@ def _solve_stack(names, n, mean_x, scale, mean_y, gram, cross, yy):
             w = np.swapaxes(w.reshape(s, 2, d), 1, 2) / scale[:, :, None]
         else:
             w = np.stack([
-                np.stack([kernels.bayesian_ridge(gram[r], cross[r, :, t], yy[r, t], n[r])
-                          for t in range(2)], axis=1)
+                np.stack([_or_nan(lambda: kernels.bayesian_ridge(
+                    gram[r], cross[r, :, t], yy[r, t], n[r]), d) for t in range(2)], axis=1)
                 for r in range(s)
             ])
         out[:, i, :, :d] = np.swapaxes(w, 1, 2)

@@ -117,7 +117,8 @@ def benchmark(panel: DataFrame, chosen=SERIES_MODELS, test_fraction=TEST_FRACTIO
     chosen_trend = trend.trend_choice(train, known_rows(panel), leak_free)
     facts = stage_by_series(_facts(train, chosen_trend, detect_periods))
     forecasts = run_models(split, facts, chosen, plan)
-    return Benchmark(evaluate.leaderboard(evaluate.metrics(forecasts)), forecasts)
+    scores = evaluate.with_unscored(facts, evaluate.metrics(forecasts))
+    return Benchmark(evaluate.leaderboard(scores), forecasts)
 
 
 def as_future_split(panel: DataFrame) -> DataFrame:

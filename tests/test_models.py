@@ -218,3 +218,15 @@ def test_trees_agree_with_the_library_model(spark, rows):
     pdf = model.transform(vec).select("x", "prediction").toPandas()
     own = trees.predict_trees(trees._ensemble(model), np.stack(pdf.x))
     assert np.allclose(own, pdf.prediction)
+
+
+def test_series_without_complete_rows_is_reported_as_failed(spark):
+    rows = [("s", dt.date(2021, 1, 1) + dt.timedelta(i), float(i), "1.5" if i % 2 else None)
+            for i in range(12)]
+    rows = [r[:3] + (r[3] if r[1] < dt.date(2021, 1, 1) + dt.timedelta(7) else None,) for r in rows]
+    rows += [("t", dt.date(2021, 1, 1) + dt.timedelta(i), float(i), "2.5") for i in range(40)]
+    df = spark.createDataFrame(rows, "series_id string, ds date, y double, promo string")
+    scores = jobs.benchmark(stage_panel(df), RIDGES[:1], detect_periods=False).scores
+    got = {r.series_id: (r.model, r.rmse) for r in scores.filter("rank = 1").collect()}
+    assert got["s"] == ("NoModels", float("inf"))
+    assert got["t"][1] < float("inf")
