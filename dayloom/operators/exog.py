@@ -54,33 +54,47 @@ def exog_kinds(panel: DataFrame, columns=None) -> DataFrame:
     return wide.select(F.explode(rows).alias("k")).select("k.*")
 
 
-def exog_levels(panel: DataFrame, kinds: DataFrame, columns=None) -> DataFrame:
-    """Training schema in long form: one row per encoded column, in output order.
+def _known_kinds(kinds):
+    """Kinds as rows: one per source column, so always small."""
+    return kinds.collect() if isinstance(kinds, DataFrame) else list(kinds)
 
-    Distinct values are found by a partial aggregate over (column, value) pairs; kinds
-    is one row per source column and joins by broadcast.
+
+def _level_array(kind) -> Column:
+    """Levels present in one cell; empty for numbers and for missing categories."""
+    cell = F.col(f"`{kind['original_name']}`").cast("string")
+    if kind["kind"] == "multilabel":
+        return multilabel_parse(cell)
+    return F.when(cell.isNotNull(), F.array(cell))
+
+
+def exog_levels(panel: DataFrame, kinds, columns=None) -> DataFrame:
+    """Training schema in long form: one row per encoded column.
+
+    One pass over the panel: distinct (column, level) pairs, merged inside each task
+    before they move.  ``kinds`` is the table of ``exog_kinds`` or its rows.
     """
     columns = list(columns or exog_columns(panel))
-    cells = panel.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("original_name"), F.col(f"`{c}`").cast("string").alias("value"))
-        for c in columns
-    ])).alias("cell")).select("cell.*").distinct()
-    typed = cells.join(F.broadcast(kinds), "original_name")
-    labels = (
-        typed.filter("kind = 'multilabel'")
-        .select("original_name", "base", "kind",
-                F.explode(multilabel_parse(F.col("value"))).alias("level"))
-    )
-    categories = typed.filter("kind = 'categorical' AND value IS NOT NULL").select(
-        "original_name", "base", "kind", F.col("value").alias("level")
-    )
-    null_level = kinds.filter("kind = 'categorical'").select(
-        "original_name", "base", "kind", F.lit(None).cast("string").alias("level")
-    )
-    numeric = kinds.filter("kind = 'numeric'").select(
-        "original_name", "base", "kind", F.lit(None).cast("string").alias("level")
-    )
-    levels = labels.unionByName(categories).distinct().unionByName(null_level).unionByName(numeric)
+    known = [k for k in _known_kinds(kinds) if k["original_name"] in columns]
+    coded = [k for k in known if k["kind"] != "numeric"]
+    # Numbers have one column and no level; every categorical has a null level.
+    plain = panel.sparkSession.createDataFrame(
+        [(k["original_name"], k["base"], k["kind"], None)
+         for k in known if k["kind"] != "multilabel"],
+        "original_name string, base string, kind string, level string")
+    levels = plain
+    if coded:
+        entries = F.array(*[
+            F.struct(F.lit(k["original_name"]).alias("original_name"),
+                     F.lit(k["base"]).alias("base"), F.lit(k["kind"]).alias("kind"),
+                     _level_array(k).alias("levels"))
+            for k in coded
+        ])
+        found = (
+            panel.select(F.explode(entries).alias("e"))
+            .select("e.original_name", "e.base", "e.kind", F.explode("e.levels").alias("level"))
+            .distinct()
+        )
+        levels = found.unionByName(plain)
     suffix = F.when(F.col("level").isNull(), NULL_LEVEL).otherwise(sanitize_token(F.col("level")))
     name = (
         F.when(F.col("kind") == "numeric", F.concat(F.lit("x_"), F.col("base")))
@@ -89,11 +103,10 @@ def exog_levels(panel: DataFrame, kinds: DataFrame, columns=None) -> DataFrame:
     )
     # Different raw values may share a token: later ones get a running number.
     same = Window.partitionBy("column_base").orderBy(F.col("level").asc_nulls_last())
-    order = F.struct("level").getField("level")
     return (
         levels.withColumn("column_base", name)
         .withColumn("dup", F.row_number().over(same))
-        .select("original_name", "base", "kind", order.alias("level"),
+        .select("original_name", "base", "kind", "level",
                 F.when(F.col("dup") == 1, F.col("column_base"))
                 .otherwise(F.concat_ws("_", "column_base", "dup")).alias("column_name"))
     )
@@ -138,30 +151,34 @@ def missing_day_vector(plan):
     return [1.0 if r["kind"] == "categorical" and r["level"] is None else 0.0 for r in plan]
 
 
-def encode_long(panel: DataFrame, levels: DataFrame, columns=None) -> DataFrame:
-    """Non-zero encoded cells as ``(series_id, ds, column_name, value)`` for any level count."""
+def encode_long(panel: DataFrame, kinds, levels: DataFrame, columns=None) -> DataFrame:
+    """Non-zero encoded cells as ``(series_id, ds, column_name, value)`` for any level count.
+
+    Levels join by value; whether they are broadcast is left to their measured size.
+    """
     columns = list(columns or exog_columns(panel))
-    cells = panel.select(KEY, DAY, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("original_name"), F.col(f"`{c}`").cast("string").alias("cell"))
-        for c in columns
-    ])).alias("c")).select(KEY, DAY, "c.*")
-    numeric = levels.filter("kind = 'numeric'").select("original_name", "column_name")
-    coded = levels.filter("kind <> 'numeric'")
-    numbers = cells.join(F.broadcast(numeric), "original_name").select(
-        KEY, DAY, "column_name", to_number(F.col("cell")).alias("value")
-    ).filter("value IS NOT NULL AND value <> 0")
-    kinds = F.broadcast(levels.select("original_name", "kind").distinct())
-    hits = cells.join(kinds, "original_name").filter("kind <> 'numeric'").select(
-        KEY, DAY, "original_name",
-        F.explode(F.when(F.col("kind") == "multilabel", multilabel_parse(F.col("cell")))
-                  .otherwise(F.array("cell"))).alias("level"),
-    ).distinct()
-    joined = hits.alias("h").join(
-        coded.alias("l"),
+    known = [k for k in _known_kinds(kinds) if k["original_name"] in columns]
+    no_level = F.array(F.lit(None).cast("string"))
+    entries = []
+    for k in known:
+        if k["kind"] == "numeric":
+            number = to_number(F.col(f"`{k['original_name']}`").cast("string"))
+            hit = F.when(number.isNotNull() & (number != 0), no_level)
+        else:
+            number = F.lit(1.0)
+            hit = F.array_distinct(_level_array(k))
+            hit = F.coalesce(hit, no_level) if k["kind"] == "categorical" else hit
+        entries.append(F.struct(F.lit(k["original_name"]).alias("original_name"),
+                                number.alias("value"), hit.alias("hit")))
+    hits = (
+        panel.select(KEY, DAY, F.explode(F.array(*entries)).alias("e"))
+        .select(KEY, DAY, "e.original_name", "e.value", F.explode("e.hit").alias("level"))
+    )
+    return hits.alias("h").join(
+        levels.alias("l"),
         (F.col("h.original_name") == F.col("l.original_name"))
         & F.col("h.level").eqNullSafe(F.col("l.level")),
-    ).select(KEY, DAY, "l.column_name", F.lit(1.0).alias("value"))
-    return numbers.unionByName(joined)
+    ).select(KEY, DAY, "l.column_name", "h.value")
 
 
 def future_exog(future: DataFrame, plan) -> DataFrame:

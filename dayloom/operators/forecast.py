@@ -162,10 +162,11 @@ def walk_forward_linear(state: DataFrame, weights: DataFrame, names, exog_defaul
                         add_trend=True, lags=LAGS, windows=WINDOWS) -> DataFrame:
     """Recursive forecasts of all linear models: ``(series_id, model, ds, y, yhat)``.
 
-    ``names`` are the models in weight order.  ``state`` carries ``periods``, ``degree``
+    ``names`` are the models in weight order; without ``weights`` the state carries its
+    own ``d`` and ``weights``.  ``state`` has ``periods``, ``degree``
     and the trend coefficients ``c0..c2``.
     """
-    joined = state.join(weights.drop("n"), KEY)
+    joined = state if weights is None else state.join(weights.drop("n"), KEY)
     walker = _linear_walker(list(names), list(exog_default), add_trend, lags, windows)
     return joined.mapInArrow(walker, FORECAST)
 

@@ -40,9 +40,8 @@ def acf_arrays(panel: DataFrame, max_lag=MAX_PERIOD) -> DataFrame:
     long_enough = F.size("values") >= MIN_ACF_ROWS
     return state.select(
         KEY, F.size("values").cast("bigint").alias("n"),
-        # Short series are handed over empty: the function sees only what it can use.
         F.when(long_enough, F.col("values")).alias("values"),
-    ).select(KEY, "n", "values").transform(lambda df: _with_acf(df, max_lag))
+    ).transform(lambda df: _with_acf(df, max_lag))
 
 
 def _with_acf(df: DataFrame, max_lag: int) -> DataFrame:
@@ -54,7 +53,9 @@ def _with_acf(df: DataFrame, max_lag: int) -> DataFrame:
 
 
 def acf(panel: DataFrame, max_lag=MAX_PERIOD) -> DataFrame:
-    return acf_arrays(panel, max_lag).select(KEY, "n", F.posexplode("acf").alias("k", "acf"))
+    # The outer form adds no size filter, which would run the Python column twice.
+    rows = acf_arrays(panel, max_lag).select(KEY, "n", F.posexplode_outer("acf").alias("k", "acf"))
+    return rows.filter("k IS NOT NULL")
 
 
 def _peaks(acf_col, n, max_period, min_cycles):

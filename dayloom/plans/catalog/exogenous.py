@@ -100,8 +100,9 @@ def exog_multilabel(spark, sf_dir):
  UNION ALL SELECT series_id, ds, 'm_labels_' || UNNEST(string_split(labels, ',')), 1.0 FROM panel""")
 def exog_long(spark, sf_dir):
     panel = staged(spark, sf_dir)
-    levels = exog.exog_levels(panel, exog.exog_kinds(panel, SOURCES), SOURCES)
-    return exog.encode_long(panel, levels, SOURCES).withColumn("value", rnd("value"))
+    kinds = exog.exog_kinds(panel, SOURCES).collect()
+    levels = exog.exog_levels(panel, kinds, SOURCES)
+    return exog.encode_long(panel, kinds, levels, SOURCES).withColumn("value", rnd("value"))
 
 
 def _trim(x):

@@ -32,10 +32,9 @@ def _ma7_walk(split):
     used = sum((F.when(F.col("n_train") > n, 1).otherwise(0) for n in LAGS), F.lit(0))
     one = F.concat(F.array_repeat(F.lit(0.0), used), F.array(F.lit(1.0)),
                    F.array_repeat(F.lit(0.0), len(WINDOWS) - 1 + _FIXED + 1))
-    weights = state.select(
-        KEY, F.col("n_train").alias("n"), (used + len(WINDOWS) + _FIXED).alias("d"),
-        F.concat(one, one).alias("weights"))
-    return forecast.walk_forward_linear(state, weights, ["ma7"])
+    weighted = state.withColumns(
+        {"d": used + len(WINDOWS) + _FIXED, "weights": F.concat(one, one)})
+    return forecast.walk_forward_linear(weighted, None, ["ma7"])
 
 
 def _ma7_sql(split):

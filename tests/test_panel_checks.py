@@ -128,10 +128,11 @@ def test_numeric_share_threshold(spark):
 def test_too_many_levels_are_refused_but_long_form_works(spark):
     rows = [("s", d, 1.0, f"v{i}") for i, d in enumerate(_days(30))]
     df = spark.createDataFrame(rows, "series_id string, ds date, y double, c string")
-    levels = exog.exog_levels(df, exog.exog_kinds(df))
+    kinds = exog.exog_kinds(df)
+    levels = exog.exog_levels(df, kinds)
     with pytest.raises(ValueError):
         exog.collect_levels(levels, ["c"], max_columns=10)
-    assert exog.encode_long(df, levels).count() == 30
+    assert exog.encode_long(df, kinds, levels).count() == 30
 
 
 @pytest.mark.parametrize("sep", [",", ";", "\t", "|"])
