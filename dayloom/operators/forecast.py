@@ -41,7 +41,7 @@ def calendar_gaps(split: DataFrame) -> DataFrame:
     )
 
 
-def recursion_state(split: DataFrame, exog_plan=(), exog_arrays=None) -> DataFrame:
+def recursion_state(split: DataFrame, exog_arrays=None) -> DataFrame:
     """One row per series with all that recursion needs, from a ``part`` column.
 
     ``hist`` keeps the newest values only: no feature looks further back.  Wanted days

@@ -48,7 +48,7 @@ def _vectors(train, facts, encoded):
 
 def _state(split, facts, plan):
     arrays = F.array(*exog.wide_columns(plan, True)) if plan else None
-    state = forecast.recursion_state(split, plan, arrays)
+    state = forecast.recursion_state(split, arrays)
     return state.join(facts, KEY).select(
         *[F.col(c) for c in state.columns], "periods", "degree",
         F.col("coef.c0").alias("c0"), F.col("coef.c1").alias("c1"), F.col("coef.c2").alias("c2"),
