@@ -1,9 +1,13 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
-from dayloom.llm import simhash
+from dayloom.llm import mixing, sharding, simhash
 
 QUERIES = {
     "op5_simhash": simhash.op5_simhash,
+    "op8_sharding": sharding.op8_sharding,
+    "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op9_mixing": mixing.OP9_SQL,
+}
