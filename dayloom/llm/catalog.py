@@ -1,13 +1,16 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
-from dayloom.llm import mixing, sharding, simhash
+from dayloom.llm import minhash, mixing, quality, sharding, simhash
 
 QUERIES = {
+    "op3_fingerprints": minhash.op3_fingerprints,
+    "op4_quality": quality.op4_quality,
     "op5_simhash": simhash.op5_simhash,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op4_quality": quality.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
