@@ -1,11 +1,12 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
-from dayloom.llm import minhash, mixing, quality, repeats, sharding, simhash
+from dayloom.llm import minhash, mixing, pieces, quality, repeats, sharding, simhash
 
 QUERIES = {
     "op3_fingerprints": minhash.op3_fingerprints,
     "op4_quality": quality.op4_quality,
     "op5_simhash": simhash.op5_simhash,
+    "op6_pieces": pieces.op6_pieces,
     "op7_repeats": repeats.op7_repeats,
     "op8_sharding": sharding.op8_sharding,
     "op9_mixing": mixing.op9_mixing,

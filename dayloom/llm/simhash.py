@@ -15,9 +15,9 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from dayloom.llm.common import stage
+from dayloom.llm.common import stage, table
 from dayloom.llm.graph import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -46,14 +46,15 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document; fp is the fingerprint as a signed long."""
+    """(doc_id, digest, fp): one row per document; fp is the fingerprint, digest the text's XXH64, as signed longs."""
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            out = [np.array([of(t) for t in texts], np.uint64).view(np.int64)
+                   for of in (lambda t: xxhash.xxh64_intdigest(t, SEED), lambda t: fingerprint(t, shingle))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], ["doc_id", "digest", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, digest bigint, fp bigint")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
@@ -186,7 +187,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 3, limit: in
     """Component of every document under links of at most ``reach`` differing bits.
 
     In: ``doc_id`` (long), ``text``; further columns are ignored.  Out, one row per input row:
-    ``doc_id``, ``fp`` (long), ``component_id`` (smallest doc_id reachable, itself included).
+    ``doc_id``, ``digest``, ``fp`` (longs), ``root`` (a fingerprint that names the component) and
+    ``component_id`` (smallest doc_id reachable, itself included).
     A null or blank text has fingerprint 0 and links like any other.  Rows with a null doc_id take
     part and get their component's smallest id, null where it has none.  Repeated rows stay
     repeated; ties do not arise.  An empty table gives an empty table.
@@ -198,11 +200,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 3, limit: in
         "fp", "first", F.coalesce("v", "fp").alias("root"))
     named = stage(named, "named")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = stage(named.join(least, "root").select("fp", "component_id"), "component-of")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = stage(named.join(least, "root").select("fp", "root", "component_id"), "component-of")
+    return prints.join(of, "fp").select("doc_id", "digest", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id's, and of rows with that id the one with the least digest.
+
+    Columns are kept, null ids come last, one of several equal rows stays.
+    """
+    groups = near_duplicates(docs, **options)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
+    keep = stage(groups.groupBy("root").agg(first.alias("k")).select(
+        F.col("k.doc_id").alias("i"), F.col("k.digest").alias("d")), "kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id",
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep.i) & (rows.digest == keep.d))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("digest"))
+    return kept.select("row", nth.alias("nth")).where("nth = 1").select("row.*")
 
 
 def op5_simhash(spark, sf_dir):
-    from dayloom.llm.common import table
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -85,5 +85,17 @@ def test_index_equals_all_pairs(spread):
 
 def test_empty_table(spark):
     got = simhash.near_duplicates(spark.createDataFrame([], SCHEMA))
-    assert got.columns == ["doc_id", "fp", "component_id"] and got.count() == 0
+    assert got.columns == ["doc_id", "digest", "fp", "root", "component_id"] and got.count() == 0
     assert isinstance(got.schema["component_id"].dataType, T.LongType)
+
+
+def test_one_row_of_each_component(spark):
+    data = rows()
+    docs = spark.createDataFrame(data, SCHEMA)
+    prints = [slow_print(r[1]) for r in data]
+    groups = slow_components(list(range(len(data))), prints)
+    want = [min((data[j][0] for j in range(len(data)) if groups[j] == g and data[j][0] is not None), default=None) for g in set(groups)]
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    key = lambda x: (x is None, x)
+    assert sorted((r.doc_id for r in out.collect()), key=key) == sorted(want, key=key)
