@@ -32,6 +32,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
+def id_key(doc_id="doc_id", names=("key", "unknown")):
+    """A nullable id as two columns without nulls, so joins and windows on them share one exchange."""
+    return [F.coalesce(doc_id, F.lit(0)).alias(names[0]), F.isnull(doc_id).alias(names[1])]
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a variable."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from dayloom.llm.common import stage, table
+from dayloom.llm.common import id_key, stage, table
 from dayloom.llm.graph import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -211,12 +211,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     groups = near_duplicates(docs, **options)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
-    keep = stage(groups.groupBy("root").agg(first.alias("k")).select(
-        F.col("k.doc_id").alias("i"), F.col("k.digest").alias("d")), "kept")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "doc_id",
+    keep = stage(groups.groupBy("root").agg(first.alias("k")).select(*id_key("k.doc_id"), F.col("k.digest").alias("digest")), "kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *id_key(),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
-    kept = rows.join(keep, rows.doc_id.eqNullSafe(keep.i) & (rows.digest == keep.d))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("digest"))
+    kept = rows.join(keep, ["key", "unknown", "digest"])
+    nth = F.row_number().over(Window.partitionBy("key", "unknown", "digest").orderBy("digest"))
     return kept.select("row", nth.alias("nth")).where("nth = 1").select("row.*")
 
 
