@@ -1,8 +1,10 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
-from dayloom.llm import minhash, mixing, pieces, quality, repeats, sharding, simhash
+from dayloom.llm import licenses, lines, minhash, mixing, pieces, quality, repeats, sharding, simhash
 
 QUERIES = {
+    "op2_licenses": licenses.op2_licenses,
+    "op10_lines": lines.op10_lines,
     "op3_fingerprints": minhash.op3_fingerprints,
     "op4_quality": quality.op4_quality,
     "op5_simhash": simhash.op5_simhash,
@@ -13,6 +15,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_licenses": licenses.OP2_SQL,
+    "op10_lines": lines.OP10_SQL,
     "op4_quality": quality.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
 }
