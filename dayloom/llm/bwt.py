@@ -78,8 +78,11 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
     return done
 
 
-def repeated_starts(pieces: list[bytes], length: int) -> np.ndarray:
-    """For each byte of the joined pieces: does a string of ``length`` bytes start here, inside its piece, and elsewhere too?"""
+def repeated_starts(pieces: list[bytes], length: int, owners=None) -> np.ndarray:
+    """For each byte of the joined pieces: does a string of ``length`` bytes start here, inside its piece, and elsewhere too?
+
+    ``owners``: a number for each piece; elsewhere is then in a piece of another owner.
+    """
     sizes = np.array([len(p) for p in pieces])
     if len(pieces) > 65000 or (len(sizes) and sizes.sum() > 1 << 30):
         raise ValueError("too much for one transform")
@@ -89,6 +92,12 @@ def repeated_starts(pieces: list[bytes], length: int) -> np.ndarray:
     order = _sorted_suffixes(joined, length)
     alike = ~short_prefixes(joined, order, length)[:-1]
     out = np.zeros(len(joined), bool)
+    if owners is not None and len(order):
+        of = np.repeat(np.array(owners), sizes + 1)[order]
+        first = np.flatnonzero(~alike)  # where a group of suffixes that begin alike begins
+        mixed = np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first)
+        out[order[np.repeat(mixed, np.diff(np.r_[first, len(order)]))]] = True
+        return np.delete(out, marks)
     out[order[alike]] = True
     out[order[np.flatnonzero(alike) - 1]] = True
     return np.delete(out, marks)

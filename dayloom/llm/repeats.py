@@ -103,6 +103,9 @@ def _find_anchors(length, gram):
                 content = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(
                     s1.tolist(), (s2 + length).tolist())), "<i8").reshape(-1, 2)
                 of = owner[s1]
+                if batch.num_columns > 3:  # equal strings of two scopes do not meet
+                    scopes = batch.column(3).to_pylist()
+                    key = key ^ np.array([xxhash.xxh64_intdigest((scopes[r] or "").encode()) for r, _, _ in held], np.uint64)[of]
                 shift = (np.array([at for _, at, _ in held]) - (np.cumsum(sizes) - sizes))[of]
                 row = pa.array(np.array([r for r, _, _ in held])[of])
                 yield pa.RecordBatch.from_arrays([
@@ -125,7 +128,7 @@ def _cut_pieces(length):
                     if q["hot"]:
                         for s in range(q["s1"], q["s2"] + 1):
                             a, b = np.frombuffer(xxhash.xxh3_128_digest(text[s:s + length]), "<i8").tolist()
-                            rows.append((a, b, doc, digest, s, q["n"], None))
+                            rows.append((a ^ q["key"], b, doc, digest, s, q["n"], None))
                     else:
                         rows.append((q["key"], None, doc, digest, q["s1"], q["n"], text[q["s1"]:q["s2"] + length]))
                     if len(rows) >= 1 << 14:
@@ -137,12 +140,16 @@ def _cut_pieces(length):
     return run
 
 
-def _search_pieces(length):
-    """Repeated starts in pieces that come sorted by anchor; whole anchors are put together up to CHUNK."""
+def _search_pieces(length, scoped):
+    """Repeated starts in pieces that come sorted by anchor; whole anchors are put together up to CHUNK.
+
+    ``scoped``: anchors stay apart, and a string counts if two documents have it.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("s1", pa.int32()), ("s2", pa.int32())])
 
     def search(rows):
-        found = repeated_starts([r[5] for r in rows], length)
+        names = {}
+        found = repeated_starts([r[5] for r in rows], length, [names.setdefault(r[1:3], len(names)) for r in rows] if scoped else None)
         ends = np.cumsum([len(r[5]) for r in rows])
         at = np.flatnonzero(found)
         of = np.searchsorted(ends, at, side="right")
@@ -162,7 +169,7 @@ def _search_pieces(length):
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if held and row[0] != held[-1][0]:
-                    if size >= CHUNK or len(held) > 60000:
+                    if scoped or size >= CHUNK or len(held) > 60000:
                         if (out := search(held)) is not None:
                             yield out
                         held, size = [], 0
@@ -177,13 +184,17 @@ def _search_pieces(length):
 def repeated_runs(docs: DataFrame, length=LENGTH, gram=GRAM, limit=LIMIT) -> DataFrame:
     """(doc_id, digest, s1, s2): runs of starts, strings of ``length`` bytes from which occur twice or more.
 
-    In: (doc_id, digest, text).
+    In: (doc_id, digest, text), and with a fourth column ``scope`` a string counts if it occurs in
+    two documents of one scope.
     """
+    scoped, doc = len(docs.columns) > 3, F.struct("doc_id", "digest")
+    number = F.when(F.min(doc) < F.max(doc), 2).otherwise(1).cast("long") if scoped else F.count("*")
+    plain = docs.select("doc_id", "digest", "text")
     anchors = stage(docs.mapInArrow(_find_anchors(length, gram), ANCHORS), "anchors")
-    seen = anchors.groupBy("key").count().where("count > 1").select("key")
+    seen = stage(anchors.groupBy("key").count().where("count > 1").select("key"), "seen")
     shared = stage(anchors.join(seen, "key", "left_semi"), "shared")
     distinct = stage(shared.groupBy("key", "c1", "c2").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "digest", "s1", "s2")).alias("one")), "distinct")
+        number.alias("n"), F.min(F.struct("doc_id", "digest", "s1", "s2")).alias("one")), "distinct")
     again = distinct.where("n > 1").select("key", "c1", "c2")
     whole = shared.join(again, ["key", "c1", "c2"], "left_semi").select("doc_id", "digest", "s1", "s2")
 
@@ -193,14 +204,14 @@ def repeated_runs(docs: DataFrame, length=LENGTH, gram=GRAM, limit=LIMIT) -> Dat
         F.col("one.doc_id").alias("i"), F.col("one.digest").alias("d"),
         F.struct("key", "hot", "n", F.col("one.s1").alias("s1"), F.col("one.s2").alias("s2")).alias("q")).groupBy("i", "d").agg(
         F.collect_list("q").alias("asked"))
-    pieces = stage(docs.join(asked, docs.doc_id.eqNullSafe(asked.i) & (docs.digest == asked.d)).select(
+    pieces = stage(plain.join(asked, plain.doc_id.eqNullSafe(asked.i) & (plain.digest == asked.d)).select(
         "doc_id", "digest", "text", "asked").mapInArrow(_cut_pieces(length), PIECES), "pieces")
     searched = pieces.where("piece IS NOT NULL").select("key", "doc_id", "digest", "s", "n", "piece").repartition(
-        "key").sortWithinPartitions("key").mapInArrow(_search_pieces(length), RUNS)
+        "key").sortWithinPartitions("key").mapInArrow(_search_pieces(length, scoped), RUNS)
     runs = whole.union(searched)
     if not several.where("hot").isEmpty():
         single = pieces.where("piece IS NULL")
-        twice = single.groupBy("key", "other").count().where("count > 1").select("key", "other")
+        twice = stage(single.groupBy("key", "other").agg(number.alias("n")).where("n > 1").select("key", "other"), "twice")
         runs = runs.union(single.join(twice, ["key", "other"], "left_semi").where("n = 1").select(
             "doc_id", "digest", "s", F.col("s").alias("e")))
     return runs
