@@ -8,7 +8,7 @@ hashed order of all filled ones.  Only the low 8 bits of each bin are kept.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dayloom.llm.common import let, partitions, stage, table, words
+from dayloom.llm.common import id_key, let, partitions, stage, table, words
 
 SHINGLE = 5
 BINS_LOG2 = 8
@@ -113,16 +113,17 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("digest"))
     order = stage(successors(docs.select("doc_id", "digest", F.length("text").cast("long").alias("n_chars"))), "successors")
-    once = Window.partitionBy("doc_id", "digest").orderBy("digest")
-    texts = docs.withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
-    same = lambda a, b, i="doc_id", d="digest": a.doc_id.eqNullSafe(b[i]) & (a.digest == b[d])
-
+    once = Window.partitionBy("key", "unknown", "digest").orderBy("digest")
+    texts = docs.select(*id_key(), "digest", "text").withColumn("nth", F.row_number().over(once)).where("nth = 1").drop("nth")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    heads = texts.join(order, same(texts, order, "next_id", "next_digest")).select(
-        order.doc_id, order.digest, "next_id", "next_digest", "n_chars", "copies", F.substring("text", F.lit(1), half).alias("head"))
+    asked = order.select(*id_key("next_id"), F.col("next_digest").alias("digest"), "next_id", "next_digest", "n_chars", "copies",
+                         *id_key("doc_id", ("i", "z")), F.col("digest").alias("d"), "doc_id")
+    heads = texts.join(asked, ["key", "unknown", "digest"]).select(
+        F.col("i").alias("key"), F.col("z").alias("unknown"), F.col("d").alias("digest"),
+        "doc_id", "next_id", "next_digest", "n_chars", "copies", F.substring("text", F.lit(1), half).alias("head"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.col("head"))
-    both = texts.join(heads, same(texts, heads)).select(
-        texts.doc_id, texts.digest, "next_id", "next_digest", "n_chars", "copies", "text", edited.alias("edited"))
+    both = texts.join(heads, ["key", "unknown", "digest"]).select(
+        "doc_id", "digest", "next_id", "next_digest", "n_chars", "copies", "text", edited.alias("edited"))
     prints = stage(both.select("doc_id", "digest", "next_id", "next_digest", "n_chars", "copies", F.sha2("edited", 256).alias("edited_sha256"),
                                sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("other")), "prints")
     following = prints.groupBy("doc_id", "digest").agg(F.first("own").alias("follower")).withColumnsRenamed({"doc_id": "i", "digest": "d"})
