@@ -20,12 +20,19 @@ MENU_LINE = (r"(?i)^[\x20\x09-\x0D]*(home|about us|contact|contact us|log ?in|lo
 BOILERPLATE = (r"(?i)(we use cookies|accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|"
                r"all rights reserved|enable javascript|lorem ipsum|click here to|subscribe to our|sign up for our|"
                r"powered by wordpress|copyright (\(c\)|©|[0-9]{4}))")
+#: Each match of BOILERPLATE has one of these, in lower case.
+BOILERPLATE_KEYS = ("cookie", "privacy policy", "terms of ", "all rights reserved", "enable javascript", "lorem ipsum",
+                    "click here to", "subscribe to our", "sign up for our", "powered by wordpress", "copyright ")
 SEPARATORS = "|»·•>"
+#: A symbol or separator.
+MARKED = r"[#*$%&|<>»·•]"
 #: An unfinished line is kept from this many words on; it is then prose that was cut.
 OPEN_WORDS = 20
 #: Share of a document's word characters that may go.
 MAX_LOSS = 0.5
 MIN_WORDS = 50
+LOW = 2**32 - 1
+HIGH = -(2**32)
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -36,15 +43,26 @@ def word_chars(text: Column) -> Column:
     return _without(text, SPACES)
 
 
-def bad_line(line: Column) -> Column:
-    """True if a rule fails the line; lines without a word pass."""
+def may_have_boilerplate(text: Column) -> Column:
+    """False only where no line can match BOILERPLATE: a cheap look at all of a text before its regular expression."""
+    lower = F.lower(text)
+    return reduce(lambda a, b: a | b, (lower.contains(k) for k in BOILERPLATE_KEYS))
+
+
+def bad_line(line: Column, boilerplate: Column) -> Column:
+    """True if a rule fails the line; lines without a word pass.
+
+    Cheap tests stand before those they imply, so most lines meet few regular expressions.
+    """
     n = F.size(words(line))
-    chars = word_chars(line)
     separators = F.length(line) - _without(line, SEPARATORS)
-    punctuation = (~line.rlike(ENDS_WELL) & (n < OPEN_WORDS)) | (
-        (F.length(line) - _without(line, SYMBOLS)) * 10 > chars) | (F.regexp_count(line, F.lit(DOUBLED_MARKS)) * 2 > n)
-    navigation = ((separators >= 2) & (separators * 3 >= n)) | line.rlike(MENU_LINE)
-    return line.rlike(A_WORD) & (punctuation | navigation | line.rlike(BOILERPLATE))
+    symbols = F.length(line) - _without(line, SYMBOLS)
+    marked = line.rlike(MARKED)
+    punctuation = (~(line.endswith(".") | line.rlike(ENDS_WELL)) & (n < OPEN_WORDS)) | (
+        marked & (symbols * 10 > word_chars(line))) | (
+        line.rlike(DOUBLED_MARKS) & (F.regexp_count(line, F.lit(DOUBLED_MARKS)) * 2 > n))
+    navigation = (marked & (separators >= 2) & (separators * 3 >= n)) | line.rlike(MENU_LINE)
+    return line.rlike(A_WORD) & (punctuation | navigation | (boilerplate & line.rlike(BOILERPLATE)))
 
 
 def repeated_words(word: Column) -> Column:
@@ -62,10 +80,16 @@ def repeated_words(word: Column) -> Column:
         same = lambda e, other: F.coalesce(e["h"] == other["h"], F.lit(False))
         return F.filter(pairs, lambda e, i: same(e, F.get(pairs, i - 1)) | same(e, F.get(pairs, i + 1)))
 
+    def near(marks):  # a long sorts much faster than a pair, so whole hashes meet only where their high halves do
+        same = lambda e, other: F.coalesce(e.bitwiseXOR(other).bitwiseAND(HIGH) == 0, F.lit(False))
+        return F.filter(marks, lambda e, i: same(e, F.get(marks, i - 1)) | same(e, F.get(marks, i + 1)))
+
     def count(h):
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), let(
-            F.sort_array(F.transform(let(pairs, twice), lambda e: e["i"])), covered)).otherwise(0)
+        marks = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(HIGH).bitwiseOR(i.cast("long"))))
+        pairs = lambda m: F.sort_array(F.transform(m, lambda e: let(e.bitwiseAND(LOW).cast("int"), lambda i: F.struct(
+            F.get(h, i).alias("h"), i.alias("i")))))
+        found = lambda m: let(F.sort_array(F.transform(let(pairs(m), twice), lambda e: e["i"])), covered)
+        return let(let(marks, near), lambda m: F.when(F.size(m) > 0, found(m)).otherwise(0))
 
     return F.when(F.size(word) >= 4, let(windows, count)).otherwise(0).cast("long")
 
@@ -87,8 +111,8 @@ def _judged(docs: DataFrame, max_loss: float) -> DataFrame:
     """(row, quality): the input row as a struct, so no column name can clash."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), words(F.col("text")).alias("word"),
-                       F.split(text, "\n", -1).alias("line"))
-    rows = rows.withColumn("good", F.filter("line", lambda x: ~bad_line(x)))
+                       F.split(text, "\n", -1).alias("line"), may_have_boilerplate(text).alias("boilerplate"))
+    rows = rows.withColumn("good", F.filter("line", lambda x: ~bad_line(x, F.col("boilerplate"))))
     with_word = F.filter("line", lambda x: x.rlike(A_WORD))
     rows = rows.select(
         "row", F.size("word").cast("long").alias("n_words"), word_chars(F.col("text")).cast("long").alias("word_chars"),
