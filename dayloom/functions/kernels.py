@@ -5,7 +5,7 @@ Each works on stacks of series at once.  Spark decides which series share a task
 
 import numpy as np
 
-from dayloom.schema import HARMONICS, LAGS, MEMORY, WINDOWS
+from dayloom.schema import HARMONICS, LAGS, WINDOWS
 
 
 def calendar_block(t, day_number, periods, harmonics=HARMONICS):
@@ -23,14 +23,15 @@ def walk(histories, horizon, predict, lags=LAGS, windows=WINDOWS):
     gets the lag and average columns of all series and returns one value per series.
     A lag further back than the history takes the last value.
     """
-    count = np.array([min(len(h), MEMORY) for h in histories])
-    values = np.zeros((len(histories), MEMORY + horizon))
+    memory = max([*lags, *windows])
+    count = np.array([min(len(h), memory) for h in histories])
+    values = np.zeros((len(histories), memory + horizon))
     for row, h in enumerate(histories):
         if count[row]:
-            values[row, MEMORY - count[row]:MEMORY] = h[-count[row]:]
+            values[row, memory - count[row]:memory] = h[-count[row]:]
     with np.errstate(all="ignore"):
         for step in range(horizon):
-            end = MEMORY + step
+            end = memory + step
             known = count + step
             last = values[:, end - 1]
             recent = [np.where(known >= n, values[:, end - n], last) for n in lags]
@@ -38,7 +39,7 @@ def walk(histories, horizon, predict, lags=LAGS, windows=WINDOWS):
                 size = np.maximum(np.minimum(known, w), 1)
                 recent.append(values[:, end - w:end].sum(axis=1) / size)
             values[:, end] = predict(step, np.column_stack(recent))
-    return values[:, MEMORY:]
+    return values[:, memory:]
 
 
 def ridge(gram, cross, alpha):
@@ -57,12 +58,14 @@ def _on_support(gram, target, on, l2):
     return np.linalg.solve(lhs, np.where(on, target, 0.0)[:, :, None])[:, :, 0]
 
 
-def elastic_net(gram, cross, l1, l2):
+def elastic_net(gram, cross, l1, l2, rounds=None):
     """Minimise w'Gw/2 - c'w + l1 |w| + l2 |w|^2 / 2 for stacks (S,d,d) and (S,d).
 
     Active-set descent, all problems in step: take in the coordinate that violates
     optimality most, solve on the support, stop at the first weight to reach zero and
-    let it go.  The objective falls at each move, so every problem ends at its optimum.
+    let it go.  The objective falls at each move, so every problem ends at its optimum; one
+    that rounding keeps from settling within ``rounds`` moves (by default far more than any
+    needs) comes back as NaN, as a failed fit.
     """
     s, d = cross.shape
     result, todo = np.zeros((s, d)), np.arange(s)
@@ -70,7 +73,9 @@ def elastic_net(gram, cross, l1, l2):
     banned = np.zeros((s, d), dtype=bool)   # entries that cannot move off zero for now
     settled = np.ones(s, dtype=bool)
     floor = 1e-12 * np.abs(cross).max(axis=1)
-    while len(todo):
+    for _ in range(rounds or 1000 + 50 * d):
+        if not len(todo):
+            return result
         g, c = gram[todo], cross[todo]
         slope = c - np.einsum("sjk,sk->sj", g, w) - l2 * w
         excess = np.where((sign != 0) | banned, -np.inf, np.abs(slope))
@@ -102,6 +107,7 @@ def elastic_net(gram, cross, l1, l2):
         banned[~stuck] = False
         banned[rows[stuck], first[stuck]] = True
         settled = ~blocked | stuck
+    result[todo] = np.nan
     return result
 
 

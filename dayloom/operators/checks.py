@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from dayloom.functions.dates import DATE_FORMATS, SAMPLE_FORMATS, parsed_by
 from dayloom.schema import DAY, KEY, LABEL_SAMPLE, TARGET
 
-MAX_ROWS = 10_000  # optional threshold, see check_summary
-
 
 def check_summary(panel: DataFrame, feature_cols=(), order_col=DAY) -> DataFrame:
     """All row-level checks in one aggregation, one wide row per series.
@@ -46,11 +44,12 @@ def check_summary(panel: DataFrame, feature_cols=(), order_col=DAY) -> DataFrame
     )
 
 
-def check_counts(summary: DataFrame, n_columns: int, max_rows=MAX_ROWS) -> DataFrame:
+def check_counts(summary: DataFrame, n_columns: int, max_rows=None) -> DataFrame:
+    """Column and row counts; ``max_rows`` is an optional threshold."""
     too_many = F.col("n_rows") > max_rows if max_rows else F.lit(False)
     status = (
         F.when(F.lit(n_columns < 2), "error")
-        .when((F.col("n_rows") == 0) | too_many, "error")
+        .when(too_many, "error")
         .otherwise("ok")
     )
     return summary.select(
@@ -59,12 +58,14 @@ def check_counts(summary: DataFrame, n_columns: int, max_rows=MAX_ROWS) -> DataF
 
 
 def check_nulls(summary: DataFrame) -> DataFrame:
-    total = F.col("feature_nulls") + F.col("target_nulls")
+    """Missing cells of features, target and day."""
+    total = F.col("feature_nulls") + F.col("target_nulls") + F.col("unparsed_days")
     return summary.select(KEY, "feature_nulls", "target_nulls", total.alias("total_nulls"))
 
 
 def check_feature_nulls(summary: DataFrame) -> DataFrame:
-    status = F.when(F.col("feature_nulls") > 0, "error").otherwise("ok")
+    """Only the target may be missing, and a day is no target."""
+    status = F.when(F.col("feature_nulls") + F.col("unparsed_days") > 0, "error").otherwise("ok")
     return summary.select(KEY, "feature_nulls", status.alias("status"))
 
 
@@ -151,7 +152,7 @@ def detect_format_sample(raw: DataFrame, date_col: str, order_col=None, n=LABEL_
     )
 
 
-def checklist(summary: DataFrame, n_columns: int, max_rows=MAX_ROWS, formats=None) -> DataFrame:
+def checklist(summary: DataFrame, n_columns: int, max_rows=None, formats=None) -> DataFrame:
     """Tidy report ``(series_id, check, status, message)`` from the wide summary row."""
     too_many = F.col("n_rows") > max_rows if max_rows else F.lit(False)
 
@@ -168,8 +169,8 @@ def checklist(summary: DataFrame, n_columns: int, max_rows=MAX_ROWS, formats=Non
         item("rows", too_many, rows_text, F.concat(rows_text, F.lit(", above the limit"))),
         item("columns", F.lit(n_columns < 2), F.lit(f"{n_columns} columns"),
              F.lit("a date and a target column are needed")),
-        item("feature_nulls", F.col("feature_nulls") > 0, F.lit("features complete"),
-             F.format_string("%d feature cells missing", F.col("feature_nulls"))),
+        item("feature_nulls", F.col("feature_nulls") + F.col("unparsed_days") > 0, F.lit("features complete"),
+             F.format_string("%d feature cells missing", F.col("feature_nulls") + F.col("unparsed_days"))),
         item("target_nulls", ~F.col("missing_at_end"), missing_text,
              F.lit("missing targets must close the series")),
         item("daily", ~F.col("is_daily"), F.lit("days are consecutive"),

@@ -101,14 +101,14 @@ def exog_levels(panel: DataFrame, kinds, columns=None) -> DataFrame:
         .when(F.col("kind") == "multilabel", F.concat(F.lit("m_"), F.col("base"), F.lit("_"), suffix))
         .otherwise(F.concat(F.lit("x_"), F.col("base"), F.lit("_"), suffix))
     )
-    # Different raw values may share a token: later ones get a running number.
+    # Different raw values may share a token: later ones get a running number, set off by a mark no token holds.
     same = Window.partitionBy("column_base").orderBy(F.col("level").asc_nulls_last())
     return (
         levels.withColumn("column_base", name)
         .withColumn("dup", F.row_number().over(same))
         .select("original_name", "base", "kind", "level",
                 F.when(F.col("dup") == 1, F.col("column_base"))
-                .otherwise(F.concat_ws("_", "column_base", "dup")).alias("column_name"))
+                .otherwise(F.concat_ws("__", "column_base", "dup")).alias("column_name"))
     )
 
 

@@ -41,10 +41,10 @@ def calendar_gaps(split: DataFrame) -> DataFrame:
     )
 
 
-def recursion_state(split: DataFrame, exog_arrays=None) -> DataFrame:
+def recursion_state(split: DataFrame, exog_arrays=None, memory=MEMORY) -> DataFrame:
     """One row per series with all that recursion needs, from a ``part`` column.
 
-    ``hist`` keeps the newest values only: no feature looks further back.  Wanted days
+    ``hist`` keeps the newest ``memory`` values: no feature may look further back.  Wanted days
     are offsets from the last training day, beside their actual targets.
     """
     train, test = F.col("part") == "train", F.col("part") == "test"
@@ -59,7 +59,7 @@ def recursion_state(split: DataFrame, exog_arrays=None) -> DataFrame:
         known.alias("known"), wanted.alias("wanted"),
     ).filter("last_ds IS NOT NULL AND size(wanted) > 0")
     size = F.size("known")
-    hist = F.slice(F.col(f"known.{TARGET}"), F.greatest(size - MEMORY + 1, F.lit(1)), F.lit(MEMORY))
+    hist = F.slice(F.col(f"known.{TARGET}"), F.greatest(size - memory + 1, F.lit(1)), F.lit(memory))
     epoch = F.lit(EPOCH).cast("date")
     return one.select(
         KEY, "n_train",

@@ -156,6 +156,16 @@ def _solve_stack(names, n, mean_x, scale, mean_y, gram, cross, yy):
     return out
 
 
+def _solve_guarded(names, *arrays):
+    """A stack with a series that cannot be solved is solved one by one; that series gets NaN."""
+    try:
+        return _solve_stack(names, *arrays)
+    except np.linalg.LinAlgError:
+        if len(arrays[0]) == 1:
+            return np.full((1, len(names), 2, arrays[1].shape[1] + 1), np.nan)
+        return np.concatenate([_solve_guarded(names, *(a[i:i + 1] for a in arrays)) for i in range(len(arrays[0]))])
+
+
 def _solve(names):
     def run(batches):
         for pdf in batches:
@@ -166,7 +176,7 @@ def _solve(names):
                     s = len(g)
                     stacked = {c: np.stack(g[c].to_numpy()) for c in
                                ("mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights")}
-                    own = _solve_stack(
+                    own = _solve_guarded(
                         names, g["n"].to_numpy(), stacked["mean_x"], stacked["scale_x"],
                         stacked["mean_y"], stacked["gram"].reshape(s, d, d),
                         stacked["cross"].reshape(s, d, 2), stacked["yy"])

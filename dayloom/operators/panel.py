@@ -31,9 +31,17 @@ def daily_panel(rows: DataFrame, key: Column, day: Column, value: Column, **exog
 
     Summing happens before the shuffle (partial aggregation), so a series holding a
     large share of the raw rows still reaches the next stage as one row per day.
-    ``exog`` are aggregate expressions named by their column.
+    Values are summed in their own type: decimals and whole numbers exactly, with room for
+    38 digits, anything else as doubles.  ``exog`` are aggregate expressions named by their column.
     """
-    total = F.sum(value.cast("decimal(18,2)")).cast("double")
+    kind = rows.select(value).schema[0].dataType
+    if isinstance(kind, T.DecimalType):
+        value = value.cast(T.DecimalType(38, kind.scale))
+    elif isinstance(kind, T.IntegralType):
+        value = value.cast(T.DecimalType(38, 0))
+    else:
+        value = value.cast("double")
+    total = F.sum(value).cast("double")
     return (
         rows.groupBy(key.cast("string").alias(KEY), day.cast("date").alias(DAY))
         .agg(total.alias(TARGET), *[e.alias(n) for n, e in exog.items()])

@@ -109,6 +109,9 @@ def benchmark(panel: DataFrame, chosen=SERIES_MODELS, test_fraction=TEST_FRACTIO
               detect_periods=True, leak_free=False, with_exog=True) -> Benchmark:
     """Split, fit, walk forward, score and rank every series of the panel.
 
+    A series too short to split, or without any forecast, has one row ``NoModels`` with an
+    infinite error.
+
     Pass a staged panel (``stage_panel``): it is read by several branches here.
     """
     split = evaluate.time_split(panel, test_fraction).filter("part <> 'reject'")
@@ -117,7 +120,7 @@ def benchmark(panel: DataFrame, chosen=SERIES_MODELS, test_fraction=TEST_FRACTIO
     chosen_trend = trend.trend_choice(train, known_rows(panel), leak_free)
     facts = stage_by_series(_facts(train, chosen_trend, detect_periods))
     forecasts = run_models(split, facts, chosen, plan)
-    scores = evaluate.with_unscored(facts, evaluate.metrics(forecasts))
+    scores = evaluate.with_unscored(panel.select(KEY).distinct(), evaluate.metrics(forecasts))
     return Benchmark(evaluate.leaderboard(scores), forecasts)
 
 

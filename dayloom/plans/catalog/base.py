@@ -41,25 +41,30 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _cents(column):
+    """The given values have two decimals; as such both engines sum them exactly."""
+    return F.col(column).cast("decimal(18,2)")
+
+
 def lineitem_daily(spark, sf_dir) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
-    return daily_panel(t, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice"))
+    return daily_panel(t, F.col("l_returnflag"), F.col("l_shipdate"), _cents("l_extendedprice"))
 
 
 def orders_daily(spark, sf_dir) -> DataFrame:
     t = table(spark, sf_dir, "orders")
-    return daily_panel(t, F.col("o_orderpriority"), F.col("o_orderdate"), F.col("o_totalprice"))
+    return daily_panel(t, F.col("o_orderpriority"), F.col("o_orderdate"), _cents("o_totalprice"))
 
 
 def events_daily(spark, sf_dir) -> DataFrame:
     t = table(spark, sf_dir, "events")
-    return daily_panel(t, F.col("event_type"), F.col("ts"), F.col("value"))
+    return daily_panel(t, F.col("event_type"), F.col("ts"), _cents("value"))
 
 
 def lineitem_wide(spark, sf_dir) -> DataFrame:
     """Many short series: one per part."""
     t = table(spark, sf_dir, "lineitem")
-    return daily_panel(t, F.col("l_partkey"), F.col("l_shipdate"), F.col("l_extendedprice"))
+    return daily_panel(t, F.col("l_partkey"), F.col("l_shipdate"), _cents("l_extendedprice"))
 
 
 def mixed_panel(spark, sf_dir) -> DataFrame:
@@ -73,7 +78,7 @@ def exog_panel(spark, sf_dir) -> DataFrame:
     t = table(spark, sf_dir, "lineitem")
     discount = F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double")
     return daily_panel(
-        t, F.col("l_returnflag"), F.col("l_shipdate"), F.col("l_extendedprice"),
+        t, F.col("l_returnflag"), F.col("l_shipdate"), _cents("l_extendedprice"),
         disc=discount / F.count(F.lit(1)),
         status=F.min("l_linestatus"),
         labels=F.array_join(F.sort_array(F.collect_set("l_linestatus")), ","),

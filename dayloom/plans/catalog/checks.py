@@ -35,7 +35,7 @@ def _summary(spark, sf_dir):
  CAST(5 AS BIGINT) AS n_columns,
  CASE WHEN COUNT(*) > 10000 THEN 'error' ELSE 'ok' END AS status FROM panel GROUP BY 1""")
 def check_counts(spark, sf_dir):
-    return checks.check_counts(_summary(spark, sf_dir), n_columns=5)
+    return checks.check_counts(_summary(spark, sf_dir), n_columns=5, max_rows=10_000)
 
 
 _NULLS = """CAST(COUNT(*) FILTER (disc IS NULL) + COUNT(*) FILTER (status IS NULL)
@@ -44,13 +44,13 @@ _NULLS = """CAST(COUNT(*) FILTER (disc IS NULL) + COUNT(*) FILTER (status IS NUL
 
 @query("check_nulls", f"""WITH {FLAWED} SELECT series_id, {_NULLS} AS feature_nulls,
  COUNT(*) FILTER (y IS NULL) AS target_nulls,
- {_NULLS} + COUNT(*) FILTER (y IS NULL) AS total_nulls FROM panel GROUP BY 1""")
+ {_NULLS} + COUNT(*) FILTER (y IS NULL) + COUNT(*) FILTER (ds IS NULL) AS total_nulls FROM panel GROUP BY 1""")
 def check_nulls(spark, sf_dir):
     return checks.check_nulls(_summary(spark, sf_dir))
 
 
 @query("check_feature_nulls", f"""WITH {FLAWED} SELECT series_id, {_NULLS} AS feature_nulls,
- CASE WHEN {_NULLS} > 0 THEN 'error' ELSE 'ok' END AS status FROM panel GROUP BY 1""")
+ CASE WHEN {_NULLS} + COUNT(*) FILTER (ds IS NULL) > 0 THEN 'error' ELSE 'ok' END AS status FROM panel GROUP BY 1""")
 def check_feature_nulls(spark, sf_dir):
     return checks.check_feature_nulls(_summary(spark, sf_dir))
 
@@ -171,4 +171,4 @@ def detect_format_sample(spark, sf_dir):
  UNION ALL SELECT series_id, 'daily', CASE WHEN daily THEN 'ok' ELSE 'error' END,
   CASE WHEN daily THEN 'days are consecutive' ELSE 'days are not one step apart' END FROM s""")
 def checklist(spark, sf_dir):
-    return checks.checklist(_summary(spark, sf_dir), n_columns=5)
+    return checks.checklist(_summary(spark, sf_dir), n_columns=5, max_rows=10_000)
