@@ -3,11 +3,12 @@
 The automaton reads a text once; at every position its output links name all pieces that end
 there, longest first, and each relaxes the best score of that position.  No piece has a space
 mark after another character, so the best path always breaks before a word's mark; the pass
-runs from break to break and remembers the words it has met.  The table of pieces is read on the
+runs from break to break and remembers the words it has met first.  The table of pieces is read on the
 driver (its size is the vocabulary's) and sent along; nothing is trained.
 """
 
 import re
+from array import array
 from itertools import accumulate
 
 import ahocorasick
@@ -21,8 +22,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: What an unknown character costs beyond the worst piece.
 UNKNOWN = 10.0
-#: Words remembered in a task, and the longest of them.
-WORDS, WORD_CHARS = 200_000, 64
+#: Words a Python worker remembers at most, and the longest of them.
+WORDS, WORD_CHARS = 500_000, 64
 
 
 def read_pieces(path: str = MODEL):
@@ -36,8 +37,11 @@ def read_pieces(path: str = MODEL):
 
 class Pieces:
     def __init__(self, rows):
-        self.text = [p.replace(SPACE, " ") if kind == "normal" else "" for p, _, kind in rows]
         self.byte = {i: int(p[3:5], 16) for i, (p, _, kind) in enumerate(rows) if kind == "byte"}
+        #: text of each piece; a byte below 128 is a character of its own, the others (high) join up
+        self.text = np.array([p.replace(SPACE, " ") if kind == "normal" else chr(self.byte[i]) if self.byte.get(i, 128) < 128 else ""
+                              for i, (p, _, kind) in enumerate(rows)], object)
+        self.high = np.array([self.byte.get(i, 0) > 127 for i in range(len(rows))])
         self.byte_id = {b: i for i, b in self.byte.items()}
         self.unknown_id = next((i for i, r in enumerate(rows) if r[2] == "unknown"), 0)
         normal = {p: (len(p), score, i) for i, (p, score, kind) in enumerate(rows) if kind == "normal"}
@@ -49,55 +53,70 @@ class Pieces:
         self.automaton.make_automaton()
         breaks = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
         self.unit = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if breaks else "(?s).+")
+        self.inside = {p[k:k + 2] for p in normal for k in range(len(p) - 1)}
         self.known = {}
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the segmentation with the highest sum of scores; of equals, the one with longer last pieces."""
-        best, back, seen = [0.0] + [-np.inf] * len(text), [None] * (len(text) + 1), 0
+        best, back, ids, seen = [0.0] + [-np.inf] * len(text), [0] * (len(text) + 1), [None] * (len(text) + 1), 0
+        unknown = not self.single.issuperset(text)
 
         def relax_unknown(upto):
             for p in range(seen, upto):
                 if text[p] not in self.single and best[p] + self.unknown_score > best[p + 1]:
-                    best[p + 1], back[p + 1] = best[p] + self.unknown_score, (p, None)
+                    best[p + 1], back[p + 1], ids[p + 1] = best[p] + self.unknown_score, 1, None
 
         for end, (length, score, i) in self.automaton.iter(text):
-            if end >= seen:
-                relax_unknown(end + 1)
-                seen = end + 1
-            start = end + 1 - length
-            if best[start] + score > best[end + 1]:
-                best[end + 1], back[end + 1] = best[start] + score, (start, i)
-        relax_unknown(len(text))
+            end += 1
+            if unknown and end > seen:
+                relax_unknown(end)
+                seen = end
+            score += best[end - length]
+            if score > best[end]:
+                best[end], back[end], ids[end] = score, length, i
+        if unknown:
+            relax_unknown(len(text))
         out, at = [], len(text)
         while at:
-            start, i = back[at]
+            start, i = at - back[at], ids[at]
             if i is None:
                 spelled = [self.byte_id.get(b) for b in text[start:at].encode()]
                 out += [self.unknown_id] if None in spelled else spelled[::-1]
             else:
                 out.append(i)
             at = start
-        return out[::-1]
+        out.reverse()
+        return out
+
+    def _remember(self, text, found):
+        """The first WORDS words met are kept: frequent ones come early."""
+        if len(text) <= WORD_CHARS and len(self.known) < WORDS:
+            self.known[text] = found
+        return found
+
+    def _between(self, unit):
+        """Ids of one word: no piece holds two characters that no piece has side by side, so the path breaks there too."""
+        cuts = [0, *(k for k in range(1, len(unit)) if unit[k - 1:k + 1] not in self.inside), len(unit)]
+        parts = []
+        for a, b in zip(cuts, cuts[1:]):
+            part = unit[a:b]
+            found = self.known.get(part)
+            parts.append(found if found is not None else self._remember(part, array("i", self.best_path(part)).tobytes()))
+        return parts[0] if len(parts) == 1 else self._remember(unit, b"".join(parts))
 
     def encode(self, text: str) -> bytes:
         """Ids as 32-bit integers, one after the other; none for an empty text."""
-        parts = []
-        for unit in self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else ():
-            found = self.known.get(unit)
-            if found is None:
-                found = np.array(self.best_path(unit), np.int32).tobytes()
-                if len(unit) <= WORD_CHARS:
-                    if len(self.known) >= WORDS:
-                        self.known.clear()
-                    self.known[unit] = found
-            parts.append(found)
-        return b"".join(parts)
+        if not text:
+            return b""
+        known, between = self.known.get, self._between
+        return b"".join([known(u) or between(u) for u in self.unit.findall(SPACE + text.replace(" ", SPACE))])
 
     def decode(self, ids) -> str:
         """The text of ids: runs of byte pieces are read as UTF-8, the first space mark is dropped."""
-        if not self.byte.keys().isdisjoint(ids):
+        ids = np.asarray(ids, np.int64)
+        if self.high[ids].any():
             parts, held = [], bytearray()
-            for i in ids:
+            for i in ids.tolist():
                 if i in self.byte:
                     held.append(self.byte[i])
                 else:
@@ -105,10 +124,22 @@ class Pieces:
                     held = bytearray()
             text = "".join([*parts, held.decode(errors="replace")])
         else:
-            text = "".join(map(self.text.__getitem__, ids))
+            text = "".join(self.text[ids])
         return text[1:] if text[:1] == " " else text
 
 
+_MODELS = {}
+
+
+def _model(rows):
+    """One automaton and one memory of words for all tasks of a Python worker."""
+    key = hash(tuple(rows))
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Pieces(rows)
+    return _MODELS[key]
+
+
 def _strings(column):
     return [x or "" for x in column.to_pylist()]
 
@@ -123,7 +154,7 @@ def encode(docs: DataFrame, pieces=None) -> DataFrame:
     rows = docs.sparkSession.sparkContext.broadcast(pieces or read_pieces())  # the vocabulary
 
     def run(batches):
-        model = Pieces(rows.value)
+        model = _model(rows.value)
         for batch in batches:
             coded = [model.encode(t) for t in _strings(batch.column(1))]
             offsets = np.fromiter(accumulate((len(c) // 4 for c in coded), initial=0), np.int32, len(coded) + 1)
@@ -139,9 +170,11 @@ def decode(coded: DataFrame, pieces=None) -> DataFrame:
     rows = coded.sparkSession.sparkContext.broadcast(pieces or read_pieces())
 
     def run(batches):
-        model = Pieces(rows.value)
+        model = _model(rows.value)
         for batch in batches:
-            texts = [model.decode(ids or ()) for ids in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            texts = [model.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["row", "ids", "text"])
 
     coded = coded.select("row", "ids")
