@@ -23,12 +23,11 @@ SAMPLE_FORMATS = (
     "d-M-yyyy", "M-d-yyyy", "yyyy.M.d", "d.M.yyyy",
 )
 
-# Month-first, then day-first, then year-first spellings.
-MIXED_FORMATS = (
-    "yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy",
-    "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy",
-    "MMM d yyyy", "MMMM d yyyy",
-)
+# Spellings taken when no format is known, in the order they are tried.
+YEAR_FIRST = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d")
+MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy")
+DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy")
+NAMED_MONTH = ("d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy")
 
 
 def _two_digit_century(parsed: Column) -> Column:
@@ -48,11 +47,14 @@ def parse_fixed(col: Column, fmt: str) -> Column:
     return parsed if "yyyy" in fmt else _two_digit_century(parsed)
 
 
-def parse_mixed(col: Column) -> Column:
-    """Parse without a known format, cell by cell."""
+def parse_mixed(col: Column, day_first: Column = None) -> Column:
+    """Parse without a known format: months before days unless ``day_first`` is true."""
     text = F.btrim(col.cast("string"))
-    timestamps = F.try_to_timestamp(text).cast("date")
-    return F.coalesce(*[F.try_to_date(text, f) for f in MIXED_FORMATS], timestamps)
+    tried = lambda formats: F.coalesce(*[F.try_to_date(text, f) for f in formats])
+    slashed = tried(MONTH_FIRST + DAY_FIRST)
+    if day_first is not None:
+        slashed = F.when(day_first, tried(DAY_FIRST + MONTH_FIRST)).otherwise(slashed)
+    return F.coalesce(tried(YEAR_FIRST), slashed, tried(NAMED_MONTH), F.try_to_timestamp(text).cast("date"))
 
 
 def _shape(fmt: str) -> str:

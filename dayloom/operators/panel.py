@@ -8,6 +8,9 @@ from dayloom.functions.dates import parse_fixed, parse_mixed, parse_with
 from dayloom.functions.text import no_nan, to_number
 from dayloom.schema import DAY, KEY, TARGET
 
+DAY_FIRST_SERIES = "_day_first"
+DAY_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 def by_series():
     return Window.partitionBy(KEY)
@@ -50,13 +53,23 @@ def daily_panel(rows: DataFrame, key: Column, day: Column, value: Column, **exog
 
 def _parsed_day(raw: DataFrame, column: str, fmt, fmt_column):
     kind = raw.schema[column].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, DAY_TYPES):
         return F.col(column).cast("date")
     if fmt_column:
         return parse_with(f"`{column}`", fmt_column)
     if fmt:
         return parse_fixed(F.col(column).cast("string"), fmt)
-    return parse_mixed(F.col(column))
+    return parse_mixed(F.col(column), F.col(DAY_FIRST_SERIES))
+
+
+def _with_day_order(raw: DataFrame, column: str, key):
+    """Marks the series in which some cell is no date: all their days are read day first.
+
+    One flag a series is what meets the rows again.
+    """
+    flags = raw.groupBy(key.alias("_flag_key")).agg(
+        F.bool_or(parse_mixed(F.col(column)).isNull()).alias(DAY_FIRST_SERIES))
+    return raw.join(flags, key.eqNullSafe(F.col("_flag_key")), "left")
 
 
 def _as_number(raw: DataFrame, column: str):
@@ -70,12 +83,15 @@ def standardize(raw: DataFrame, fmt=None, fmt_column=None, date_col=None, target
     """First column to ``ds``, last to ``y``, the middle ones kept; projection only.
 
     ``fmt`` is one format for all rows, ``fmt_column`` a column of formats by row; with
-    neither, cells are parsed one by one.  A frame without a key is one series.
+    neither, cells are parsed one by one, month before day, or day before month in a series
+    with a cell that is no date.  A frame without a key is one series.
     """
     data = [c for c in raw.columns if c not in (KEY, fmt_column)]
     first, last = date_col or data[0], target_col or data[-1]
     middle = [c for c in data if c not in (first, last, DAY, TARGET)]
     key = F.col(KEY) if KEY in raw.columns else F.lit("series")
+    if not fmt and not fmt_column and not isinstance(raw.schema[first].dataType, DAY_TYPES):
+        raw = _with_day_order(raw, first, key)
     return raw.select(
         key.cast("string").alias(KEY),
         _parsed_day(raw, first, fmt, fmt_column).alias(DAY),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import kernels
 from dayloom.operators import checks, exog, forecast, models
-from dayloom.operators.panel import daily_panel
+from dayloom.operators.panel import daily_panel, standardize
 from dayloom.plans import benchmark as jobs
 
 DAY = dt.date(2024, 1, 1)
@@ -80,3 +80,11 @@ def test_lags_beyond_a_year(spark):
     rows = spark.range(500).selectExpr("'a' AS series_id", "date_add(date'2020-01-01', cast(id as int)) AS ds", "cast(id as double) AS y",
                                        "if(id < 490, 'train', 'test') AS part")
     assert len(forecast.recursion_state(rows, memory=400).first().hist) == 400
+
+
+def test_one_junk_cell_makes_a_series_day_first(spark):
+    rows = [("a", "03/04/2023", 1.0), ("a", "13/04/2023", 2.0), ("a", "n/a", 3.0), ("b", "03/04/2023", 4.0), ("b", "4 May 2023", 5.0)]
+    out = standardize(spark.createDataFrame(rows, "series_id string, d string, v double"))
+    assert out.columns == ["series_id", "ds", "y"]
+    got = {r.y: r.ds for r in out.collect()}
+    assert got == {1.0: dt.date(2023, 4, 3), 2.0: dt.date(2023, 4, 13), 3.0: None, 4.0: dt.date(2023, 3, 4), 5.0: dt.date(2023, 5, 4)}
