@@ -154,11 +154,15 @@ def missing_day_vector(plan):
 def encode_long(panel: DataFrame, kinds, levels: DataFrame, columns=None) -> DataFrame:
     """Non-zero encoded cells as ``(series_id, ds, column_name, value)`` for any level count.
 
-    Levels join by value; whether they are broadcast is left to their measured size.
+    Levels join by value; whether they are broadcast is left to their measured size.  Cells
+    without a level, numbers and missing categories, take their column's one name by
+    projection: as join keys they would all meet in one task.
     """
     columns = list(columns or exog_columns(panel))
     known = [k for k in _known_kinds(kinds) if k["original_name"] in columns]
     no_level = F.array(F.lit(None).cast("string"))
+    plain = {r["original_name"]: r["column_name"]  # one row a source column
+             for r in levels.filter("level IS NULL").select("original_name", "column_name").collect()}
     entries = []
     for k in known:
         if k["kind"] == "numeric":
@@ -169,16 +173,17 @@ def encode_long(panel: DataFrame, kinds, levels: DataFrame, columns=None) -> Dat
             hit = F.array_distinct(_level_array(k))
             hit = F.coalesce(hit, no_level) if k["kind"] == "categorical" else hit
         entries.append(F.struct(F.lit(k["original_name"]).alias("original_name"),
+                                F.lit(plain.get(k["original_name"])).cast("string").alias("plain"),
                                 number.alias("value"), hit.alias("hit")))
     hits = (
         panel.select(KEY, DAY, F.explode(F.array(*entries)).alias("e"))
-        .select(KEY, DAY, "e.original_name", "e.value", F.explode("e.hit").alias("level"))
+        .select(KEY, DAY, "e.original_name", "e.plain", "e.value", F.explode("e.hit").alias("level"))
     )
-    return hits.alias("h").join(
+    named = hits.filter("level IS NOT NULL").alias("h").join(
         levels.alias("l"),
-        (F.col("h.original_name") == F.col("l.original_name"))
-        & F.col("h.level").eqNullSafe(F.col("l.level")),
+        (F.col("h.original_name") == F.col("l.original_name")) & (F.col("h.level") == F.col("l.level")),
     ).select(KEY, DAY, "l.column_name", "h.value")
+    return named.union(hits.filter("level IS NULL AND plain IS NOT NULL").select(KEY, DAY, "plain", "value"))
 
 
 def future_exog(future: DataFrame, plan) -> DataFrame:
