@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from dayloom.operators import evaluate, features, forecast, models
+from dayloom.operators.panel import by_series
 from dayloom.plans import benchmark as jobs
 from dayloom.plans.catalog.base import (
     LINEITEM_SQL, MIXED_SQL, exog_panel, lineitem_daily, lineitem_wide, masked, masked_exog_panel,
@@ -195,3 +196,31 @@ def future_top3(spark, sf_dir):
     chosen = RIDGES + ("BayesianRidge", "SGD")
     scores = jobs.benchmark(panel, chosen).scores
     return jobs.future_of_top(panel, scores, chosen)
+
+
+_CLOSED = ("Ridge (alpha=0.5)", "Ridge (alpha=2.0)", "Lasso (alpha=0.1)", "ElasticNet (alpha=0.01, l1=0.7)", "SGD")
+_SHRUNK = "SIGN(c) * GREATEST(ABS(c) - {l1!r}, 0) / (1 + {l2!r}) / s"
+# On one feature every quadratic model has a closed form: shrink, then soften.
+_WEIGHT = {
+    _CLOSED[0]: "sxy / (sxx + 0.5)", _CLOSED[1]: "sxy / (sxx + 2.0)",
+    _CLOSED[2]: _SHRUNK.format(l1=0.1, l2=0.0), _CLOSED[3]: _SHRUNK.format(l1=0.01 * 0.7, l2=0.01 * 0.3),
+    _CLOSED[4]: "sxy / (sxx * (1 + 0.0001))",
+}
+_BY_MODEL = " UNION ALL ".join(f"SELECT series_id, n, mx, my, '{m}' AS model, {w} AS w FROM q" for m, w in _WEIGHT.items())
+
+
+@query("linear_one_feature", f"""WITH panel AS ({MIXED_SQL}),
+ p AS (SELECT series_id, CAST(ds - MIN(ds) OVER (PARTITION BY series_id) AS DOUBLE) AS t, y / 1000.0 AS v FROM panel),
+ a AS (SELECT *, AVG(t) OVER (PARTITION BY series_id) AS mx, AVG(v) OVER (PARTITION BY series_id) AS my FROM p),
+ m AS (SELECT series_id, COUNT(*) AS n, MIN(mx) AS mx, MIN(my) AS my, SUM((t - mx) * (t - mx)) AS sxx,
+  SUM((t - mx) * (v - my)) AS sxy FROM a GROUP BY 1),
+ q AS (SELECT *, SQRT(sxx / n) AS s, sxy / SQRT(sxx / n) / n AS c FROM m)
+ SELECT series_id, model, n, {r('w', 5)} AS coef, {r('my - w * mx', 5)} AS intercept FROM ({_BY_MODEL})""")
+def linear_one_feature(spark, sf_dir):
+    """The quadratic models on the day number alone, where SQL can solve them too."""
+    panel = mixed_panel(spark, sf_dir)
+    first = F.min(DAY).over(by_series())
+    rows = panel.select(KEY, DAY, F.array(F.datediff(DAY, first).cast("double")).alias("x"),
+                        (F.col(TARGET) / 1000.0).alias(TARGET), (F.col(TARGET) / 1000.0).alias("detrended"))
+    table = models.coefficients(models.fit_linear(rows, _CLOSED), _CLOSED).filter(~F.endswith("model", F.lit("+Trend")))
+    return table.select(KEY, "model", "n", rnd(F.col("coef")[0], 5).alias("coef"), rnd("intercept", 5).alias("intercept"))
