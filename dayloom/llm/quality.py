@@ -111,8 +111,8 @@ def _judged(docs: DataFrame, max_loss: float) -> DataFrame:
     """(row, quality): the input row as a struct, so no column name can clash."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), text.alias("text"), words(F.col("text")).alias("word"),
-                       F.split(text, "\n", -1).alias("line"), may_have_boilerplate(text).alias("boilerplate"))
-    rows = rows.withColumn("good", F.filter("line", lambda x: ~bad_line(x, F.col("boilerplate"))))
+                       F.split(text, "\n", -1).alias("line"))
+    rows = rows.withColumn("good", let(may_have_boilerplate(F.col("text")), lambda b: F.filter("line", lambda x: ~bad_line(x, b))))
     with_word = F.filter("line", lambda x: x.rlike(A_WORD))
     rows = rows.select(
         "row", F.size("word").cast("long").alias("n_words"), word_chars(F.col("text")).cast("long").alias("word_chars"),
@@ -122,8 +122,9 @@ def _judged(docs: DataFrame, max_loss: float) -> DataFrame:
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     left = word_chars(F.col("clean"))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("word_chars") - left <= max_loss * F.col("word_chars")))
-    return rows.select("row", F.struct(
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean").alias("quality"))
+    verdict = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean")
+    # one row each; a filter on the verdict stays above it instead of repeating all of the above
+    return rows.select("row", F.explode(F.array(verdict)).alias("quality"))
 
 
 def cleaned(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
