@@ -1,7 +1,8 @@
 """Licence scan by sentence rules: known sentences become identifiers, identifier runs become licences.
 
-A text is cut into sentences, each is normalised to lower-case letters and digits with single
-spaces and looked up.  The identifiers found, in order, are then matched against ordered rules;
+A text is cut into parts, each is normalised to lower-case letters and digits with single spaces,
+and a known sentence is a part or consecutive parts: it may itself hold what cuts a text ("v. 2.0",
+a line that opens as another sentence).  The identifiers found, in order, are then matched against ordered rules;
 a rule takes the identifiers it covers, so a longer rule before a shorter one wins.
 All of it is column expressions over the row's own text; nothing is shuffled.
 """
@@ -77,19 +78,22 @@ OPENINGS = "|".join(sorted({" ".join(s.split()[:2]) for s in SENTENCES.values()}
 ENDS = ((rf"([.!?:]){GAP}+", 1), (rf"\n{GAP}*\n", 0), (rf"\n({OPENINGS})", 2))
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-
-
 def _plain(sentence: str) -> str:
     import re
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def sentences(text: Column) -> Column:
+def parts(text: Column) -> Column:
+    """The normalised parts of a text in order, each between two cut marks."""
     for pattern, kind in ENDS:
         text = F.regexp_replace(text, pattern, ("\x01", "$1\x01", "\x01$1")[kind])
-    return F.split(text, CUT)
+    text = F.regexp_replace(F.lower(F.concat(F.lit(CUT), text, F.lit(CUT))), "[^a-z0-9\x01]+", " ")
+    return F.regexp_replace(text, " ?\x01[ \x01]*", CUT)
+
+
+def _pattern(plain) -> str:
+    """One alternative a sentence; any space may be a cut, and of two that fit the shorter is taken."""
+    return f"{CUT}({'|'.join(p.replace(' ', f'[ {CUT}]') for p in sorted(plain, key=len) if p)})(?={CUT})"
 
 
 def licence_scan(docs: DataFrame, known=None, rules=None) -> DataFrame:
@@ -104,7 +108,8 @@ def licence_scan(docs: DataFrame, known=None, rules=None) -> DataFrame:
     lookup = F.create_map(*[F.lit(x) for i, s in known.items() for x in (_plain(s), i)])
     text = F.coalesce("text", F.lit(""))
     worth = reduce(lambda a, b: a | b, (F.lower(text).contains(k) for k in KEYS))
-    ids = F.filter(F.transform(sentences(text), lambda s: F.element_at(lookup, normal(s))), lambda i: i.isNotNull())
+    found = F.regexp_extract_all(parts(text), F.lit(_pattern(map(_plain, known.values()))), 1)
+    ids = F.transform(found, lambda s: F.element_at(lookup, F.translate(s, CUT, " ")))
     names = [c for c in docs.columns if c != "licence"]
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"),
                        F.when(worth, ids).otherwise(F.array().cast("array<string>")).alias("ids"))

@@ -57,6 +57,64 @@ def test_every_sentence_has_a_key():
     assert all(i in licenses.SENTENCES for _, need in licenses.RULES for i in need)
 
 
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_every_sentence_and_rule_is_found(spark):
+    """Each sentence alone and inside prose, each rule's sentences on lines and wrapped, and headers as published."""
+    s, rows, want = licenses.SENTENCES, [], []
+    for i, sentence in s.items():
+        for t in (sentence, f"Prose before.\n\n{sentence}\n\nProse after."):
+            rows.append(t)
+            want.append(([i], None))
+    for name, need in licenses.RULES:
+        for end in ("\n", "\n\n"):
+            t = end.join(s[i] for i in need)
+            for text in (t, re.sub(r"(.{60}[^ \n]*) ", r"\1" + "\n", t), re.sub(r" (?=THE SOFTWARE OR|The above|See the)", "\n", t)):
+                rows.append(text)
+                want.append((list(need), name))
+    rows += [GPL3, MPL, APACHE]
+    want += [(["GPLFree", "GPLHope", "GPLSee"], "GPL-3.0-or-later"), (["MPLTerms"], "MPL-2.0"),
+             (["ApacheHead", "ApacheCopy", "ApacheBasis", "ApacheSee"], "Apache-2.0")]
+    out = licenses.licence_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    for r in out:
+        ids, name = want[r.doc_id]
+        assert r.licence.sentence_ids == ids, r.text
+        assert name is None or (r.licence.names == [name] and r.licence.n_matches == 1 and r.licence.n_left == 0), r.text
+    assert len(out) == len(rows)
+
+
+def test_half_a_sentence_is_none(spark):
+    halves = [GPL3[:34], GPL3[34:280], "v. 2.0.", "License, v.\n\nOther words.\n\n2.0."]
+    out = licenses.licence_scan(spark.createDataFrame(list(enumerate(halves)), "doc_id long, text string")).collect()
+    assert all(r.licence.sentence_ids == [] and r.licence.names == [] for r in out)
+
+
 def test_empty(spark):
     assert licenses.licence_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
