@@ -29,7 +29,7 @@ _MIX = 0xBF58476D1CE4E5B9
 _LOW = np.uint64(0xFFFFFFFF)
 
 ANCHORS = "key long, c1 long, c2 long, doc_id long, digest long, s1 int, s2 int"
-PIECES = "key long, other long, doc_id long, digest long, s int, n long, piece binary"
+PIECES = "key long, other long, doc_id long, digest long, s int, n long, piece binary, owner long"
 RUNS = "doc_id long, digest long, s1 int, s2 int"
 
 
@@ -87,10 +87,10 @@ def _bytes(column):
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def _find_anchors(length, gram):
+def _find_anchors(length, gram, columns=ANCHORS):
     def run(batches):
         tables = _powers(CHUNK + 2 * length)
-        schema = pa.schema([(c.split()[0], pa.int64() if "long" in c else pa.int32()) for c in ANCHORS.split(", ")])
+        schema = pa.schema([(c.split()[0], pa.int64() if "long" in c else pa.int32()) for c in columns.split(", ")])
         for batch in batches:
             ids, digests = batch.column(0), batch.column(1)
             for held in _slices(_bytes(batch.column(2)), length):
@@ -103,34 +103,41 @@ def _find_anchors(length, gram):
                 content = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(
                     s1.tolist(), (s2 + length).tolist())), "<i8").reshape(-1, 2)
                 of = owner[s1]
+                row = pa.array(np.array([r for r, _, _ in held])[of])
+                owners = ()
                 if batch.num_columns > 3:  # equal strings of two scopes do not meet
-                    scopes = batch.column(3).to_pylist()
-                    key = key ^ np.array([xxhash.xxh64_intdigest((scopes[r] or "").encode()) for r, _, _ in held], np.uint64)[of]
+                    scopes, owners = batch.column(3).to_pylist(), (batch.column(4).take(row),)
+                    scope = np.array([xxhash.xxh64_intdigest((scopes[r] or "").encode()) for r, _, _ in held], np.uint64)[of]
+                    key, content = key ^ scope, content ^ np.c_[scope, np.zeros_like(scope)].view(np.int64)
                 shift = (np.array([at for _, at, _ in held]) - (np.cumsum(sizes) - sizes))[of]
-                row = pa.array(np.array([r for r, _, _ in held])[of])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(key.view(np.int64)), pa.array(content[:, 0]), pa.array(content[:, 1]), ids.take(row), digests.take(row),
-                    pa.array((s1 + shift).astype(np.int32)), pa.array((s2 + shift).astype(np.int32))], schema=schema)
+                    pa.array((s1 + shift).astype(np.int32)), pa.array((s2 + shift).astype(np.int32)), *owners], schema=schema)
 
     return run
 
 
-def _cut_pieces(length):
-    """Bytes of the runs asked for; for runs of a hot anchor one digest a start instead."""
+def _cut_pieces(length, scoped):
+    """Bytes of the runs asked for; for runs of a hot anchor one digest a start instead.
+
+    ``scoped``: a piece stands for all runs of its content, so it is named by that and counted from its own start.
+    """
     def run(batches):
         schema = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("doc_id", pa.int64()), ("digest", pa.int64()),
-                            ("s", pa.int32()), ("n", pa.int64()), ("piece", pa.binary())])
+                            ("s", pa.int32()), ("n", pa.int64()), ("piece", pa.binary()), ("owner", pa.int64())])
         for batch in batches:
             rows = []
             for doc, digest, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                                 _bytes(batch.column(2)), batch.column(3).to_pylist()):
                 for q in asked:
+                    name = (q["c1"], q["c2"]) if scoped else (doc, digest)
+                    base = q["s1"] if scoped else 0
                     if q["hot"]:
                         for s in range(q["s1"], q["s2"] + 1):
                             a, b = np.frombuffer(xxhash.xxh3_128_digest(text[s:s + length]), "<i8").tolist()
-                            rows.append((a ^ q["key"], b, doc, digest, s, q["n"], None))
+                            rows.append((a ^ q["key"], b, *name, s - base, q["n"], None, q["owner"]))
                     else:
-                        rows.append((q["key"], None, doc, digest, q["s1"], q["n"], text[q["s1"]:q["s2"] + length]))
+                        rows.append((q["key"], None, *name, q["s1"] - base, q["n"], text[q["s1"]:q["s2"] + length], q["owner"]))
                     if len(rows) >= 1 << 14:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows = []
@@ -143,13 +150,14 @@ def _cut_pieces(length):
 def _search_pieces(length, scoped):
     """Repeated starts in pieces that come sorted by anchor; whole anchors are put together up to CHUNK.
 
-    ``scoped``: anchors stay apart, and a string counts if two documents have it.
+    ``scoped``: anchors stay apart, and a string counts if two owners have it; a run seen twice has several, so it is one of its own.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("s1", pa.int32()), ("s2", pa.int32())])
 
     def search(rows):
         names = {}
-        found = repeated_starts([r[5] for r in rows], length, [names.setdefault(r[1:3], len(names)) for r in rows] if scoped else None)
+        owners = [names.setdefault(r[6] if r[4] == 1 else (i,), len(names)) for i, r in enumerate(rows)] if scoped else None
+        found = repeated_starts([r[5] for r in rows], length, owners)
         ends = np.cumsum([len(r[5]) for r in rows])
         at = np.flatnonzero(found)
         of = np.searchsorted(ends, at, side="right")
@@ -167,7 +175,7 @@ def _search_pieces(length, scoped):
     def run(batches):
         held, size, cut = [], 0, 0  # cut: rows before the last anchor
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if held and row[0] != held[-1][0]:
                     if scoped or size >= CHUNK or len(held) > 60000:
                         if (out := search(held)) is not None:
@@ -185,36 +193,47 @@ def repeated_runs(docs: DataFrame, length=LENGTH, gram=GRAM, limit=LIMIT) -> Dat
     """(doc_id, digest, s1, s2): runs of starts, strings of ``length`` bytes from which occur twice or more.
 
     In: (doc_id, digest, text), and with a fourth column ``scope`` a string counts if it occurs in
-    two documents of one scope.
+    two documents of one scope.  With a fifth, ``owner`` (long), documents of one owner count as one.
     """
-    scoped, doc = len(docs.columns) > 3, F.struct("doc_id", "digest")
-    number = F.when(F.min(doc) < F.max(doc), 2).otherwise(1).cast("long") if scoped else F.count("*")
+    scoped = len(docs.columns) > 3
     plain = docs.select("doc_id", "digest", "text")
-    anchors = stage(docs.mapInArrow(_find_anchors(length, gram), ANCHORS), "anchors")
+    if scoped:
+        owner = F.col("owner") if "owner" in docs.columns else F.xxhash64("doc_id", "digest")
+        docs = docs.select("doc_id", "digest", "text", "scope", owner.alias("owner"))
+    several_owners = F.when(F.min("owner") < F.max("owner"), 2).otherwise(1).cast("long")
+    number = several_owners if scoped else F.count("*")
+    columns = f"{ANCHORS}, owner long" if scoped else ANCHORS
+    anchors = stage(docs.mapInArrow(_find_anchors(length, gram, columns), columns), "anchors")
     seen = stage(anchors.groupBy("key").count().where("count > 1").select("key"), "seen")
     shared = stage(anchors.join(seen, "key", "left_semi"), "shared")
-    distinct = stage(shared.groupBy("key", "c1", "c2").agg(
-        number.alias("n"), F.min(F.struct("doc_id", "digest", "s1", "s2")).alias("one")), "distinct")
+    one = F.min(F.struct("doc_id", "digest", "s1", "s2", *(["owner"] if scoped else [])))
+    distinct = stage(shared.groupBy("key", "c1", "c2").agg(number.alias("n"), one.alias("one")), "distinct")
     again = distinct.where("n > 1").select("key", "c1", "c2")
     whole = shared.join(again, ["key", "c1", "c2"], "left_semi").select("doc_id", "digest", "s1", "s2")
 
     several = stage(distinct.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1").select(
         "key", (F.col("runs") > limit).alias("hot")), "several")
+    own = ["c1", "c2", F.col("one.owner").alias("owner")] if scoped else [F.lit(0).cast("long").alias("owner")]
     asked = distinct.join(several, "key").select(
         F.col("one.doc_id").alias("i"), F.col("one.digest").alias("d"),
-        F.struct("key", "hot", "n", F.col("one.s1").alias("s1"), F.col("one.s2").alias("s2")).alias("q")).groupBy("i", "d").agg(
+        F.struct("key", "hot", "n", F.col("one.s1").alias("s1"), F.col("one.s2").alias("s2"), *own).alias("q")).groupBy("i", "d").agg(
         F.collect_list("q").alias("asked"))
     pieces = stage(plain.join(asked, plain.doc_id.eqNullSafe(asked.i) & (plain.digest == asked.d)).select(
-        "doc_id", "digest", "text", "asked").mapInArrow(_cut_pieces(length), PIECES), "pieces")
-    searched = pieces.where("piece IS NOT NULL").select("key", "doc_id", "digest", "s", "n", "piece").repartition(
+        "doc_id", "digest", "text", "asked").mapInArrow(_cut_pieces(length, scoped), PIECES), "pieces")
+    found = pieces.where("piece IS NOT NULL").select("key", "doc_id", "digest", "s", "n", "piece", "owner").repartition(
         "key").sortWithinPartitions("key").mapInArrow(_search_pieces(length, scoped), RUNS)
-    runs = whole.union(searched)
     if not several.where("hot").isEmpty():
         single = pieces.where("piece IS NULL")
-        twice = stage(single.groupBy("key", "other").agg(number.alias("n")).where("n > 1").select("key", "other"), "twice")
-        runs = runs.union(single.join(twice, ["key", "other"], "left_semi").where("n = 1").select(
+        # a run seen twice is shared already, so what it has is shared by all
+        number = F.greatest(F.max("n"), several_owners) if scoped else F.count("*")
+        twice = stage(single.groupBy("key", "other").agg(number.alias("m")).where("m > 1").select("key", "other"), "twice")
+        found = found.union(single.join(twice, ["key", "other"], "left_semi").where("n = 1").select(
             "doc_id", "digest", "s", F.col("s").alias("e")))
-    return runs
+    if scoped:  # what a run shares holds wherever its content stands
+        found = found.toDF("c1", "c2", "a", "b")
+        found = shared.select("c1", "c2", "doc_id", "digest", "s1").join(found, ["c1", "c2"]).select(
+            "doc_id", "digest", F.col("s1") + F.col("a"), F.col("s1") + F.col("b"))
+    return whole.union(found)
 
 
 def _remove(length, keep_bytes):
