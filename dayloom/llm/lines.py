@@ -1,7 +1,7 @@
 """Line dedup: normalised lines are hashed, grouped globally, and kept where they rank first.
 
-Short lines that happen to be equal are no repeated passage, so what goes is a run of consecutive
-lines, each seen earlier, with ``min_words`` words in all.  Offsets refer to the original text.
+Every later line goes.  With ``min_words`` only runs of consecutive lines, each seen earlier, with as
+many words in all go; the query asks for 50, as its SQL does.  Offsets refer to the original text.
 """
 
 import hashlib
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dayloom.llm.common import id_key, stage, table
 
+#: Words of a run that the query removes, fixed by OP10_SQL.
 MIN_WORDS = 50
 
 
@@ -87,8 +88,8 @@ def _cut(min_words, keep_text):
     return run
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, keep_text=True) -> DataFrame:
-    """(row, n_lines, n_removed, spans, kept_sha256, kept_text): each document without passages that stand earlier.
+def without_repeated_lines(docs: DataFrame, min_words: int = 1, keep_text=True) -> DataFrame:
+    """(row, n_lines, n_removed, spans, kept_sha256, kept_text): each document without lines that stand earlier.
 
     In: ``doc_id``, ``text`` and any further columns; ``row`` is a struct of all but the text.  Lines
     are split at \\n, lower-cased and their white space evened out; lines without a word neither
@@ -114,7 +115,7 @@ def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, keep_tex
 
 def op10_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = without_repeated_lines(docs, keep_text=False)
+    out = without_repeated_lines(docs, MIN_WORDS, keep_text=False)
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.select("row.doc_id", "n_lines", "n_removed", text.alias("removed_spans"), "kept_sha256")
 

@@ -50,6 +50,13 @@ def test_equals_plain_loop(spark, least):
         assert hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_every_later_line_goes_by_default(spark):
+    """A short copy goes whole, a short line on its own goes, also inside one document."""
+    rows = [(1, "a short text\nof two lines"), (2, "A  short text\nof two lines"), (3, "own words\na short text\nmore own words\nown words")]
+    out = lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.row.doc_id: r.kept_text for r in out} == {1: rows[0][1], 2: "", 3: "own words\nmore own words\n"}
+
+
 def test_empty(spark):
     assert lines.without_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
