@@ -1,11 +1,12 @@
 """Registered queries of the corpus operators and the SQL that some of them equal."""
 
-from dayloom.llm import html, licenses, lines, minhash, mixing, pieces, quality, repeats, sharding, simhash
+from dayloom.llm import html, licenses, lines, minhash, mixing, periods, pieces, quality, repeats, sharding, simhash
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_licenses": licenses.op2_licenses,
     "op10_lines": lines.op10_lines,
+    "op11_periods": periods.op11_periods,
     "op3_fingerprints": minhash.op3_fingerprints,
     "op4_quality": quality.op4_quality,
     "op5_simhash": simhash.op5_simhash,
