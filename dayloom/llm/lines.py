@@ -1,7 +1,7 @@
 """Line dedup: normalised lines are hashed, grouped globally, and kept where they rank first.
 
-Every later line goes.  With ``min_words`` only runs of consecutive lines, each seen earlier, with as
-many words in all go; the query asks for 50, as its SQL does.  Offsets refer to the original text.
+Every later line goes, however short.  A caller may ask with ``min_words`` that only runs of consecutive
+lines, each seen earlier, with as many words in all go.  Offsets refer to the original text.
 """
 
 import hashlib
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from dayloom.llm.common import id_key, stage, table
 
-#: Words of a run that the query removes, fixed by OP10_SQL.
-MIN_WORDS = 50
+#: Least words of a run of later lines that is removed: every later line goes.
+MIN_WORDS = 1
 
 
 def _normal(line: str) -> list[str]:
@@ -88,7 +88,7 @@ def _cut(min_words, keep_text):
     return run
 
 
-def without_repeated_lines(docs: DataFrame, min_words: int = 1, keep_text=True) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, keep_text=True) -> DataFrame:
     """(row, n_lines, n_removed, spans, kept_sha256, kept_text): each document without lines that stand earlier.
 
     In: ``doc_id``, ``text`` and any further columns; ``row`` is a struct of all but the text.  Lines
@@ -115,9 +115,9 @@ def without_repeated_lines(docs: DataFrame, min_words: int = 1, keep_text=True)
 
 def op10_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = without_repeated_lines(docs, MIN_WORDS, keep_text=False)
+    out = without_repeated_lines(docs)
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return out.select("row.doc_id", "n_lines", "n_removed", text.alias("removed_spans"), "kept_sha256")
+    return out.select("row.doc_id", "n_lines", "n_removed", text.alias("removed_spans"), "kept_sha256", "kept_text")
 
 
 OP10_SQL = f"""
@@ -135,6 +135,6 @@ k AS (SELECT w.r, w.i, w.line, max(w.i) OVER (PARTITION BY w.r) AS last, s.r IS
 t AS (SELECT r, string_agg(line || CASE WHEN i < last THEN chr(10) ELSE '' END, '' ORDER BY i) FILTER (WHERE stays) AS left_text FROM k GROUP BY r),
 n AS (SELECT r, count(*) AS n_lines FROM u GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_spans, '') AS removed_spans,
-  sha256(coalesce(left_text, '')) AS kept_sha256
+  sha256(coalesce(left_text, '')) AS kept_sha256, coalesce(left_text, '') AS kept_text
 FROM d LEFT JOIN e USING (r) LEFT JOIN t USING (r) LEFT JOIN n USING (r)
 """

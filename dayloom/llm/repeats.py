@@ -236,7 +236,10 @@ def repeated_runs(docs: DataFrame, length=LENGTH, gram=GRAM, limit=LIMIT) -> Dat
     return whole.union(found)
 
 
-def _remove(length, keep_bytes):
+def _remove(length, keep_bytes, min_words, enough):
+    def long_enough(text, span):
+        return span[1] - span[0] >= enough or len(text[span[0]:span[1]].split()) >= min_words
+
     def run(batches):
         for batch in batches:
             out = []
@@ -247,6 +250,8 @@ def _remove(length, keep_bytes):
                         spans[-1][1] = max(e, spans[-1][1])
                     else:
                         spans.append([s, e])
+                if min_words:
+                    spans = [span for span in spans if long_enough(text, span)]
                 edges = [0, *(x for span in spans for x in span), len(text)]
                 left = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append((len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(),
@@ -259,12 +264,13 @@ def _remove(length, keep_bytes):
     return run
 
 
-def without_repeats(docs: DataFrame, length=LENGTH, gram=GRAM, limit=LIMIT, keep_bytes=True) -> DataFrame:
+def without_repeats(docs: DataFrame, length=LENGTH, gram=GRAM, limit=LIMIT, keep_bytes=True, min_words=0, enough=LENGTH) -> DataFrame:
     """Each document with what repeats removed: (row, n_bytes, n_removed, n_spans, kept_sha256, spans, kept, kept_text).
 
     In: ``doc_id``, ``text`` and any further columns; ``row`` is a struct of all but the text, so no
     name can clash.  Every byte covered by a string of ``length`` bytes that also starts elsewhere,
-    in the same or another document, goes; strings are judged on the input.  ``spans`` has the
+    in the same or another document, goes; strings are judged on the input.  With ``min_words`` a
+    removed range must have as many words, or ``enough`` bytes.  ``spans`` has the
     removed byte ranges, ``kept`` the remaining bytes and ``kept_text`` their whole characters (both
     null unless ``keep_bytes``).  A null text
     counts as empty.  Repeated rows are documents of their own, so each copy goes; null ids are
@@ -279,7 +285,7 @@ def without_repeats(docs: DataFrame, length=LENGTH, gram=GRAM, limit=LIMIT, keep
     joined = own.join(runs, own.doc_id.eqNullSafe(runs.i) & (own.digest == runs.d), "left").select("row", "text", "runs")
     schema = (f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
               "spans array<struct<start: long, end: long>>, kept binary, kept_text string")
-    return joined.mapInArrow(_remove(length, keep_bytes), schema)
+    return joined.mapInArrow(_remove(length, keep_bytes, min_words, enough), schema)
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
@@ -291,4 +297,4 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
 def op7_repeats(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_repeats(docs, keep_bytes=False).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return without_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")

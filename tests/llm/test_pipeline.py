@@ -22,6 +22,9 @@ def documents():
     rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(prose)]
     rows += [(100 + i, prose[i], "en", "s0", 1) for i in range(5)]
     rows += [(200 + i, prose[10 + i] + "\n" + passage, "en", "s1", 1) for i in range(6)]
+    words = ["".join(map(chr, rng.integers(97, 123, 3))) for _ in range(60)]
+    short, brief = " ".join(words) + ".", " ".join(w * 2 for w in words[:40]) + "."
+    rows += [(220 + i, prose[25 + i] + "\n" + part, "en", "s1", 1) for i, part in enumerate((short, short, brief, brief))]
     rows += [(300, "too short", "en", "s2", 9), (301, None, None, None, None), (302, prose[20] + "\nRead more", "en", None, 1)]
     return rows
 
@@ -35,13 +38,16 @@ def test_run_equals_plain_stages(spark, tmp_path):
     kept = [(i, "\n".join(x for x in t.split("\n") if x != "Read more"), s) for i, t, _, s, _ in rows if t and len(t.split()) >= 50]
     groups = simhash_test.slow_components([r[0] for r in kept], [simhash_test.slow_print(r[1]) for r in kept])
     kept = [r for r, g in zip(kept, groups) if r[0] == g]
-    seen = Counter(t.encode()[k:k + 400] for _, t, _ in kept for k in range(len(t.encode()) - 399))
+    seen = Counter(t.encode()[k:k + 150] for _, t, _ in kept for k in range(len(t.encode()) - 149))
     texts = {}
     for i, t, s in kept:
         data, gone = t.encode(), np.zeros(len(t.encode()), bool)
-        for k in range(len(data) - 399):
-            if seen[data[k:k + 400]] > 1:
-                gone[k:k + 400] = True
+        for k in range(len(data) - 149):
+            if seen[data[k:k + 150]] > 1:
+                gone[k:k + 150] = True
+        edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
+        for a, b in zip(edges[::2], edges[1::2]):
+            gone[a:b] = b - a >= 400 or len(data[a:b].split()) >= 50
         texts[i] = (bytes(np.frombuffer(data, np.uint8)[~gone]).decode(errors="ignore"), s)
 
     model = pieces.Pieces(pieces.read_pieces())
@@ -49,6 +55,8 @@ def test_run_equals_plain_stages(spark, tmp_path):
         text, source = texts[r.doc_id]
         assert r.source == source and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert r.ids == list(memoryview(model.encode(text)).cast("i")) and r.n_ids == len(r.ids)
+    short, brief = (next(r[1] for r in rows if r[0] == i).split("\n")[-1] for i in (220, 222))
+    assert short not in texts[220][0] + texts[221][0] and brief in texts[222][0] and brief in texts[223][0]
     size = {i: len(t.split()) for i, (t, _) in texts.items()}
     assert any(len(t) < 700 for t, _ in texts.values()) and max(Counter(r.doc_id for r in out).values()) <= 2
     assert abs(sum(size[r.doc_id] for r in out) - 1.5 * sum(size.values())) <= 4 * max(size.values())

@@ -49,6 +49,16 @@ def test_equals_plain_index(spark, monkeypatch, length, gram, limit, chunk):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in out)
 
 
+def test_short_ranges_stay_with_a_least_number_of_words(spark):
+    few, many = "x" * 30 + " " + "y" * 200, " ".join(f"w{i}" for i in range(60))
+    own = lambda k: " ".join(f"{k}{j}" for j in range(80))
+    rows = [(1, f"{own('a')} {few} {own('b')}"), (2, f"{own('c')} {few} {own('d')}"), (3, f"{own('e')} {many}"), (4, f"{many} {own('f')}"),
+            (5, own("g") + "z" * 500), (6, "z" * 500 + own("h"))]
+    out = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 150, 48, min_words=50)
+    got = {r.row.doc_id: r.kept_text.strip() for r in out.collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: own("e"), 4: own("f"), 5: own("g"), 6: own("h")}
+
+
 def test_transform_equals_plain_index():
     rng = np.random.default_rng(4)
     for trial in range(30):

@@ -68,8 +68,7 @@ def test_filters_give_what_spark_would(spark, folder, columns):
 def test_filters_reach_the_reader(spark, folder):
     read = warc.read_warc(spark, folder, ["record_type", "record_id"])
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "Filter" not in plan(read.where("record_type = 'revisit'")).replace("PushedFilters", "")
-    assert "Filter" in plan(read.where("length(record_id) = 3")).replace("PushedFilters", "")
+    assert " Filter " not in plan(read.where("record_type = 'revisit'")) and " Filter " in plan(read.where("length(record_id) = 3"))
     from pyspark.sql.datasource import EqualTo, GreaterThan
     from pyspark.sql.types import StructType
     reader = warc.WarcReader(StructType(), {"path": folder})
