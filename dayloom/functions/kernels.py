@@ -111,35 +111,49 @@ def elastic_net(gram, cross, l1, l2, rounds=None):
     return result
 
 
-def bayesian_ridge(gram, cross, yy, n, prior=1e-6, tol=1e-3, rounds=300):
+def _note(log, done):
+    """Rounds taken go into a caller's list; negative ones ran out."""
+    if log is not None:
+        log.append(done)
+
+
+def bayesian_ridge(gram, cross, yy, n, prior=1e-6, tol=1e-3, rounds=300, log=None):
     """Evidence maximisation for one target: noise and weight precision re-estimated in
-    turn from the eigenvalues of the centred Gram matrix (MacKay's update)."""
+    turn from the eigenvalues of the centred Gram matrix (MacKay's update).
+
+    The limit of rounds is part of the model; a fit that reaches it is given, and noted in ``log``."""
     values, vectors = np.linalg.eigh(gram)
     values = np.maximum(values, 0.0)
     rotated = vectors.T @ cross
     noise, weight = 1.0 / (yy / n + np.finfo(float).eps), 1.0
     previous = None
-    for _ in range(rounds):
+    for done in range(1, rounds + 1):
         w = vectors @ (rotated / (values + weight / noise))
         if previous is not None and np.abs(w - previous).sum() < tol:
+            _note(log, done)
             break
         previous = w
         effective = float((noise * values / (weight + noise * values)).sum())
         error = max(float(yy - 2 * w @ cross + w @ gram @ w), 0.0)
         weight = (effective + 2 * prior) / (float(w @ w) + 2 * prior)
         noise = (n - effective + 2 * prior) / (error + 2 * prior)
+    else:
+        _note(log, -rounds)
     return vectors @ (rotated / (values + weight / noise))
 
 
-def huber(x, y, epsilon=1.35, alpha=1e-4, rounds=500, tol=1e-10):
+def huber(x, y, epsilon=1.35, alpha=1e-4, rounds=5000, tol=1e-10, loose=1e-6, log=None):
     """Joint scale-and-weights Huber fit: reweighted ridge, then the scale that zeroes
-    its own derivative.  Returns (weights, intercept)."""
+    its own derivative.  Returns (weights, intercept), NaN if the rounds run out.  Rows at the edge
+    of the loss may keep the last digits moving, so ``loose`` is enough after 300 rounds; rows that
+    the columns fit exactly end once the scale is a billionth of the target's."""
     n, d = x.shape
     design = np.column_stack([x, np.ones(n)])
     penalty = np.diag(np.append(np.full(d, 2.0 * alpha), 0.0))
     beta = np.append(np.zeros(d), np.median(y))
     scale = max(float(np.std(y)), 1e-12)
-    for _ in range(rounds):
+    exact = 1e-9 * scale
+    for done in range(1, rounds + 1):
         r = y - design @ beta
         size = np.abs(r)
         inside = size <= epsilon * scale
@@ -154,14 +168,16 @@ def huber(x, y, epsilon=1.35, alpha=1e-4, rounds=500, tol=1e-10):
         change = np.abs(new - beta).max() / max(np.abs(new).max(), 1e-12)
         change = max(change, abs(moved - scale) / moved)
         beta, scale = new, moved
-        if change < tol:
-            break
-    return beta[:d], beta[d]
+        if change < tol or scale <= exact or done >= 300 and change < loose:
+            _note(log, done)
+            return beta[:d], beta[d]
+    _note(log, -rounds)
+    return np.full(d, np.nan), np.nan
 
 
-def insensitive(x, y, c=1.0, epsilon=0.1, penalise_intercept=False, rounds=3000, tol=1e-8):
+def insensitive(x, y, c=1.0, epsilon=0.1, penalise_intercept=False, rounds=20000, tol=1e-8, log=None):
     """Linear regression under the epsilon-insensitive loss, |w|^2/2 + C sum(loss), by
-    splitting residuals from weights (ADMM).  Returns (weights, intercept)."""
+    splitting residuals from weights (ADMM).  Returns (weights, intercept), NaN if the rounds run out."""
     n, d = x.shape
     design = np.column_stack([x, np.ones(n)])
     base = np.eye(d + 1)
@@ -184,19 +200,23 @@ def insensitive(x, y, c=1.0, epsilon=0.1, penalise_intercept=False, rounds=3000,
         u = u + z - r
         primal, dual = np.linalg.norm(z - r), rho * np.linalg.norm(design.T @ (z - old))
         if primal <= tol * max(np.linalg.norm(z), 1.0) and dual <= tol * max(n * c, 1.0):
-            break
+            _note(log, step + 1)
+            return beta[:d], beta[d]
         if step % 50 == 49:
             ratio = (primal / max(np.linalg.norm(z), 1e-12)) / max(dual / (n * c), 1e-300)
             if ratio > 10 or ratio < 0.1:
                 factor = 2.0 if ratio > 10 else 0.5
                 rho, u = rho * factor, u / factor
                 solve = np.linalg.inv(base + rho * gram)
-    return beta[:d], beta[d]
+    _note(log, -rounds)
+    return np.full(d, np.nan), np.nan
+
 
+def nearest_mean(train_x, train_y, x, k=5, more=0.0):
+    """Mean target of the k nearest rows (Euclidean); ties go to the earlier row.
 
-def nearest_mean(train_x, train_y, x, k=5):
-    """Mean target of the k nearest rows (Euclidean); ties go to the earlier row."""
-    distance = ((train_x - x) ** 2).sum(axis=1)
+    ``more`` is what other columns add to the squared distances."""
+    distance = ((train_x - x) ** 2).sum(axis=1) + more
     k = min(k, len(train_y))
     if k < len(distance):
         limit = np.partition(distance, k - 1)[k - 1]

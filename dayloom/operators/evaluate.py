@@ -9,6 +9,25 @@ from dayloom.schema import DAY, KEY, MIN_ROWS, TARGET, TEST_FRACTION, TOP_MODELS
 GUARD = 1e-10  # rows this close to zero have no relative error
 
 
+SHORT, SEVERAL = "fewer than ten known rows", "several rows on one day"
+
+
+def series_checks(panel: DataFrame) -> DataFrame:
+    """(series_id, n_known, reason) of every series; a reason keeps it out of fits.
+
+    Rows are counted by day first, so a series with any number of rows on a day moves as days.
+    """
+    days = panel.groupBy(KEY, DAY).agg(F.count(F.lit(1)).alias("rows"), F.count(TARGET).alias("known"))
+    per = days.groupBy(KEY).agg(F.sum("known").alias("n_known"), F.max("rows").alias("most"))
+    reason = F.when(F.col("most") > 1, SEVERAL).when(F.col("n_known") < MIN_ROWS, SHORT)
+    return per.select(KEY, "n_known", reason.alias("reason"))
+
+
+def accepted(panel: DataFrame, checks: DataFrame) -> DataFrame:
+    """Rows of the series that ``series_checks`` has no reason against."""
+    return panel.join(checks.filter("reason IS NULL").select(KEY), KEY, "left_semi")
+
+
 def time_split(panel: DataFrame, test_fraction=TEST_FRACTION) -> DataFrame:
     """Known rows with ``part``: the last share of each series is ``test``.
 

@@ -1,8 +1,9 @@
 """Exogenous columns: kind inference, level tables and encodings.
 
-The level table is a DataFrame with one row per output column, so it can be any size;
-``wide_columns`` turns it into projections only after checking that it is small.
-``encode_long`` gives the same encoding as rows and has no size limit.
+The level table is a DataFrame with one row per output column, so it can be any size.
+``wide_columns`` makes a frame of it, whose schema names every level; ``encode_long`` gives the same
+encoding as rows.  Fits use neither: ``Columns`` (or ``Cells``, where columns differ by series) turn a
+row's cells into a few doubles and the names of the levels it has, and each series numbers its own.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,6 @@ from dayloom.functions.text import multilabel_parse, sanitize_token, to_number
 from dayloom.operators.panel import by_day, exog_columns
 from dayloom.schema import DAY, KEY, LABEL_SAMPLE, NUMERIC_SHARE
 
-MAX_WIDE_COLUMNS = 2000
 NULL_LEVEL = "nan"
 
 
@@ -112,10 +112,13 @@ def exog_levels(panel: DataFrame, kinds, columns=None) -> DataFrame:
     )
 
 
-def collect_levels(levels: DataFrame, source_order, max_columns=MAX_WIDE_COLUMNS):
-    """Bring a small level table to the driver as column plans; refuse a large one."""
-    rows = levels.limit(max_columns + 1).collect()
-    if len(rows) > max_columns:
+def collect_levels(levels: DataFrame, source_order, max_columns=None):
+    """The level table as column plans, for a frame that names every level in its schema.
+
+    A caller who expects a narrow frame may set ``max_columns``; more is an error then.
+    """
+    rows = (levels if max_columns is None else levels.limit(max_columns + 1)).collect()
+    if max_columns is not None and len(rows) > max_columns:
         raise ValueError(
             f"more than {max_columns} encoded columns; use encode_long for this panel"
         )
@@ -190,5 +193,92 @@ def future_exog(future: DataFrame, plan) -> DataFrame:
     return future.select(KEY, DAY, *wide_columns(plan, fill_missing=True))
 
 
-def encoded_array(plan, fill_missing=False) -> Column:
-    return F.array(*wide_columns(plan, fill_missing))
+def _number(cell, fill):
+    number = to_number(cell.cast("string"))
+    return F.coalesce(number, F.lit(0.0)) if fill else number
+
+
+def _names_in(cell, kind, place):
+    """Names of the levels in a cell: the column's place, and ``=value`` unless a category is missing."""
+    cell = cell.cast("string")
+    of = lambda v: F.concat(place, F.lit("="), v)
+    labels = F.coalesce(F.transform(multilabel_parse(cell), of), F.array().cast("array<string>"))
+    single = F.array(F.when(cell.isNull(), place).otherwise(of(cell)))
+    return F.when(kind == "multilabel", labels).when(kind == "categorical", single).otherwise(
+        F.array().cast("array<string>"))
+
+
+class Columns:
+    """Exogenous columns of a panel: each has one kind, the same for all series."""
+
+    def __init__(self, kinds=()):
+        self.kinds = [(F.col(f"`{k['original_name']}`"), k["kind"]) for k in kinds]
+        self.has_numbers = any(k == "numeric" for _, k in self.kinds)
+        self.has_levels = any(k != "numeric" for _, k in self.kinds)
+
+    def numbers(self, fill_missing=False) -> Column:
+        """The numeric columns as one array; ``fill_missing`` is the forecasting rule, 0 for a missing one."""
+        return F.array(*[_number(c, fill_missing) for c, k in self.kinds if k == "numeric"]).cast("array<double>")
+
+    def levels(self) -> Column:
+        """Names of all levels in a row, each once."""
+        parts = [_names_in(c, F.lit(k), F.lit(str(i))) for i, (c, k) in enumerate(self.kinds) if k != "numeric"]
+        return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
+
+    def missing_day(self) -> Column:
+        """Levels of a day without any exogenous row."""
+        return F.array(*[F.lit(str(i)) for i, (_, k) in enumerate(self.kinds) if k == "categorical"]).cast("array<string>")
+
+
+class Cells:
+    """Exogenous cells in an array column whose width and kinds differ by series (``with_cell_kinds``)."""
+
+    has_numbers = has_levels = True
+
+    def numbers(self, fill_missing=False) -> Column:
+        numeric = F.filter(F.arrays_zip(F.col(KINDS).alias("k"), F.col(CELLS).alias("c")), lambda z: z["k"] == "numeric")
+        return F.transform(numeric, lambda z: _number(z["c"], fill_missing))
+
+    def levels(self) -> Column:
+        parts = F.transform(F.col(KINDS), lambda k, i: _names_in(F.get(F.col(CELLS), i), k, i.cast("string")))
+        return F.array_distinct(F.flatten(parts))
+
+    def missing_day(self) -> Column:
+        places = F.transform(F.col(KINDS), lambda k, i: F.when(k == "categorical", i.cast("string")))
+        return F.filter(places, lambda p: p.isNotNull())
+
+
+CELLS, KINDS = "cells", "cell_kinds"
+
+
+def with_cell_kinds(panel: DataFrame, train: DataFrame) -> DataFrame:
+    """``panel`` with the kinds of its series' cells, judged on the rows of ``train`` as ``exog_kinds`` judges columns."""
+    place = Window.partitionBy(KEY, "pos").orderBy(DAY).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = train.select(KEY, DAY, F.posexplode(CELLS).alias("pos", "cell")).withColumn("seen", F.count("cell").over(place))
+    sampled = F.col("cell").isNotNull() & (F.col("seen") <= LABEL_SAMPLE)
+    lists = F.max(sampled & (F.size(multilabel_parse(F.col("cell"))) >= 2))
+    kind = F.when(F.count(to_number(F.col("cell"))) >= F.count(F.lit(1)) * NUMERIC_SHARE, "numeric").when(
+        lists, "multilabel").otherwise("categorical")
+    per = cells.groupBy(KEY, "pos").agg(kind.alias("kind"))
+    kinds = per.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "kind")))["kind"].alias(KINDS))
+    return panel.join(kinds, KEY, "left").withColumn(KINDS, F.coalesce(KINDS, F.array().cast("array<string>")))
+
+
+def known_kinds(panel: DataFrame, columns=None):
+    """Kinds of the exogenous columns as rows, in column order: one per source column."""
+    columns = list(columns or exog_columns(panel))
+    if not columns:
+        return []
+    found = {r["original_name"]: r for r in exog_kinds(panel, columns).collect()}
+    return [found[c] for c in columns]
+
+
+def level_column_name(kinds) -> Column:
+    """The source column of a level name, from its number: a map with one entry per source column."""
+    names = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (str(i), k["original_name"])])
+    return names[F.substring_index("level_name", "=", 1)]
+
+
+def level_value() -> Column:
+    """The cell's value in a level name; null for a missing category."""
+    return F.when(F.instr("level_name", "=") > 0, F.expr("substring(level_name, instr(level_name, '=') + 1)"))

@@ -127,13 +127,13 @@ def complete_rows(features: DataFrame, lags=LAGS) -> DataFrame:
     return features.filter(cond)
 
 
-def feature_vectors(panel: DataFrame, periods: Column = None, exog=(), extra=(),
+def feature_vectors(panel: DataFrame, periods: Column = None, exog=None, extra=(),
                     lags=LAGS, windows=WINDOWS, harmonics=HARMONICS) -> DataFrame:
     """Model-edge form: complete rows only, features of one row as ``x`` ARRAY<DOUBLE>.
 
     The array holds just the lags the series is long enough for, and the Fourier
     terms of its own periods (array column as made by ``merge_periods``), so its length
-    may differ between series but never within one.
+    may differ between series but never within one.  ``exog`` is an array of exogenous numbers.
     """
     keep = [c if isinstance(c, Column) else F.col(c) for c in extra]
     ordered = panel.select(
@@ -148,12 +148,11 @@ def feature_vectors(panel: DataFrame, periods: Column = None, exog=(), extra=(),
         n_fixed = len(PERIODS)
         detected = F.slice(periods, n_fixed + 1, F.greatest(F.size(periods) - n_fixed, F.lit(0)))
         fourier = F.concat(fourier, fourier_vector(t, detected, harmonics))
-    exog = list(exog)
     parts = [
         F.slice(F.array(*[F.col(lag_name(n)) for n in lags]), F.lit(1), used),
         F.array(*[F.col(ma_name(w)) for w in windows], t, *dow_columns()),
         fourier,
-    ] + ([F.array(*[e.cast("double") for e in exog])] if exog else [])
+    ] + ([exog] if exog is not None else [])
     x = F.concat(*parts)
     return (
         ordered.select(KEY, DAY, TARGET, "n_rows", *keep, x.alias("x"))

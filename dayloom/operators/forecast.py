@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions import kernels
-from dayloom.operators.models import NEIGHBOUR_MODEL, TREND_SUFFIX
+from dayloom.operators.models import NEIGHBOUR_MODEL, TREND_SUFFIX, _level_pairs, has
 from dayloom.schema import DAY, KEY, LAGS, MEMORY, TARGET, WINDOWS
 
 FORECAST = "series_id string, model string, ds date, y double, yhat double"
@@ -41,14 +41,16 @@ def calendar_gaps(split: DataFrame) -> DataFrame:
     )
 
 
-def recursion_state(split: DataFrame, exog_arrays=None, memory=MEMORY) -> DataFrame:
+def recursion_state(split: DataFrame, exog_arrays=None, level_arrays=None, missing_day=None, memory=MEMORY) -> DataFrame:
     """One row per series with all that recursion needs, from a ``part`` column.
 
     ``hist`` keeps the newest ``memory`` values: no feature may look further back.  Wanted days
-    are offsets from the last training day, beside their actual targets.
+    are offsets from the last training day, beside their actual targets, exogenous numbers
+    (``exog``, end to end) and names of category levels (``hits``); ``default_hits`` are those of a
+    day without a row (``missing_day``, equal on all rows of a series).
     """
     train, test = F.col("part") == "train", F.col("part") == "test"
-    extra = [exog_arrays.alias("e")] if exog_arrays is not None else []
+    extra = [c.alias(n) for c, n in ((exog_arrays, "e"), (level_arrays, "l")) if c is not None]
     rows = split.filter(train | test)
     known = F.array_sort(F.collect_list(F.when(train, F.struct(DAY, TARGET))))
     wanted = F.array_sort(F.collect_list(F.when(test, F.struct(DAY, TARGET, *extra))))
@@ -57,6 +59,7 @@ def recursion_state(split: DataFrame, exog_arrays=None, memory=MEMORY) -> DataFr
         F.max(F.when(train, F.col(DAY))).alias("last_ds"),
         F.count_if(train).alias("n_train"),
         known.alias("known"), wanted.alias("wanted"),
+        F.first(F.array().cast("array<string>") if missing_day is None else missing_day).alias("default_hits"),
     ).filter("last_ds IS NOT NULL AND size(wanted) > 0")
     size = F.size("known")
     hist = F.slice(F.col(f"known.{TARGET}"), F.greatest(size - memory + 1, F.lit(1)), F.lit(memory))
@@ -70,6 +73,9 @@ def recursion_state(split: DataFrame, exog_arrays=None, memory=MEMORY) -> DataFr
         F.col(f"wanted.{TARGET}").alias("actual"),
         (F.flatten(F.col("wanted.e")) if exog_arrays is not None
          else F.array().cast("array<double>")).alias("exog"),
+        (F.col("wanted.l") if level_arrays is not None
+         else F.array().cast("array<array<string>>")).alias("hits"),
+        "default_hits",
     )
 
 
@@ -78,13 +84,27 @@ def calendar_of(row, horizon):
     return kernels.calendar_block((day - row.start_day).astype(float), day, row.periods)
 
 
-def _exog_block(row, horizon, default):
-    block = np.tile(np.asarray(default, dtype=float), (horizon, 1))
-    if len(default):
+def _exog_block(row, horizon):
+    """Numbers of every day up to the horizon; 0 on days without a row."""
+    width = len(row.exog) // len(row.offsets)
+    block = np.zeros((horizon, width))
+    if width:
         block[np.asarray(row.offsets) - 1] = np.reshape(row.exog, (len(row.offsets), -1))
     return block
 
 
+def _level_days(row, levels, horizon):
+    """(day, level number) of the known levels on every day; days without a row have the default ones."""
+    number = {name: k for k, name in enumerate(levels)}
+    if not number:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    days = [row.default_hits] * horizon
+    for offset, names in zip(row.offsets, row.hits):
+        days[offset - 1] = names
+    pairs = [(h, number[name]) for h, names in enumerate(days) for name in names if name in number]
+    return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
+
+
 def trend_of(row, horizon):
     t = row.last_day + 1 + np.arange(horizon) - row.start_day
     return row.c0 + row.c1 * t + row.c2 * t * t
@@ -124,27 +144,31 @@ def emit(rows, owners, labels, paths):
     ], names=["series_id", "model", "ds", "y", "yhat"])
 
 
-def _linear_walker(names, exog_default, add_trend, lags, windows):
-    """Map stage over state rows joined with weights."""
+def _linear_walker(names, add_trend, lags, windows):
+    """Map stage over state rows joined with weights; a series walks the models it wants."""
     def walk_chunk(longest, rows):
         base, recent, labels, owners = [], [], [], []
         for i, row in enumerate(rows):
             used = sum(row.n_train > n for n in lags)
-            d = row.d
-            w = np.asarray(row.weights).reshape(len(names), 2, d + 1)
-            known = np.column_stack([
-                calendar_of(row, longest), _exog_block(row, longest, exog_default)])
+            d, levels = row.d, list(getattr(row, "levels", ()))
+            own = [k for k, m in enumerate(names) if has(getattr(row, "wanted", -1), m)]
+            w = np.asarray(row.weights).reshape(len(names), 2, d + 1)[own]
+            known = np.column_stack([calendar_of(row, longest), _exog_block(row, longest)])
+            day, level = _level_days(row, levels, longest)
             for v in (0, 1) if row.degree > 0 else (0,):
-                fixed = known @ w[:, v, used + len(windows):d].T + w[:, v, d]
+                fixed = known @ w[:, v, used + len(windows):d - len(levels)].T + w[:, v, d]
+                np.add.at(fixed, day, w[:, v, d - len(levels) + level].T)
                 if v and add_trend:
                     fixed = fixed + trend_of(row, longest)[:, None]
-                r = np.zeros((len(names), len(lags) + len(windows)))
+                r = np.zeros((len(own), len(lags) + len(windows)))
                 r[:, :used] = w[:, v, :used]
                 r[:, len(lags):] = w[:, v, used:used + len(windows)]
                 base.append(fixed.T)
                 recent.append(r)
-                labels += [m + (TREND_SUFFIX if v else "") for m in names]
-                owners += [i] * len(names)
+                labels += [names[k] + (TREND_SUFFIX if v else "") for k in own]
+                owners += [i] * len(own)
+        if not owners:
+            return None
         base, recent = np.concatenate(base), np.concatenate(recent)
         paths = kernels.walk([rows[o].hist for o in owners], longest,
                              lambda h, z: base[:, h] + (z * recent).sum(axis=1), lags, windows)
@@ -153,12 +177,13 @@ def _linear_walker(names, exog_default, add_trend, lags, windows):
     def run(batches):
         for batch in batches:
             for longest, rows in chunks(batch.to_pandas(), 2 * len(names)):
-                yield walk_chunk(longest, rows)
+                if (out := walk_chunk(longest, rows)) is not None:
+                    yield out
 
     return run
 
 
-def walk_forward_linear(state: DataFrame, weights: DataFrame, names, exog_default=(),
+def walk_forward_linear(state: DataFrame, weights: DataFrame, names,
                         add_trend=True, lags=LAGS, windows=WINDOWS) -> DataFrame:
     """Recursive forecasts of all linear models: ``(series_id, model, ds, y, yhat)``.
 
@@ -166,29 +191,42 @@ def walk_forward_linear(state: DataFrame, weights: DataFrame, names, exog_defaul
     own ``d`` and ``weights``.  ``state`` has ``periods``, ``degree``
     and the trend coefficients ``c0..c2``.
     """
-    joined = state if weights is None else state.join(weights.drop("n"), KEY)
-    walker = _linear_walker(list(names), list(exog_default), add_trend, lags, windows)
+    joined = state if weights is None else state.join(weights.drop("n", "rounds"), KEY)
+    walker = _linear_walker(list(names), add_trend, lags, windows)
     return joined.mapInArrow(walker, FORECAST)
 
 
-def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
+def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5,
                      add_trend=True, lags=LAGS, windows=WINDOWS) -> DataFrame:
-    """Recursive nearest-neighbour forecast; a series and its train rows share a task."""
-    default = list(exog_default)
+    """Recursive nearest-neighbour forecast; a series and its train rows share a task.
 
+    Category columns add to a squared distance the levels that only one of the two rows has.
+    """
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         paths, labels, rows = [], [], []
         if left.num_rows and right.num_rows:
             right = right.sort_by("ds")
             n = right.num_rows
             x = np.asarray(right["x"].combine_chunks().flatten()).reshape(n, -1)
+            levels, at, column = _level_pairs(right)
+            own = np.bincount(at, minlength=n).astype(float)
+            by_level = np.argsort(column, kind="stable")
+            at, first = at[by_level], np.searchsorted(column[by_level], np.arange(len(levels) + 1))
             row = next(left.to_pandas().itertuples(index=False))
             rows = [row]
             longest = int(max(row.offsets))
             used = sum(row.n_train > m for m in lags)
             picks = list(range(used)) + [len(lags) + i for i in range(len(windows))]
-            known = np.column_stack([calendar_of(row, longest),
-                                     _exog_block(row, longest, default)])
+            known = np.column_stack([calendar_of(row, longest), _exog_block(row, longest)])
+            day, level = _level_days(row, levels, longest)
+
+            def apart(h):
+                """Levels that differ from those of day h; a level no row has is the same for all rows."""
+                shared = np.zeros(n)
+                for one in level[day == h]:
+                    shared[at[first[one]:first[one + 1]]] += 2.0
+                return own - shared
+
             for column, suffix in ((TARGET, ""), ("detrended", TREND_SUFFIX)):
                 if suffix and row.degree <= 0:
                     continue
@@ -197,7 +235,7 @@ def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
 
                 def step(h, z):
                     q = np.concatenate([z[0, picks], known[h]])
-                    return kernels.nearest_mean(x, y, q, k) + lift[h]
+                    return kernels.nearest_mean(x, y, q, k, apart(h) if levels else 0.0) + lift[h]
 
                 paths.append(kernels.walk([row.hist], longest, step, lags, windows)[0])
                 labels.append(NEIGHBOUR_MODEL + suffix)
@@ -209,7 +247,7 @@ def walk_forward_knn(state: DataFrame, vectors: DataFrame, k=5, exog_default=(),
     # Fresh column identities: both sides may come from the same panel.
     own = state.toDF(*state.columns)
     return own.groupBy(KEY).cogroup(
-        vectors.select(KEY, DAY, TARGET, "detrended", "x").groupBy(KEY)
+        vectors.select(KEY, DAY, TARGET, "detrended", "x", *[c for c in vectors.columns if c == "levels"]).groupBy(KEY)
     ).applyInArrow(run, FORECAST)
 
 

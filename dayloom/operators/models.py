@@ -6,6 +6,10 @@ whole batches of series together, so no solver loop runs once per series.  Model
 need the rows themselves (Huber, linear epsilon-insensitive) are fitted in the first
 stage.  Rows of a series are already together after the feature windows, so the
 grouped stage adds no shuffle, and a series is at most one row per calendar day.
+
+Category columns come as the names of the levels a row has; a series numbers its own, for a level
+it never had can get no weight.  Up to ``DENSE_COLUMNS`` columns they are written out; beyond that
+the fit works on the list of ones (``functions.wide``), so any number of levels is fitted.
 """
 
 import numpy as np
@@ -14,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.functions import kernels
+from dayloom.functions import kernels, wide
 from dayloom.schema import KEY, TARGET
 
 TREND_SUFFIX = "+Trend"
@@ -42,12 +46,15 @@ TREE_MODELS = {
 }
 ALL_MODELS = LINEAR_MODELS + (NEIGHBOUR_MODEL,) + tuple(TREE_MODELS)
 
+DENSE_COLUMNS = 256  # widest series whose category columns are written out
+
 _MOMENTS = (
-    "series_id string, n bigint, d int, mean_x array<double>, scale_x array<double>, "
+    "series_id string, n bigint, d int, wanted bigint, levels array<string>, mean_x array<double>, scale_x array<double>, "
     "mean_y array<double>, gram array<double>, cross array<double>, yy array<double>, "
-    "row_weights array<double>"
+    "row_weights array<double>, row_rounds array<int>, weights array<double>, rounds array<int>"
 )
-_WEIGHTS = "series_id string, n bigint, d int, weights array<double>"
+_WEIGHTS = ("series_id string, n bigint, d int, wanted bigint, levels array<string>, weights array<double>, "
+            "rounds array<int>")
 
 
 def linear_order(models):
@@ -55,6 +62,20 @@ def linear_order(models):
     return [m for m in MOMENT_MODELS if m in models] + [m for m in ROW_MODELS if m in models]
 
 
+def wanted_mask(models) -> int:
+    """The models as bits, by their place in ``ALL_MODELS``."""
+    return sum(1 << ALL_MODELS.index(m) for m in set(models))
+
+
+def wants(model):
+    """Whether a row's ``wanted`` mask has the model."""
+    return F.col("wanted").bitwiseAND(F.lit(wanted_mask([model]))) != 0
+
+
+def has(mask, model):
+    return model not in ALL_MODELS or bool(mask >> ALL_MODELS.index(model) & 1)
+
+
 def _matrix(column, n):
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
@@ -75,59 +96,128 @@ def _or_nan(fit, d):
 
 
 def _row_fit(kind, params, x, y):
-    """Weights then intercept."""
+    """Weights then intercept, and the rounds taken; negative rounds ran out."""
+    log = []
+
     def fit():
-        w, b = getattr(kernels, kind)(x, y, **params)
+        w, b = getattr(kernels, kind)(x, y, log=log, **params)
         return np.append(w, b)
 
-    return _or_nan(fit, x.shape[1] + 1)
+    return _or_nan(fit, x.shape[1] + 1), (log or [-1])[0]
+
+
+def _level_pairs(table):
+    """(names, rows, columns): the levels of a series in order, and the ones of their 0/1 matrix."""
+    if "levels" not in table.column_names:
+        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lists = table["levels"].combine_chunks()
+    flat = lists.flatten().dictionary_encode()
+    names = flat.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    place = np.empty(len(names), np.int64)
+    place[order] = np.arange(len(names))
+    size = np.diff(lists.offsets.to_numpy())
+    return [names[i] for i in order], np.repeat(np.arange(len(lists)), size), place[flat.indices.to_numpy()]
+
+
+_WIDE = {"ridge": lambda d, y, p: wide.ridge(d, y, p["alpha"]), "scaled_ridge": lambda d, y, p: wide.scaled_ridge(d, y, p["alpha"]),
+         "elastic_net": lambda d, y, p: wide.elastic_net(d, y, p["alpha"] * p["ratio"], p["alpha"] * (1 - p["ratio"])),
+         "bayesian": lambda d, y, p: wide.bayesian_ridge(d, y), "huber": lambda d, y, p: wide.huber(d, y, **p),
+         "insensitive": lambda d, y, p: wide.insensitive(d, y, **p)}
+
+
+def _wide_fits(design, targets, names, mask):
+    """Weights and rounds of every model in turn, raw and detrended; failed ones are NaN, with rounds below 1."""
+    weights, rounds = [], []
+    same = np.array_equal(targets[:, 0], targets[:, 1])
+    for name in names:
+        kind, params = (MOMENT_MODELS | ROW_MODELS)[name]
+        for t in range(2):
+            if t and same:
+                weights.append(weights[-1])
+                rounds.append(rounds[-1])
+                continue
+            try:
+                w, r = _WIDE[kind](design, targets[:, t], params) if has(mask, name) else (design.failed(), 0)
+            except np.linalg.LinAlgError:
+                w, r = design.failed(), -1
+            weights.append(w)
+            rounds.append(r if np.isfinite(w).all() else min(r, -r))
+    return np.concatenate(weights), rounds
+
+
+def _moments_of(models, dense_columns):
+    row_models = [m for m in ROW_MODELS if m in models]
 
-
-def _moments_of(row_models):
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
         x = _matrix(table["x"], n)
+        mask = table["wanted"][0].as_py() if "wanted" in table.column_names else -1
+        levels, at, column = _level_pairs(table)
         targets = np.column_stack([table[c].to_numpy() for c in (TARGET, "detrended")])
-        centre, scale = _scale(x)
-        xc, mean_y = x - centre, targets.mean(axis=0)
-        yc = targets - mean_y
-        rows = []
-        for name in row_models:
-            kind, params = ROW_MODELS[name]
-            for t in range(2):
-                if t and np.array_equal(targets[:, 0], targets[:, 1]):
-                    rows.append(rows[-1])
-                    continue
-                fitted = _row_fit(kind, params, xc / scale, targets[:, t])
-                w = fitted[:-1] / scale
-                rows.append(np.append(w, fitted[-1] - w @ centre))
-        out = {
-            "series_id": [table[KEY][0].as_py()], "n": [n], "d": [x.shape[1]],
-            "mean_x": [centre], "scale_x": [scale], "mean_y": [mean_y],
-            "gram": [(xc.T @ xc).ravel()], "cross": [(xc.T @ yc).ravel()],
-            "yy": [(yc ** 2).sum(axis=0)],
-            "row_weights": [np.concatenate(rows) if rows else np.zeros(0)],
-        }
-        types = [pa.string(), pa.int64(), pa.int32()] + [pa.list_(pa.float64())] * 7
-        return pa.table([pa.array(v, type=t) for v, t in zip(out.values(), types)],
-                        names=list(out))
+        d = x.shape[1] + len(levels)
+        out = {"series_id": [table[KEY][0].as_py()], "n": [n], "d": [d], "wanted": [mask], "levels": [levels]}
+        empty = dict.fromkeys(("mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights", "row_rounds"), [None])
+        if levels and d > dense_columns:
+            weights, rounds = _wide_fits(wide.Design(x, at, column, len(levels)), targets, linear_order(models), mask)
+            out |= empty | {"weights": [weights], "rounds": [rounds]}
+        else:
+            if levels:
+                ones = np.zeros((n, len(levels)))
+                ones[at, column] = 1.0
+                x = np.hstack([x, ones])
+            out |= _dense_moments(x, targets, row_models, mask) | {"weights": [None], "rounds": [None]}
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())] + [pa.list_(pa.float64())] * 7 + [
+            pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32())]
+        return pa.table([pa.array(v, type=t) for v, t in zip(out.values(), types)], names=list(out))
 
     return run
 
 
+def _dense_moments(x, targets, row_models, mask):
+    """Centred moments of both targets, and the fits that need the rows."""
+    centre, scale = _scale(x)
+    xc, mean_y = x - centre, targets.mean(axis=0)
+    yc = targets - mean_y
+    rows, rounds = [], []
+    for name in row_models:
+        kind, params = ROW_MODELS[name]
+        for t in range(2):
+            if t and np.array_equal(targets[:, 0], targets[:, 1]):
+                rows.append(rows[-1])
+                rounds.append(rounds[-1])
+                continue
+            fitted, done = _row_fit(kind, params, xc / scale, targets[:, t]) if has(mask, name) else (
+                np.full(x.shape[1] + 1, np.nan), 0)
+            w = fitted[:-1] / scale
+            rows.append(np.append(w, fitted[-1] - w @ centre))
+            rounds.append(done)
+    return {
+        "mean_x": [centre], "scale_x": [scale], "mean_y": [mean_y],
+        "gram": [(xc.T @ xc).ravel()], "cross": [(xc.T @ yc).ravel()],
+        "yy": [(yc ** 2).sum(axis=0)],
+        "row_weights": [np.concatenate(rows) if rows else np.zeros(0)], "row_rounds": [rounds],
+    }
+
+
 def moments(vectors: DataFrame, models=LINEAR_MODELS) -> DataFrame:
-    """Centred moments per series of ``(series_id, x, y, detrended)`` rows."""
-    rows = [m for m in ROW_MODELS if m in models]
+    """Centred moments per series of ``(series_id, x, y, detrended)`` rows.
+
+    Optional columns: ``levels`` (names of a row's category levels) and ``wanted`` (a mask of
+    models, equal on all rows of a series; the others are not fitted).
+    """
+    extra = [c for c in ("levels", "wanted") if c in vectors.columns]
     return (
-        vectors.select(KEY, TARGET, "detrended", "x")
+        vectors.select(KEY, TARGET, "detrended", "x", *extra)
         .groupBy(KEY)
-        .applyInArrow(_moments_of(rows), _MOMENTS)
+        .applyInArrow(_moments_of(models, DENSE_COLUMNS), _MOMENTS)
     )
 
 
 def _solve_stack(names, n, mean_x, scale, mean_y, gram, cross, yy):
-    """Weights (S, models, 2 targets, d + 1) of every quadratic model for one stack."""
+    """Weights (S, models, 2 targets, d + 1) of every quadratic model for one stack, and rounds (S, models, 2)."""
     s, d = mean_x.shape
+    rounds = np.ones((s, len(names), 2), int)
     scaled_gram = gram / (scale[:, :, None] * scale[:, None, :])
     scaled_cross = cross / scale[:, :, None]
     per_row = n[:, None, None].astype(float)
@@ -146,14 +236,17 @@ def _solve_stack(names, n, mean_x, scale, mean_y, gram, cross, yy):
                 p["alpha"] * p["ratio"], p["alpha"] * (1 - p["ratio"]))
             w = np.swapaxes(w.reshape(s, 2, d), 1, 2) / scale[:, :, None]
         else:
+            logs = [[[], []] for _ in range(s)]
             w = np.stack([
                 np.stack([_or_nan(lambda: kernels.bayesian_ridge(
-                    gram[r], cross[r, :, t], yy[r, t], n[r]), d) for t in range(2)], axis=1)
+                    gram[r], cross[r, :, t], yy[r, t], n[r], log=logs[r][t]), d) for t in range(2)], axis=1)
                 for r in range(s)
             ])
+            rounds[:, i] = [[(log or [-1])[0] for log in pair] for pair in logs]
+        rounds[:, i] = np.where(np.isfinite(w).all(axis=1), rounds[:, i], -np.abs(rounds[:, i]))
         out[:, i, :, :d] = np.swapaxes(w, 1, 2)
         out[:, i, :, d] = mean_y - np.einsum("sd,sdt->st", mean_x, w)
-    return out
+    return out, rounds
 
 
 def _solve_guarded(names, *arrays):
@@ -162,27 +255,38 @@ def _solve_guarded(names, *arrays):
         return _solve_stack(names, *arrays)
     except np.linalg.LinAlgError:
         if len(arrays[0]) == 1:
-            return np.full((1, len(names), 2, arrays[1].shape[1] + 1), np.nan)
-        return np.concatenate([_solve_guarded(names, *(a[i:i + 1] for a in arrays)) for i in range(len(arrays[0]))])
+            return np.full((1, len(names), 2, arrays[1].shape[1] + 1), np.nan), np.full((1, len(names), 2), -1)
+        alone = [_solve_guarded(names, *(a[i:i + 1] for a in arrays)) for i in range(len(arrays[0]))]
+        return tuple(np.concatenate(part) for part in zip(*alone))
 
 
 def _solve(names):
+    def solved(g, d, mask):
+        own = [m for m in names if has(mask, m)]
+        s = len(g)
+        stacked = {c: np.stack(g[c].to_numpy()) for c in
+                   ("mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights", "row_rounds")}
+        weights, rounds = np.full((s, len(names), 2, d + 1), np.nan), np.zeros((s, len(names), 2), int)
+        if own:
+            at = [names.index(m) for m in own]
+            weights[:, at], rounds[:, at] = _solve_guarded(
+                own, g["n"].to_numpy(), stacked["mean_x"], stacked["scale_x"],
+                stacked["mean_y"], stacked["gram"].reshape(s, d, d),
+                stacked["cross"].reshape(s, d, 2), stacked["yy"])
+        weights = np.concatenate([weights.reshape(s, -1), stacked["row_weights"]], axis=1)
+        rounds = np.concatenate([rounds.reshape(s, -1), stacked["row_rounds"]], axis=1)
+        return pd.DataFrame({"series_id": g["series_id"], "n": g["n"], "d": d, "wanted": mask, "levels": g["levels"],
+                             "weights": list(weights), "rounds": list(rounds.astype(np.int32))})
+
     def run(batches):
         for pdf in batches:
+            ready = pdf["weights"].notna()
+            if ready.any():  # wide series, solved where their rows were
+                yield pdf.loc[ready, ["series_id", "n", "d", "wanted", "levels", "weights", "rounds"]]
             # Series of one width are solved as one stack, in slices of bounded size.
-            for d, same in pdf.groupby("d", sort=False):
+            for (d, mask), same in pdf[~ready].groupby(["d", "wanted"], sort=False):
                 for at in range(0, len(same), STACK):
-                    g = same.iloc[at:at + STACK]
-                    s = len(g)
-                    stacked = {c: np.stack(g[c].to_numpy()) for c in
-                               ("mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights")}
-                    own = _solve_guarded(
-                        names, g["n"].to_numpy(), stacked["mean_x"], stacked["scale_x"],
-                        stacked["mean_y"], stacked["gram"].reshape(s, d, d),
-                        stacked["cross"].reshape(s, d, 2), stacked["yy"])
-                    weights = np.concatenate([own.reshape(s, -1), stacked["row_weights"]], axis=1)
-                    yield pd.DataFrame({"series_id": g["series_id"], "n": g["n"], "d": d,
-                                        "weights": list(weights)})
+                    yield solved(same.iloc[at:at + STACK], d, mask)
 
     return run
 
@@ -190,7 +294,8 @@ def _solve(names):
 def fit_linear(vectors: DataFrame, models=LINEAR_MODELS) -> DataFrame:
     """One row per series: ``weights`` = models x (raw, detrended) x (d weights, intercept).
 
-    Models follow ``linear_order(models)``.
+    Models follow ``linear_order(models)``.  The last of the d columns are the series' ``levels``.
+    ``rounds`` has one entry per model and target: 0 was not wanted, a negative one did not converge.
     """
     names = [m for m in MOMENT_MODELS if m in models]
     return moments(vectors, models).mapInPandas(_solve(names), _WEIGHTS)
@@ -216,6 +321,27 @@ def coefficients(weights: DataFrame, models=LINEAR_MODELS) -> DataFrame:
     )
 
 
+def fit_status(weights: DataFrame, models=LINEAR_MODELS) -> DataFrame:
+    """One row per series, model and target variant: rounds taken, whether they were enough, and why not."""
+    names = F.array(*[F.lit(m + suffix) for m in linear_order(models) for suffix in ("", TREND_SUFFIX)])
+    rounds = F.abs("signed").alias("rounds")
+    finite = F.forall(F.slice("weights", F.col("i") * (F.col("d") + 1) + 1, F.col("d") + 1), lambda w: ~F.isnan(w))
+    return weights.select(KEY, "n", "d", "rounds", "weights", F.posexplode(names).alias("i", "model")).select(
+        KEY, "model", "n", "d", F.get("rounds", "i").alias("signed"), finite.alias("finite")).where("signed <> 0").select(
+        KEY, "model", "n", "d", rounds, (F.col("signed") > 0).alias("converged"),
+        F.when(F.col("signed") > 0, None).when(~F.col("finite"), "no solution").otherwise("rounds ran out").alias("reason"))
+
+
+def level_weights(weights: DataFrame, models=LINEAR_MODELS) -> DataFrame:
+    """(series_id, model, level_name, weight) of the category levels of every series."""
+    names = F.array(*[F.lit(m + suffix) for m in linear_order(models) for suffix in ("", TREND_SUFFIX)])
+    rows = weights.select(KEY, "d", "levels", "weights", F.posexplode(names).alias("i", "model"))
+    start = F.col("i") * (F.col("d") + 1) + F.col("d") - F.size("levels")
+    own = F.slice("weights", start + 1, F.size("levels"))
+    return rows.select(KEY, "model", F.explode(F.arrays_zip(F.col("levels").alias("level_name"), own.alias("weight"))).alias("z")).select(
+        KEY, "model", "z.level_name", "z.weight")
+
+
 def knn_one_step(train: DataFrame, test: DataFrame, k=5) -> DataFrame:
     """Mean target of the k nearest train rows for each test row of the same series.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import kernels
 from dayloom.operators import forecast
-from dayloom.operators.models import TREE_MODELS, TREND_SUFFIX
+from dayloom.operators.models import TREE_MODELS, TREND_SUFFIX, has
 from dayloom.schema import KEY, LAGS, PERIODS, TARGET, WINDOWS
 from dayloom.session import shared_dir
 
@@ -136,7 +136,8 @@ def _walker(fitted, add_trend, lags, windows):
         mean, std = np.array([r.mean_y for r in rows]), np.array([r.std_y for r in rows])
         sloped = np.array([r.degree > 0 for r in rows])
         for (name, n_lags, variant), ensemble in fitted.items():
-            on = np.flatnonzero((used == n_lags) & (sloped if variant else True))
+            asked = np.array([has(getattr(r, "wanted", -1), name) for r in rows])
+            on = np.flatnonzero((used == n_lags) & asked & (sloped if variant else True))
             if not len(on):
                 continue
             picks = list(range(n_lags)) + [len(lags) + i for i in range(len(windows))]

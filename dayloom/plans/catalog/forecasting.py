@@ -2,16 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from dayloom.operators import evaluate, features, forecast, models
-from dayloom.operators.panel import by_series
+from dayloom.operators import evaluate, exog, features, forecast, models
+from dayloom.operators.panel import by_series, daily_panel
 from dayloom.plans import benchmark as jobs
 from dayloom.plans.catalog.base import (
-    LINEITEM_SQL, MIXED_SQL, exog_panel, lineitem_daily, lineitem_wide, masked, masked_exog_panel,
-    masked_sql, mixed_panel, query, r, rnd,
+    LINEITEM_SQL, MIXED_SQL, ORDERS_SQL, exog_panel, lineitem_daily, lineitem_wide, masked, masked_exog_panel,
+    masked_sql, mixed_panel, orders_daily, query, r, rnd, table,
 )
 from dayloom.plans.catalog.evaluation import split_sql
 from dayloom.plans.catalog.features import COMPLETE, features_sql
-from dayloom.plans.stage import stage_panel
+from dayloom.plans.stage import stage_by_series, stage_panel
 from dayloom.schema import DAY, HARMONICS, KEY, LAGS, PERIODS, TARGET, WINDOWS
 from dayloom.sources.sinks import join_predictions
 
@@ -224,3 +224,70 @@ def linear_one_feature(spark, sf_dir):
                         (F.col(TARGET) / 1000.0).alias(TARGET), (F.col(TARGET) / 1000.0).alias("detrended"))
     table = models.coefficients(models.fit_linear(rows, _CLOSED), _CLOSED).filter(~F.endswith("model", F.lit("+Trend")))
     return table.select(KEY, "model", "n", rnd(F.col("coef")[0], 5).alias("coef"), rnd("intercept", 5).alias("intercept"))
+
+
+_WIDE_MODELS = RIDGES + ("SGD",)
+_PARTS_SQL = """SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS ds,
+ CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / 1000 AS y, MIN(l_partkey) AS part_key FROM lineitem GROUP BY 1, 2"""
+# A level's penalty: its count and the penalty weigh it against the other columns.
+_PENALTY = {_WIDE_MODELS[0]: ("0.5", "0.5"), _WIDE_MODELS[1]: ("2.0", "2.0"),
+            _WIDE_MODELS[2]: ("0.0001 * (tt - t1 * t1 / n)", "0.0001 * c * (1 - c / n)")}
+_PENALTIES = " UNION ALL ".join(f"SELECT *, '{m}' AS model, {a} AS pt, {b} AS p FROM lt" for m, (a, b) in _PENALTY.items())
+
+
+@query("benchmark_exog_wide", f"""WITH panel AS ({_PARTS_SQL}),
+ placed AS (SELECT *, CAST(ds - MIN(ds) OVER w AS DOUBLE) AS t, ROW_NUMBER() OVER (w ORDER BY ds) AS pos,
+  COUNT(*) OVER w AS n_known FROM panel WINDOW w AS (PARTITION BY series_id)),
+ split AS (SELECT *, pos > n_known - GREATEST(FLOOR(n_known * 0.2), 1) AS test FROM placed),
+ tot AS (SELECT series_id, CAST(COUNT(*) AS DOUBLE) AS n, SUM(t) AS t1, SUM(t * t) AS tt, SUM(y) AS y1, SUM(t * y) AS ty
+  FROM split WHERE NOT test GROUP BY 1),
+ lv AS (SELECT series_id, part_key, CAST(COUNT(*) AS DOUBLE) AS c, SUM(t) AS lt1, SUM(y) AS ly1 FROM split WHERE NOT test GROUP BY 1, 2),
+ lt AS (SELECT * FROM lv JOIN tot USING (series_id)), l AS ({_PENALTIES}),
+ s AS (SELECT series_id, model, ANY_VALUE(n) - SUM(c * c / (c + p)) AS a, ANY_VALUE(t1) - SUM(c * lt1 / (c + p)) AS b,
+  ANY_VALUE(tt + pt) - SUM(lt1 * lt1 / (c + p)) AS d, ANY_VALUE(y1) - SUM(c * ly1 / (c + p)) AS e,
+  ANY_VALUE(ty) - SUM(lt1 * ly1 / (c + p)) AS f FROM l GROUP BY 1, 2),
+ u AS (SELECT *, (a * f - b * e) / (a * d - b * b) AS slope FROM s), v AS (SELECT *, (e - b * slope) / a AS icpt FROM u),
+ w AS (SELECT l.series_id, l.model, part_key, (ly1 - icpt * c - slope * lt1) / (c + p) AS weight FROM l JOIN v USING (series_id, model)),
+ f AS (SELECT x.series_id, v.model, x.y, icpt + slope * t + COALESCE(weight, 0) AS yhat FROM split x JOIN v USING (series_id)
+  LEFT JOIN w ON w.series_id = x.series_id AND w.model = v.model AND w.part_key = x.part_key WHERE test),
+ m AS (SELECT series_id, model, COUNT(*) AS n_test, SQRT(AVG((y - yhat) * (y - yhat))) AS rmse FROM f GROUP BY 1, 2)
+ SELECT series_id, model, n_test, {r('rmse', 5)} AS rmse,
+  CAST(ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY rmse, model) AS INTEGER) AS rank FROM m""")
+def benchmark_exog_wide(spark, sf_dir):
+    """Day number and one category column with a level per part, ranked on the last days."""
+    rows = daily_panel(table(spark, sf_dir, "lineitem"), F.col("l_returnflag"), F.col("l_shipdate"),
+                       F.col("l_extendedprice").cast("decimal(18,2)"), part_key=F.min("l_partkey").cast("string"))
+    panel = stage_panel(rows.withColumn(TARGET, F.col(TARGET) / 1000))
+    kinds = [{"original_name": "part_key", "kind": "categorical"}]
+    split = evaluate.time_split(panel).withColumns({
+        "t": F.datediff(DAY, F.min(DAY).over(by_series())).cast("double"), "levels": exog.Columns(kinds).levels()})
+    train = split.filter("part = 'train'").select(KEY, DAY, TARGET, F.col(TARGET).alias("detrended"), F.array("t").alias("x"), "levels")
+    weights = stage_by_series(models.fit_linear(train, _WIDE_MODELS))
+    plain = models.coefficients(weights, _WIDE_MODELS).select(KEY, "model", "intercept", F.col("coef")[0].alias("slope"))
+    by_level = models.level_weights(weights, _WIDE_MODELS)
+    test = split.filter("part = 'test'").select(KEY, DAY, TARGET, "t", F.col("levels")[0].alias("level_name"))
+    value = F.col("intercept") + F.col("slope") * F.col("t") + F.coalesce("weight", F.lit(0.0))
+    out = test.join(plain, KEY).join(by_level, [KEY, "model", "level_name"], "left").withColumn("yhat", value)
+    board = evaluate.leaderboard(evaluate.metrics(out.filter(~F.endswith("model", F.lit(models.TREND_SUFFIX)))))
+    return board.select(KEY, "model", "n_test", rnd("rmse", 5).alias("rmse"), "rank")
+
+
+_REPORTED = f"""{MIXED_SQL} UNION ALL SELECT 'twice' AS series_id, ds, y FROM ({LINEITEM_SQL}) WHERE series_id = 'A'
+ UNION ALL SELECT 'twice', ds, y FROM ({LINEITEM_SQL}) WHERE series_id = 'R'
+ UNION ALL SELECT * FROM (SELECT 'short' AS series_id, ds, y FROM ({ORDERS_SQL}) WHERE series_id = '1-URGENT' ORDER BY ds LIMIT 9)"""
+_USED = " + ".join(f"CAST(n > {lag} AS INTEGER)" for lag in LAGS)
+_LONGEST = "CASE " + " ".join(f"WHEN n > {lag} THEN {lag}" for lag in sorted(LAGS, reverse=True)) + " ELSE 0 END"
+
+
+@query("fit_report", f"""WITH panel AS ({_REPORTED}), d AS (SELECT series_id, ds, COUNT(*) AS rows FROM panel GROUP BY 1, 2),
+ s AS (SELECT series_id, SUM(rows)::BIGINT AS n, MAX(rows) AS most FROM d GROUP BY 1),
+ c AS (SELECT *, CASE WHEN most > 1 THEN 'several rows on one day' WHEN n < 10 THEN 'fewer than ten known rows' END AS reason FROM s)
+ SELECT series_id, model, n - ({_LONGEST}) AS n, CAST({_USED} + {len(WINDOWS) + _FIXED} AS INTEGER) AS d, 1 AS rounds,
+  TRUE AS converged, reason FROM c CROSS JOIN (VALUES {', '.join(f"('{m}')" for m in _WIDE_MODELS)}) AS m(model) WHERE reason IS NULL
+ UNION ALL SELECT series_id, NULL, n, NULL, 0, FALSE, reason FROM c WHERE reason IS NOT NULL""")
+def fit_report(spark, sf_dir):
+    """Fits of long and short series, a series with days twice, and one that is too short."""
+    lines = lineitem_daily(spark, sf_dir).filter(F.col(KEY).isin("A", "R")).withColumn(KEY, F.lit("twice"))
+    first = orders_daily(spark, sf_dir).filter(F.col(KEY) == "1-URGENT").orderBy(DAY).limit(9).withColumn(KEY, F.lit("short"))
+    panel = stage_panel(mixed_panel(spark, sf_dir).unionByName(lines).unionByName(first))
+    return jobs.fit_report(panel, _WIDE_MODELS, detect_periods=False)

@@ -31,3 +31,10 @@ def stage_by_series(df: DataFrame, sort=(KEY,), buckets=None) -> DataFrame:
 def stage_panel(panel: DataFrame, buckets=None) -> DataFrame:
     """Raw data is scanned and aggregated a single time, then laid out by series and day."""
     return stage_by_series(panel, (KEY, DAY), buckets)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write a table in the shared folder as it lies and read it back: its lineage ends here."""
+    path = f"{shared_dir(df.sparkSession)}/dayloom-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -66,11 +66,11 @@ def test_a_broken_series_leaves_the_others(monkeypatch):
     def solve(names, n, *rest):
         if (n == 0).any():
             raise np.linalg.LinAlgError
-        return np.ones((len(n), len(names), 2, rest[0].shape[1] + 1))
+        return np.ones((len(n), len(names), 2, rest[0].shape[1] + 1)), np.ones((len(n), len(names), 2), int)
 
     monkeypatch.setattr(models, "_solve_stack", solve)
-    out = models._solve_guarded(["m"], np.array([3, 0, 5]), np.zeros((3, 2)))
-    assert np.isnan(out[1]).all() and (out[[0, 2]] == 1).all()
+    out, rounds = models._solve_guarded(["m"], np.array([3, 0, 5]), np.zeros((3, 2)))
+    assert np.isnan(out[1]).all() and (out[[0, 2]] == 1).all() and rounds[:, 0, 0].tolist() == [1, -1, 1]
 
 
 def test_lags_beyond_a_year(spark):
