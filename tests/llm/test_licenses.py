@@ -10,14 +10,20 @@ SCHEMA = "doc_id long, text string, licence string, ids string, left0 string, ro
 MIT = ["MITTitle", "MITGrant", "MITNotice", "MITWarranty", "MITLiability"]
 
 
-def slow(text):
+def slow(text, known=licenses.SENTENCES, rules=licenses.RULES):
+    """Sentences looked for part by part, from each part on as few parts as make one."""
     text = text or ""
-    for pattern, kind in licenses.ENDS:
+    for pattern, kind in licenses.ends(known):
         text = re.sub(pattern, ("\x01", r"\1" + "\x01", "\x01" + r"\1")[kind], text)
-    plain = {licenses._plain(s): i for i, s in licenses.SENTENCES.items()}
-    ids = [plain[p] for p in map(licenses._plain, text.split("\x01")) if p in plain]
+    plain = {licenses._plain(s): i for i, s in known.items()}
+    parts = [p for p in map(licenses._plain, text.split("\x01")) if p]
+    ids, at = [], 0
+    while at < len(parts):
+        end = next((e for e in range(at + 1, len(parts) + 1) if " ".join(parts[at:e]) in plain), None)
+        ids += [plain[" ".join(parts[at:end])]] if end else []
+        at = end or at + 1
     rest, names, n = list(ids), [], 0
-    for name, need in licenses.RULES:
+    for name, need in rules:
         i = 0
         while i + len(need) <= len(rest):
             if tuple(rest[i:i + len(need)]) == need:
@@ -52,8 +58,10 @@ def test_equals_plain_loop(spark):
 
 
 def test_every_sentence_has_a_key():
+    keys = licenses.keys(licenses.SENTENCES)
     for s in licenses.SENTENCES.values():
-        assert any(k in s.lower() for k in licenses.KEYS), s
+        assert any(k in s.lower() for k in keys), s
+    assert licenses.keys({"X": "Use it freely.", "Y": "a b", "Z": "..."}) == ["freely", "a"]
     assert all(i in licenses.SENTENCES for _, need in licenses.RULES for i in need)
 
 
@@ -109,6 +117,29 @@ def test_every_sentence_and_rule_is_found(spark):
     assert len(out) == len(rows)
 
 
+def test_a_table_of_ones_own(spark):
+    """Sentences of the caller alone are looked for, and texts are chosen by their words."""
+    known = {"X": "Use it freely.", "Y": "No resale (of parts).", "Z": "!!", "Q": "v. 2"}
+    rules = [("Free", ("X", "Y")), ("Free-1", ("X",)), ("Two", ("Q",))]
+    rows = ["Use it freely.", "use it\nFREELY! no resale: of parts", "All rights reserved. Use it freely. Other. No resale of parts.", "Prose.\n\nv. 2\n\nx", None, "", "MIT License"]
+    out = licenses.licence_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), known, rules).collect()
+    own = {i: s for i, s in known.items() if licenses._plain(s)}
+    for r in out:
+        assert (r.licence.sentence_ids, r.licence.names, r.licence.n_matches, r.licence.n_left) == slow(rows[r.doc_id], own, rules), rows[r.doc_id]
+    assert {r.doc_id: r.licence.names for r in out} == {0: ["Free-1"], 1: ["Free"], 2: ["Free"], 3: ["Two"], 4: [], 5: [], 6: []}
+    none = licenses.licence_scan(spark.createDataFrame([(1, "MIT License")], "doc_id long, text string"), {}, [])
+    assert none.first().licence.sentence_ids == []
+
+
+def test_tags_and_titles(spark):
+    rows = {"// SPDX-License-Identifier: MIT\n#include <x>": ["MIT"], "# SPDX-License-Identifier: Apache-2.0\n\ncode": ["Apache-2.0"],
+            "ISC License\n\nCopyright (c) 2020, A. Person": ["ISC"], "GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1": ["LGPL-2.1"],
+            "x\n\nGNU LESSER GENERAL PUBLIC LICENSE\n Version 3\n\nfoo": ["LGPL-3.0"], "SPDX-License-Identifier: MIT-like": [],
+            "the ISC License of old": [], "/* SPDX-License-Identifier: GPL-2.0-only\n * text */": ["GPL-2.0-only"]}
+    out = licenses.licence_scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.text: r.licence.names for r in out} == rows
+
+
 def test_half_a_sentence_is_none(spark):
     halves = [GPL3[:34], GPL3[34:280], "v. 2.0.", "License, v.\n\nOther words.\n\n2.0."]
     out = licenses.licence_scan(spark.createDataFrame(list(enumerate(halves)), "doc_id long, text string")).collect()

@@ -24,7 +24,7 @@ def documents():
     rows += [(200 + i, prose[10 + i] + "\n" + passage, "en", "s1", 1) for i in range(6)]
     words = ["".join(map(chr, rng.integers(97, 123, 3))) for _ in range(60)]
     short, brief = " ".join(words) + ".", " ".join(w * 2 for w in words[:40]) + "."
-    rows += [(220 + i, prose[25 + i] + "\n" + part, "en", "s1", 1) for i, part in enumerate((short, short, brief, brief))]
+    rows += [(220 + i, line(90) + "\n" + part, "en", "s1", 1) for i, part in enumerate((short, short, brief, brief))]
     rows += [(300, "too short", "en", "s2", 9), (301, None, None, None, None), (302, prose[20] + "\nRead more", "en", None, 1)]
     return rows
 
