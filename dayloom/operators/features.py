@@ -160,6 +160,36 @@ def feature_vectors(panel: DataFrame, periods: Column = None, exog=None, extra=(
     )
 
 
+def vector_names(periods: Column, n_rows="n_rows", lags=LAGS, windows=WINDOWS, harmonics=HARMONICS) -> Column:
+    """Names of the entries of ``feature_vectors`` for a series of ``n_rows`` with its own ``periods``, in their order."""
+    used = sum((F.when(F.col(n_rows) > n, 1).otherwise(0) for n in lags), F.lit(0))
+    waves = F.flatten(F.transform(periods, lambda p: F.array(*[
+        F.concat(F.lit(f"fourier_{f}_"), p.cast("string"), F.lit(f"_{k}")) for k in range(1, harmonics + 1) for f in ("sin", "cos")])))
+    fixed = [ma_name(w) for w in windows] + ["trend"] + [dow_name(i) for i in range(7)]
+    return F.concat(F.slice(F.array(*[F.lit(lag_name(n)) for n in lags]), F.lit(1), used), F.array(*[F.lit(n) for n in fixed]), waves)
+
+
+def named_features(panel: DataFrame, periods: DataFrame) -> DataFrame:
+    """(series_id, ds, y, n_rows, names, x): complete rows; each series has the features it is long enough and periodic for.
+
+    ``periods(series_id, periods)`` lists the Fourier periods of each series, the fixed ones first.
+    """
+    rows = feature_vectors(panel.join(periods.select(KEY, "periods"), KEY), periods=F.col("periods"), extra=("periods",))
+    return rows.select(KEY, DAY, TARGET, "n_rows", vector_names(F.col("periods")).alias("names"), "x")
+
+
+def used_features(named: DataFrame) -> DataFrame:
+    """Features of each kind that the rows of ``named_features`` really hold, one row per series."""
+    def kind(prefix):
+        return F.size(F.filter("names", lambda n: n.startswith(prefix))).cast("bigint")
+
+    per = named.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_complete"), F.first("n_rows").alias("n_rows"), F.first("names").alias("names"),
+                                 F.min(F.size("x")).alias("narrow"), F.max(F.size("x")).alias("wide"))
+    return per.select(KEY, "n_rows", "n_complete", kind("lag").alias("n_lags"), kind("ma").alias("n_windows"), kind("dow_").alias("n_dow"),
+                      kind("fourier_").alias("n_fourier"), F.col("wide").cast("bigint").alias("n_features"),
+                      ((F.col("narrow") == F.size("names")) & (F.col("wide") == F.size("names"))).alias("all_named"))
+
+
 def feature_info(panel: DataFrame, lags=LAGS, windows=WINDOWS, periods=PERIODS,
                  harmonics=HARMONICS, n_exog=0) -> DataFrame:
     """How many features of each kind a series gets."""

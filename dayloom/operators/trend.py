@@ -124,6 +124,12 @@ def trend_fit(panel: DataFrame, max_degree=MAX_TREND_DEGREE) -> DataFrame:
         *[F.first(f"fit{d}").alias(f"fit{d}") for d in degrees],
         *[F.sqrt(F.avg(error(d))).alias(f"rmse{d}") for d in degrees],
     )
+    return choose_degree(rows, max_degree)
+
+
+def choose_degree(rows: DataFrame, max_degree=MAX_TREND_DEGREE) -> DataFrame:
+    """The fit with the least holdout error from ``fit*`` and ``rmse*``; the mean without any holdout."""
+    degrees = range(max_degree + 1)
     options = F.array(*[
         F.struct(F.col(f"rmse{d}").alias("rmse"), F.lit(d).alias("degree"),
                  F.col(f"fit{d}").alias("coef"))

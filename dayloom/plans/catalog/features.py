@@ -11,6 +11,7 @@ from dayloom.plans.catalog.base import (
     LINEITEM_SQL, MASKED_EXOG_SQL, MIXED_SQL, lineitem_daily, masked, masked_exog_panel, masked_sql,
     mixed_panel, query, r, rnd,
 )
+from dayloom.plans.stage import stage_by_series, stage_panel
 from dayloom.schema import DAY, HARMONICS, KEY, LAGS, PERIODS, TARGET, WINDOWS
 
 _W = "OVER (PARTITION BY series_id ORDER BY ds)"
@@ -153,6 +154,41 @@ def feature_matrix(spark, sf_dir):
     return _round_all(ops.feature_matrix(panel, exog=[F.col("disc").alias("x_disc")]))
 
 
+_WAVES = 2 * HARMONICS
+_LONGEST = "CASE " + " ".join(f"WHEN n > {lag} THEN {lag}" for lag in sorted(LAGS, reverse=True)) + " ELSE 0 END"
+_WAVE_SUM = " + ".join(f"{f}({2 * math.pi * k!r} * t / p)" for k in range(1, HARMONICS + 1) for f in ("sin", "cos"))
+
+
+# The panel's own wave of seven days is a fixed period; eleven is one that has to be found.
+def _eleven(sql):
+    return sql.replace(repr(2 * math.pi / 7), repr(2 * math.pi / 11))
+
+
+@query("feature_info_detected", f"""WITH {_eleven(_PERIODS_SQL)},
+ known AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY ds) AS pos, COUNT(*) OVER (PARTITION BY series_id) AS n,
+  CAST(ds - MIN(ds) OVER (PARTITION BY series_id) AS DOUBLE) AS t FROM src WHERE y IS NOT NULL),
+ ready AS (SELECT * FROM known WHERE pos > {_LONGEST}),
+ more AS (SELECT series_id, list_filter(periods, lambda p: p NOT IN ({', '.join(map(str, PERIODS))})) AS found FROM periods),
+ info AS (SELECT series_id, ANY_VALUE(n) AS n_rows, COUNT(*) AS n_complete,
+  CAST({' + '.join(f"CAST(ANY_VALUE(n) > {lag} AS INTEGER)" for lag in LAGS)} AS BIGINT) AS n_lags FROM ready GROUP BY 1),
+ wave AS (SELECT series_id, SUM({_WAVE_SUM}) AS wave_sum FROM (SELECT series_id, t, UNNEST(found) AS p FROM ready JOIN more USING (series_id)) GROUP BY 1)
+ SELECT series_id, n_rows, n_complete, n_lags, {len(WINDOWS)}::BIGINT AS n_windows, 7::BIGINT AS n_dow,
+  ({_WAVES} * ({len(PERIODS)} + len(found)))::BIGINT AS n_fourier,
+  (n_lags + {len(WINDOWS)} + 8 + {_WAVES} * ({len(PERIODS)} + len(found)))::BIGINT AS n_features, TRUE AS all_named,
+  {r('COALESCE(wave_sum, 0.0)', 5)} AS wave_sum FROM info JOIN more USING (series_id) LEFT JOIN wave USING (series_id)""")
+def feature_info_detected(spark, sf_dir):
+    """Counts of the features that series with periods of their own really have, and the sum of the waves found."""
+    t = F.datediff(F.col(DAY), F.lit("1990-01-01").cast("date"))
+    y = F.lit(100.0) + 10 * F.sin(t * F.lit(2 * math.pi / 11)) + F.col(TARGET) / 1e7
+    panel = stage_panel(mixed_panel(spark, sf_dir).withColumn(TARGET, y))
+    named = ops.named_features(panel, stage_by_series(seasonality.merged_periods(panel)))
+    fixed = [n for p in PERIODS for n in ops.fourier_names(p)]
+    own = F.filter(F.arrays_zip(F.col("names").alias("n"), F.col("x").alias("v")),
+                   lambda z: z["n"].startswith("fourier_") & ~F.array_contains(F.array(*[F.lit(n) for n in fixed]), z["n"]))
+    waves = named.groupBy(KEY).agg(F.sum(F.aggregate(own, F.lit(0.0), lambda a, z: a + z["v"])).alias("wave_sum"))
+    return ops.used_features(named).join(waves, KEY).withColumn("wave_sum", rnd("wave_sum", 5))
+
+
 _USED = " + ".join(f"(CASE WHEN COUNT(*) > {n} THEN 1 ELSE 0 END)" for n in LAGS)
 _FIXED = len(WINDOWS) + 1 + 7 + 2 * HARMONICS * len(PERIODS)
 

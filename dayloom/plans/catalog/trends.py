@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from dayloom.operators import evaluate, trend
-from dayloom.operators.panel import known_rows
+from dayloom.operators import evaluate, trend, trend_state
+from dayloom.operators.panel import by_series, known_rows
 from dayloom.plans.catalog.base import MIXED_SQL, masked, masked_sql, mixed_panel, query, r, rnd
-from dayloom.plans.stage import stage_panel
+from dayloom.plans.stage import stage, stage_panel
 from dayloom.schema import DAY, KEY, TARGET
 
 MASKED_SQL = masked_sql(MIXED_SQL)
@@ -87,11 +87,27 @@ def trend_fit(spark, sf_dir):
         rnd("f.c.c2", 6).alias("c2"))
 
 
-@query("trend_degree", f"""WITH {trend_sql(MASKED_SQL)} SELECT series_id, t0, n, degree,
+_DEGREE_SQL = f"""WITH {trend_sql(MASKED_SQL)} SELECT series_id, t0, n, degree,
  {r('c0', 2)} AS c0, {r('c1', 4)} AS c1, {r('c2', 6)} AS c2,
- {r('rmse0', 2)} AS rmse0, {r('rmse1', 2)} AS rmse1, {r('rmse2', 2)} AS rmse2 FROM tr""")
+ {r('rmse0', 2)} AS rmse0, {r('rmse1', 2)} AS rmse1, {r('rmse2', 2)} AS rmse2 FROM tr"""
+
+
+@query("trend_degree", _DEGREE_SQL)
 def trend_degree(spark, sf_dir):
-    t = trend.trend_fit(masked(mixed_panel(spark, sf_dir)))
+    return _rounded(trend.trend_fit(masked(mixed_panel(spark, sf_dir))))
+
+
+@query("trend_degree_appended", _DEGREE_SQL)
+def trend_degree_appended(spark, sf_dir):
+    """The same from kept sums: all but the last days of a series first, then those appended."""
+    panel = stage_panel(masked(mixed_panel(spark, sf_dir)))
+    late = F.col(DAY) > F.date_sub(F.max(DAY).over(by_series()), 45)
+    parts = panel.withColumn("late", late)
+    before, after = (trend_state.day_state(parts.filter(cond).drop("late")) for cond in ("NOT late", "late"))
+    return _rounded(trend_state.trend_from_state(stage(trend_state.merge_states(stage(before, "trend-state"), after), "trend-state")))
+
+
+def _rounded(t):
     return t.select(KEY, "t0", "n", "degree", rnd("coef.c0", 2).alias("c0"),
                     rnd("coef.c1", 4).alias("c1"), rnd("coef.c2", 6).alias("c2"),
                     *[rnd(f"rmse{d}", 2).alias(f"rmse{d}") for d in range(3)])
