@@ -115,7 +115,7 @@ GAP = r"[\x20\x09-\x0D]"
 
 def _openings(known) -> str:
     """First two words of each known sentence, as a pattern."""
-    return "|".join(sorted({re.escape(" ".join(s.split()[:2])) for s in known.values()}))
+    return "|".join(sorted({" ".join(map(re.escape, s.split()[:2])) for s in known.values()}))
 
 
 def ends(known):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from dayloom.llm.bwt import repeated_starts
-from dayloom.llm.common import stage, table
+from dayloom.llm.common import partitions, stage, table
 
 LENGTH = 400
 GRAM = 96
@@ -221,7 +221,7 @@ def repeated_runs(docs: DataFrame, length=LENGTH, gram=GRAM, limit=LIMIT) -> Dat
     pieces = stage(plain.join(asked, plain.doc_id.eqNullSafe(asked.i) & (plain.digest == asked.d)).select(
         "doc_id", "digest", "text", "asked").mapInArrow(_cut_pieces(length, scoped), PIECES), "pieces")
     found = pieces.where("piece IS NOT NULL").select("key", "doc_id", "digest", "s", "n", "piece", "owner").repartition(
-        "key").sortWithinPartitions("key").mapInArrow(_search_pieces(length, scoped), RUNS)
+        partitions(docs.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_search_pieces(length, scoped), RUNS)
     if not several.where("hot").isEmpty():
         single = pieces.where("piece IS NULL")
         # a run seen twice is shared already, so what it has is shared by all
