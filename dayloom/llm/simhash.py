@@ -209,7 +209,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Columns are kept, null ids come last, one of several equal rows stays.
     """
-    groups = near_duplicates(docs, **options)
+    return first_rows(docs, near_duplicates(docs, **options))
+
+
+def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that come first in their group of ``groups(doc_id, digest, root)``."""
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
     keep = stage(groups.groupBy("root").agg(first.alias("k")).select(*id_key("k.doc_id"), F.col("k.digest").alias("digest")), "kept")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *id_key(),

@@ -11,7 +11,7 @@ import corpus_pipeline
 from dayloom.llm import pieces, quality
 
 sys.path.insert(0, os.path.dirname(__file__))
-import test_simhash as simhash_test  # noqa: E402
+import test_nearcopies as near_test  # noqa: E402
 
 
 def documents():
@@ -25,6 +25,8 @@ def documents():
     words = ["".join(map(chr, rng.integers(97, 123, 3))) for _ in range(60)]
     short, brief = " ".join(words) + ".", " ".join(w * 2 for w in words[:40]) + "."
     rows += [(220 + i, line(90) + "\n" + part, "en", "s1", 1) for i, part in enumerate((short, short, brief, brief))]
+    change = lambda t, n: " ".join(w if k % (97 // n) else f"changed{k}" for k, w in enumerate(t.split(" "), 1))
+    rows += [(400 + i, change(prose[30 + i], n), "en", "s2", 1) for i, n in enumerate((1, 2, 12))]
     rows += [(300, "too short", "en", "s2", 9), (301, None, None, None, None), (302, prose[20] + "\nRead more", "en", None, 1)]
     return rows
 
@@ -36,8 +38,9 @@ def test_run_equals_plain_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
     kept = [(i, "\n".join(x for x in t.split("\n") if x != "Read more"), s) for i, t, _, s, _ in rows if t and len(t.split()) >= 50]
-    groups = simhash_test.slow_components([r[0] for r in kept], [simhash_test.slow_print(r[1]) for r in kept])
-    kept = [r for r, g in zip(kept, groups) if r[0] == g]
+    ids = near_test.slow_groups([(i, t) for i, t, _ in kept])
+    kept = [r for r, g in zip(kept, ids) if r[0] == g]
+    assert {400, 401}.isdisjoint(r[0] for r in kept) and 402 in {r[0] for r in kept}
     seen = Counter(t.encode()[k:k + 150] for _, t, _ in kept for k in range(len(t.encode()) - 149))
     texts = {}
     for i, t, s in kept:
