@@ -24,8 +24,9 @@ def series_checks(panel: DataFrame) -> DataFrame:
 
 
 def accepted(panel: DataFrame, checks: DataFrame) -> DataFrame:
-    """Rows of the series that ``series_checks`` has no reason against."""
-    return panel.join(checks.filter("reason IS NULL").select(KEY), KEY, "left_semi")
+    """Rows of the series that ``series_checks`` has no reason against; pass written-down checks, as they are looked at here."""
+    lost = checks.filter("reason IS NOT NULL").select(KEY)
+    return panel if lost.isEmpty() else panel.join(lost, KEY, "left_anti")
 
 
 def time_split(panel: DataFrame, test_fraction=TEST_FRACTION) -> DataFrame:

@@ -20,6 +20,12 @@ def _present(c):
     return F.col(f"`{c}`").isNotNull()
 
 
+def _text(cell: Column) -> Column:
+    """A cell as text; a boolean is the number 1 or 0."""
+    text = cell.cast("string")
+    return F.when(F.typeof(cell) == "boolean", F.when(text == "true", "1").when(text == "false", "0")).otherwise(text)
+
+
 def exog_kinds(panel: DataFrame, columns=None) -> DataFrame:
     """One row per exogenous column: numeric, multilabel or categorical.
 
@@ -30,7 +36,7 @@ def exog_kinds(panel: DataFrame, columns=None) -> DataFrame:
     columns = list(columns or exog_columns(panel))
     running = by_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = panel.select(
-        KEY, DAY, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns],
+        KEY, DAY, *[_text(F.col(f"`{c}`")).alias(c) for c in columns],
     ).select(
         "*", *[F.count(F.col(f"`{c}`")).over(running).alias(f"{c}__seen") for c in columns]
     )
@@ -61,7 +67,7 @@ def _known_kinds(kinds):
 
 def _level_array(kind) -> Column:
     """Levels present in one cell; empty for numbers and for missing categories."""
-    cell = F.col(f"`{kind['original_name']}`").cast("string")
+    cell = _text(F.col(f"`{kind['original_name']}`"))
     if kind["kind"] == "multilabel":
         return multilabel_parse(cell)
     return F.when(cell.isNotNull(), F.array(cell))
@@ -135,7 +141,7 @@ def wide_columns(plan, fill_missing=False):
     """
     out = []
     for r in plan:
-        cell = F.col(f"`{r['original_name']}`").cast("string")
+        cell = _text(F.col(f"`{r['original_name']}`"))
         if r["kind"] == "numeric":
             value = to_number(cell)
             value = F.coalesce(value, F.lit(0.0)) if fill_missing else value
@@ -169,7 +175,7 @@ def encode_long(panel: DataFrame, kinds, levels: DataFrame, columns=None) -> Dat
     entries = []
     for k in known:
         if k["kind"] == "numeric":
-            number = to_number(F.col(f"`{k['original_name']}`").cast("string"))
+            number = to_number(_text(F.col(f"`{k['original_name']}`")))
             hit = F.when(number.isNotNull() & (number != 0), no_level)
         else:
             number = F.lit(1.0)
@@ -194,13 +200,13 @@ def future_exog(future: DataFrame, plan) -> DataFrame:
 
 
 def _number(cell, fill):
-    number = to_number(cell.cast("string"))
+    number = to_number(_text(cell))
     return F.coalesce(number, F.lit(0.0)) if fill else number
 
 
 def _names_in(cell, kind, place):
     """Names of the levels in a cell: the column's place, and ``=value`` unless a category is missing."""
-    cell = cell.cast("string")
+    cell = _text(cell)
     of = lambda v: F.concat(place, F.lit("="), v)
     labels = F.coalesce(F.transform(multilabel_parse(cell), of), F.array().cast("array<string>"))
     single = F.array(F.when(cell.isNull(), place).otherwise(of(cell)))

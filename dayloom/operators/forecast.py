@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from dayloom.functions import kernels
 from dayloom.operators.models import NEIGHBOUR_MODEL, TREND_SUFFIX, _level_pairs, has
+from dayloom.operators.panel import by_day, whole_series
 from dayloom.schema import DAY, KEY, LAGS, MEMORY, TARGET, WINDOWS
 
 FORECAST = "series_id string, model string, ds date, y double, yhat double"
@@ -51,8 +52,11 @@ def recursion_state(split: DataFrame, exog_arrays=None, level_arrays=None, missi
     """
     train, test = F.col("part") == "train", F.col("part") == "test"
     extra = [c.alias(n) for c, n in ((exog_arrays, "e"), (level_arrays, "l")) if c is not None]
-    rows = split.filter(train | test)
-    known = F.array_sort(F.collect_list(F.when(train, F.struct(DAY, TARGET))))
+    # Only the newest rows are gathered: the others count, but no feature sees them.
+    n_train = F.count(F.when(train, 1)).over(whole_series())
+    place = F.count(F.when(train, 1)).over(by_day())
+    rows = split.filter(train | test).withColumn("newest", train & (place > n_train - memory))
+    known = F.array_sort(F.collect_list(F.when(F.col("newest"), F.struct(DAY, TARGET))))
     wanted = F.array_sort(F.collect_list(F.when(test, F.struct(DAY, TARGET, *extra))))
     one = rows.groupBy(KEY).agg(
         F.min(F.when(train, F.col(DAY))).alias("start_ds"),
@@ -61,14 +65,12 @@ def recursion_state(split: DataFrame, exog_arrays=None, level_arrays=None, missi
         known.alias("known"), wanted.alias("wanted"),
         F.first(F.array().cast("array<string>") if missing_day is None else missing_day).alias("default_hits"),
     ).filter("last_ds IS NOT NULL AND size(wanted) > 0")
-    size = F.size("known")
-    hist = F.slice(F.col(f"known.{TARGET}"), F.greatest(size - memory + 1, F.lit(1)), F.lit(memory))
     epoch = F.lit(EPOCH).cast("date")
     return one.select(
         KEY, "n_train",
         F.datediff("start_ds", epoch).alias("start_day"),
         F.datediff("last_ds", epoch).alias("last_day"),
-        hist.alias("hist"),
+        F.col(f"known.{TARGET}").alias("hist"),
         F.transform("wanted", lambda w: F.datediff(w[DAY], F.col("last_ds"))).alias("offsets"),
         F.col(f"wanted.{TARGET}").alias("actual"),
         (F.flatten(F.col("wanted.e")) if exog_arrays is not None

@@ -124,7 +124,7 @@ def benchmark(panel: DataFrame, chosen=SERIES_MODELS, test_fraction=TEST_FRACTIO
 
     Pass a staged panel (``stage_panel``): it is read by several branches here.
     """
-    checks = evaluate.series_checks(panel)
+    checks = stage_by_series(evaluate.series_checks(panel))
     usable = evaluate.accepted(panel, checks)
     split, columns = _with_exog(evaluate.time_split(usable, test_fraction), with_exog)
     train = split.filter("part = 'train'")
@@ -154,7 +154,7 @@ def fit_report(panel: DataFrame, chosen=models.LINEAR_MODELS, detect_periods=Tru
     (series_id, model, n, d, rounds, converged, reason): rows and columns of the fit, the rounds its
     solver took, and why it has no result or an unfinished one.
     """
-    checks = evaluate.series_checks(panel)
+    checks = stage_by_series(evaluate.series_checks(panel))
     split = known_rows(evaluate.accepted(panel, checks)).withColumn("part", F.lit("train"))
     split, columns = _with_exog(split, with_exog)
     train = split.drop("part")

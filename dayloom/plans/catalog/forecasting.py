@@ -1,5 +1,7 @@
 """Model and forecasting queries."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from dayloom.operators import evaluate, exog, features, forecast, models
@@ -291,3 +293,75 @@ def fit_report(spark, sf_dir):
     first = orders_daily(spark, sf_dir).filter(F.col(KEY) == "1-URGENT").orderBy(DAY).limit(9).withColumn(KEY, F.lit("short"))
     panel = stage_panel(mixed_panel(spark, sf_dir).unionByName(lines).unionByName(first))
     return jobs.fit_report(panel, _WIDE_MODELS, detect_periods=False)
+
+
+@query("bayesian_one_feature", f"""WITH RECURSIVE panel AS ({MIXED_SQL}),
+ p AS (SELECT series_id, CAST(ds - MIN(ds) OVER (PARTITION BY series_id) AS DOUBLE) AS t, y / 1000.0 AS v FROM panel),
+ a AS (SELECT *, AVG(t) OVER (PARTITION BY series_id) AS mx, AVG(v) OVER (PARTITION BY series_id) AS my FROM p),
+ m AS (SELECT series_id, COUNT(*) AS n, MIN(mx) AS mx, MIN(my) AS my, SUM((t - mx) * (t - mx)) AS sxx,
+  SUM((t - mx) * (v - my)) AS sxy, SUM((v - my) * (v - my)) AS syy FROM a GROUP BY 1),
+ i AS (SELECT *, 0 AS k, 1 / (syy / n + {2.0 ** -52!r}) AS noise, CAST(1.0 AS DOUBLE) AS prec, CAST(NULL AS DOUBLE) AS before, FALSE AS done FROM m
+  UNION ALL SELECT series_id, n, mx, my, sxx, sxy, syy, k + 1,
+   CASE WHEN stop THEN noise ELSE (n - eff + 2e-6) / (GREATEST(syy - 2 * w * sxy + w * w * sxx, 0) + 2e-6) END,
+   CASE WHEN stop THEN prec ELSE (eff + 2e-6) / (w * w + 2e-6) END, w, stop
+  FROM (SELECT *, COALESCE(ABS(w - before) < 1e-3, FALSE) AS stop, noise * sxx / (prec + noise * sxx) AS eff
+   FROM (SELECT *, sxy / (sxx + prec / noise) AS w FROM i)) WHERE NOT done AND k < 300),
+ f AS (SELECT *, sxy / (sxx + prec / noise) AS w, ROW_NUMBER() OVER (PARTITION BY series_id ORDER BY k DESC) AS nth FROM i)
+ SELECT series_id, n, {r('w', 5)} AS coef, {r('my - w * mx', 5)} AS intercept FROM f WHERE nth = 1""")
+def bayesian_one_feature(spark, sf_dir):
+    """Evidence maximisation on the day number alone, its rounds written out in SQL."""
+    rows = mixed_panel(spark, sf_dir).select(
+        KEY, DAY, F.array(F.datediff(DAY, F.min(DAY).over(by_series())).cast("double")).alias("x"),
+        (F.col(TARGET) / 1000.0).alias(TARGET), (F.col(TARGET) / 1000.0).alias("detrended"))
+    table = models.coefficients(models.fit_linear(rows, ("BayesianRidge",)), ("BayesianRidge",)).filter("model = 'BayesianRidge'")
+    return table.select(KEY, "n", rnd(F.col("coef")[0], 5).alias("coef"), rnd("intercept", 5).alias("intercept"))
+
+
+# Weights of a linear model on lags, averages, day number, weekday and three of the waves.
+_LAG_WEIGHTS = dict(zip(LAGS, (0.3, 0.15, 0.1, 0.05, 0.05)))
+_MEAN_WEIGHTS = dict(zip(WINDOWS, (0.1, 0.1, 0.05)))
+_WAVE_WEIGHTS = {"fourier_sin_7_1": 50.0, "fourier_cos_30_2": 20.0, "fourier_sin_365_1": 200.0}
+_DAY_WEIGHT, _WEEKDAY_WEIGHT, _INTERCEPT = 0.01, 10.0, 5.0
+
+
+def _weighted_walk(split):
+    """The linear walk with given weights on every kind of feature."""
+    state = _plain_state(split)
+    used = sum((F.when(F.col("n_train") > n, 1).otherwise(0) for n in LAGS), F.lit(0))
+    fixed = [*_MEAN_WEIGHTS.values(), _DAY_WEIGHT, *(_WEEKDAY_WEIGHT * i for i in range(7)),
+             *(_WAVE_WEIGHTS.get(n, 0.0) for p in PERIODS for n in features.fourier_names(p)), _INTERCEPT]
+    one = F.concat(F.slice(F.array(*map(F.lit, _LAG_WEIGHTS.values())), F.lit(1), used), F.array(*map(F.lit, fixed)))
+    return forecast.walk_forward_linear(
+        state.withColumns({"d": used + len(WINDOWS) + _FIXED, "weights": F.concat(one, one)}), None, ["weighted"])
+
+
+def _weighted_sql(split):
+    """CTEs ending in ``walk``: the same weights, one day a round, on the last 365 values."""
+    lags = " + ".join(f"CASE WHEN n_train > {n} THEN {w!r} * h[len(h) - {n - 1}] ELSE 0 END" for n, w in _LAG_WEIGHTS.items())
+    means = " + ".join(f"{w!r} * list_avg(h[GREATEST(len(h) - {n - 1}, 1):len(h)])" for n, w in _MEAN_WEIGHTS.items())
+    waves = " + ".join(f"{w!r} * {n.split('_')[1]}({2 * math.pi * int(n.split('_')[3])!r} * (ds + 1 - t0) / {float(n.split('_')[2])!r})"
+                       for n, w in _WAVE_WEIGHTS.items())
+    return f"""tr AS (SELECT series_id, MIN(ds) AS t0, MAX(ds) AS tn, COUNT(*) AS n_train, list(y ORDER BY ds) AS all_y
+  FROM {split} WHERE part = 'train' GROUP BY 1),
+ goal AS (SELECT series_id, MAX(ds) AS last_ds FROM {split} WHERE part = 'test' GROUP BY 1),
+ steps AS (SELECT series_id, t0, n_train, last_ds, tn AS ds, list_slice(all_y, GREATEST(len(all_y) - 364, 1), len(all_y)) AS h,
+  CAST(NULL AS DOUBLE) AS yhat FROM tr JOIN goal USING (series_id)
+  UNION ALL SELECT series_id, t0, n_train, last_ds, ds + 1, list_slice(list_append(h, z), GREATEST(len(h) - 363, 1), len(h) + 1), z FROM (
+   SELECT *, {lags} + {means} + {_DAY_WEIGHT!r} * (ds + 1 - t0) + {_WEEKDAY_WEIGHT!r} * (isodow(ds + 1) - 1) + {waves} + {_INTERCEPT!r} AS z
+   FROM steps WHERE ds < last_ds)),
+ walk AS (SELECT series_id, ds, yhat FROM steps WHERE yhat IS NOT NULL)"""
+
+
+@query("walk_forward_weights", f"""WITH RECURSIVE {split_sql(MIXED_SQL)}, {_weighted_sql('split')}
+ SELECT series_id, 'weighted' AS model, ds, y, {r('yhat', 3)} AS yhat FROM walk JOIN split USING (series_id, ds) WHERE part = 'test'""")
+def walk_forward_weights(spark, sf_dir):
+    out = _weighted_walk(evaluate.time_split(stage_panel(mixed_panel(spark, sf_dir))))
+    return out.withColumn("yhat", rnd("yhat", 3))
+
+
+@query("future_weights", f"""WITH RECURSIVE {_future_split_sql(_MASKED)}, {_weighted_sql('fsplit')}
+ SELECT series_id, 'weighted' AS model, ds, {r('yhat', 3)} AS yhat FROM walk JOIN fsplit USING (series_id, ds) WHERE part = 'test'""")
+def future_weights(spark, sf_dir):
+    """Days without a target, each forecast from those before it."""
+    out = _weighted_walk(jobs.as_future_split(stage_panel(masked(mixed_panel(spark, sf_dir)))))
+    return out.select(KEY, "model", DAY, rnd("yhat", 3).alias("yhat"))

@@ -1,6 +1,7 @@
 """Session helpers for tests and the bench; a cluster brings its own session."""
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +37,26 @@ def shared_dir(spark):
     folder = tempfile.mkdtemp(prefix="dayloom-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+_STAGED = []
+
+
+def note_staged(path, table=None):
+    """Remember a table written in the shared folder, for ``staging``."""
+    _STAGED.append((path, table))
+
+
+@contextmanager
+def staging(spark):
+    """Drop, at the end of the block, what was staged inside it; results must have been written or read by then."""
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        for path, table in _STAGED[before:]:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _STAGED[before:]

@@ -88,3 +88,35 @@ def test_one_junk_cell_makes_a_series_day_first(spark):
     assert out.columns == ["series_id", "ds", "y"]
     got = {r.y: r.ds for r in out.collect()}
     assert got == {1.0: dt.date(2023, 4, 3), 2.0: dt.date(2023, 4, 13), 3.0: None, 4.0: dt.date(2023, 3, 4), 5.0: dt.date(2023, 5, 4)}
+
+
+def test_booleans_are_numbers(spark):
+    rows = [("s", DAY + dt.timedelta(i), float(i % 2 * 5 + i % 7), i % 2 == 0, "true" if i % 2 else "false") for i in range(60)]
+    df = spark.createDataFrame(rows, "series_id string, ds date, y double, promo boolean, word string")
+    kinds = exog.known_kinds(df)
+    assert [k["kind"] for k in kinds] == ["numeric", "categorical"]
+    assert df.select(exog.Columns(kinds).numbers()).first()[0] == [1.0]
+    plan = exog.collect_levels(exog.exog_levels(df, kinds), ["promo", "word"])
+    assert df.select(*exog.wide_columns(plan)).first().asDict()["x_promo"] == 1.0
+
+
+def test_only_the_newest_values_are_gathered(spark):
+    rows = spark.range(900).selectExpr("if(id % 2 = 0, 'a', 'b') AS series_id", "date_add(date'2020-01-01', cast(id as int)) AS ds", "cast(id as double) AS y",
+                                       "if(id < 880, 'train', 'test') AS part")
+    got = {r.series_id: r for r in forecast.recursion_state(rows, memory=30).collect()}
+    assert got["a"].hist == [float(v) for v in range(820, 880, 2)] and got["a"].n_train == 440 and len(got["b"].offsets) == 10
+
+
+def test_staged_tables_go_with_their_block(spark):
+    from dayloom.plans.stage import stage, stage_panel
+    from dayloom.session import staging
+    rows = spark.createDataFrame([("a", DAY, 1.0)], "series_id string, ds date, y double")
+    outside = stage_panel(rows)
+    before = len(spark.catalog.listTables())
+    with staging(spark):
+        panel, plain = stage_panel(rows), stage(rows, "probe")
+        paths = [f.rsplit("/", 1)[0] for df in (panel, plain) for f in df.inputFiles()]
+        assert panel.count() == 1 and len(spark.catalog.listTables()) == before + 1
+    assert len(spark.catalog.listTables()) == before and outside.count() == 1
+    import os
+    assert not any(os.path.exists(p.removeprefix("file://").removeprefix("file:")) for p in paths)
