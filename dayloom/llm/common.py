@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dayloom.session import shared_dir
+from dayloom.session import note_staged, shared_dir
 
 #: A word is a run of anything but blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -15,10 +15,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the cluster's shared checkpoint folder and read it back.
 
     Ends the lineage: a lost executor re-reads a part instead of recomputing it.  The files
-    lie under ``dayloom-llm`` there and go when that folder is cleaned.
+    lie under ``dayloom-llm`` there and go with a ``staging`` block or when that folder is cleaned.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dayloom-llm/{label}-{uuid.uuid4().hex}"
+    note_staged(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
