@@ -48,7 +48,7 @@ def data(seed=1):
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [search.POSTINGS, 40])
+@pytest.mark.parametrize("limit", [search.POSTINGS, 200])
 def test_equals_scoring_everything(spark, limit):
     docs, items = data()
     df = spark.createDataFrame(docs, DOCS).repartition(5)
