@@ -148,7 +148,9 @@ def encode(docs: DataFrame, pieces=None) -> DataFrame:
     """``docs`` with its text as ``ids`` (array of int) in place of ``text``.
 
     In: ``text`` and any further columns, kept in a struct ``row`` so no name can clash.  Out:
-    (row, ids).  A null or empty text has no ids.  A literal space mark reads as a space.
+    (row, ids).  A null or empty text has no ids.  A literal space mark reads as a space.  Of two
+    ways with equal scores the same one is taken everywhere, so equal texts have equal ids;
+    repeated rows stay repeated.  A long text is coded whole, unit by unit.
     An empty table gives an empty table.
     """
     rows = docs.sparkSession.sparkContext.broadcast(pieces or read_pieces())  # the vocabulary

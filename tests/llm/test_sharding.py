@@ -62,6 +62,14 @@ def test_smallest_capacity(spark, monkeypatch, n, hot, blocks, finer):
         assert min(load.values()) > 0.9 * max(load.values())
 
 
+def test_long_texts(spark):
+    """A text larger than a fair share of all others is a shard of its own, whole."""
+    data = [(1, "é" * 1_000_000, "a", "b")] + [(10 + i, f"{i} " * 200, "a", "b") for i in range(300)]
+    out = sharding.shard_by_bytes(spark.createDataFrame(data, SCHEMA)).collect()
+    first = next(r for r in out if r.doc_id == 1)
+    assert first["size"] == 2_000_001 and sum(r.shard == first.shard for r in out) == 1 and len(out) == 301
+
+
 def test_few_rows_and_none(spark):
     assert sharding.shard_by_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
     out = sharding.shard_by_bytes(spark.createDataFrame([(1, "a", "", "")], SCHEMA)).collect()

@@ -83,6 +83,16 @@ def test_index_equals_all_pairs(spread):
     assert found == want
 
 
+def test_long_texts(spark):
+    """Texts of a million characters have the fingerprint of all their shingles."""
+    rng = np.random.default_rng(21)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 5000, 200_000))
+    docs = [(1, long, "x"), (2, long + " end", "x"), (3, "w " * 300_000, "x"), (4, "w w w", "x")]
+    got = {r.doc_id: r for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, fp string")).collect()}
+    assert all(got[i].fp % 2**64 == slow_print(t) for i, t, _ in docs)
+    assert got[1].component_id == got[2].component_id == 1 and got[3].component_id == got[4].component_id == 3
+
+
 def test_empty_table(spark):
     got = simhash.near_duplicates(spark.createDataFrame([], SCHEMA))
     assert got.columns == ["doc_id", "digest", "fp", "root", "component_id"] and got.count() == 0
