@@ -92,6 +92,40 @@ def test_groups_equal_all_pairs(spark):
     assert {str(g) for g in want} <= set(map(str, ids)) and len(ids) == len(set(want)) + lost
 
 
+def template(pairs=150, seed=5):
+    """Texts of one template, many in a band and few alike but the two of a pair; each repeats a word of its own, so SimHash tells all apart."""
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(3, 9))))
+    base = [word() for _ in range(400)]
+
+    def change(words, n):
+        words = list(words)
+        for at in rng.choice(len(words), n, replace=False):
+            words[at] = word()
+        return words
+
+    rows = []
+    for k in range(pairs):
+        one = change(base, 5)
+        rows += [(2 * k + i, " ".join([*words, *[word()] * 2000])) for i, words in enumerate((one, change(one, 7)))]
+    return rows
+
+
+@pytest.mark.parametrize("tile", [nearcopies.TILE, 7])
+def test_no_pair_of_a_band_is_left_out(spark, monkeypatch, tile):
+    """Pairs that share bands with many texts unlike them, whoever comes first there, are found."""
+    monkeypatch.setattr(nearcopies.links_between, "__defaults__", (nearcopies.LIKENESS, tile))
+    rows = template()
+    bands = [nearcopies.band_keys(nearcopies.shingle_hashes(t.encode())) for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
+    met = [(a, b) for b in range(len(rows)) for a in range(b) if (bands[a] == bands[b]).any()]
+    want = [(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(want) >= 150 and len(met) > 20 * len(want)
+    root = {r.doc_id: r.root for r in nearcopies.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(a, b) for a, b in want if root[a] != root[b]] == []
+    assert len(set(root.values())) > 20
+
+
 def test_alike_texts_share_a_band():
     """At 0.8 a pair is a candidate in nearly all cases; unlike texts are none."""
     rng = np.random.default_rng(3)
