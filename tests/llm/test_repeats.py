@@ -74,3 +74,17 @@ def test_columns_and_empty(spark):
     out = repeats.deduplicated(docs, length=150, gram=40)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert repeats.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_query_returns_the_remaining_text(spark):
+    """Under the column name of its input: the remaining bytes, but for characters cut in two."""
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = repeats.op7_repeats(spark, sf_dir).collect()
+    assert len(out) == len(texts) and any(r.n_removed for r in out)
+    for r in out:
+        left = r.n_bytes - r.n_removed
+        assert left - 6 * r.n_spans <= len(r.text.encode()) <= left
+        assert r.n_removed or r.text == texts[r.doc_id]
+        if len(r.text.encode()) == left:
+            assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
