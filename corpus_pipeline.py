@@ -31,10 +31,9 @@ def source_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text, and the digest of what they decode to."""
-    rows = pieces.read_pieces()
-    back = pieces.decode(pieces.encode(docs, rows), rows)
-    return back.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_ids"), "ids",
-                       F.sha2("text", 256).alias("decoded_sha256"))
+    return pieces.there_and_back(docs).select(
+        "row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_ids"), "ids",
+        F.sha2("text", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -144,17 +144,15 @@ def _strings(column):
     return [x or "" for x in column.to_pylist()]
 
 
-def encode(docs: DataFrame, pieces=None) -> DataFrame:
-    """``docs`` with its text as ``ids`` (array of int) in place of ``text``.
+def _vocabulary(df, pieces):
+    return df.sparkSession.sparkContext.broadcast(pieces or read_pieces())
 
-    In: ``text`` and any further columns, kept in a struct ``row`` so no name can clash.  Out:
-    (row, ids).  A null or empty text has no ids.  A literal space mark reads as a space.  Of two
-    ways with equal scores the same one is taken everywhere, so equal texts have equal ids;
-    repeated rows stay repeated.  A long text is coded whole, unit by unit.
-    An empty table gives an empty table.
-    """
-    rows = docs.sparkSession.sparkContext.broadcast(pieces or read_pieces())  # the vocabulary
 
+def _rows_and_texts(docs):
+    return docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def _encoder(rows):
     def run(batches):
         model = _model(rows.value)
         for batch in batches:
@@ -163,14 +161,10 @@ def encode(docs: DataFrame, pieces=None) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["row", "ids"])
 
-    given = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), "text")
-    return given.mapInArrow(run, f"row {given.schema['row'].dataType.simpleString()}, ids array<int>")
+    return run
 
 
-def decode(coded: DataFrame, pieces=None) -> DataFrame:
-    """(row, ids, text): ``coded`` (row, ids) with its text; null ids read as none."""
-    rows = coded.sparkSession.sparkContext.broadcast(pieces or read_pieces())
-
+def _decoder(rows):
     def run(batches):
         model = _model(rows.value)
         for batch in batches:
@@ -179,8 +173,34 @@ def decode(coded: DataFrame, pieces=None) -> DataFrame:
             texts = [model.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["row", "ids", "text"])
 
+    return run
+
+
+def encode(docs: DataFrame, pieces=None) -> DataFrame:
+    """``docs`` with its text as ``ids`` (array of int) in place of ``text``.
+
+    In: ``text`` and any further columns, kept in a struct ``row`` so no name can clash.  Out:
+    (row, ids).  A null or empty text has no ids.  A literal space mark reads as a space.  Of two
+    ways with equal scores the same one is taken everywhere, so equal texts have equal ids;
+    repeated rows stay repeated.  A long text is coded whole, unit by unit.
+    An empty table gives an empty table.
+    """
+    given = _rows_and_texts(docs)
+    return given.mapInArrow(_encoder(_vocabulary(docs, pieces)), f"row {given.schema['row'].dataType.simpleString()}, ids array<int>")
+
+
+def decode(coded: DataFrame, pieces=None) -> DataFrame:
+    """(row, ids, text): ``coded`` (row, ids) with its text; null ids read as none."""
     coded = coded.select("row", "ids")
-    return coded.mapInArrow(run, f"row {coded.schema['row'].dataType.simpleString()}, ids array<int>, text string")
+    return coded.mapInArrow(_decoder(_vocabulary(coded, pieces)), f"row {coded.schema['row'].dataType.simpleString()}, ids array<int>, text string")
+
+
+def there_and_back(docs: DataFrame, pieces=None) -> DataFrame:
+    """(row, ids, text): ``decode(encode(docs))`` in one Python worker a task, so a task holds one automaton and one memory of words."""
+    given, rows = _rows_and_texts(docs), _vocabulary(docs, pieces)
+    encoded, decoded = _encoder(rows), _decoder(rows)
+    return given.mapInArrow(lambda batches: decoded(encoded(batches)),
+                            f"row {given.schema['row'].dataType.simpleString()}, ids array<int>, text string")
 
 
 def op6_pieces(spark, sf_dir):

@@ -100,6 +100,16 @@ def test_round_trip(spark):
     assert pieces.decode(pieces.encode(spark.createDataFrame([], SCHEMA))).count() == 0
 
 
+def test_one_worker_codes_both_ways(spark):
+    """As encode and decode one after the other, in one Python step."""
+    texts = [None, "", "  two  spaces ", "漢字 é 😀", "word " * 300, "x"]
+    docs = spark.createDataFrame([(i, t, "r", "s") for i, t in enumerate(texts)] + [(None, "x", None, None)] * 2, SCHEMA)
+    both, apart = pieces.there_and_back(docs), pieces.decode(pieces.encode(docs))
+    assert both.schema == apart.schema and both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert pieces.there_and_back(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_decode_equals_library(library):
     model = pieces.Pieces(pieces.read_pieces())
     for text in ("Hello  world", "漢 é\n", " x"):

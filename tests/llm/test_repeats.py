@@ -1,9 +1,11 @@
 """Repeats against a plain index of every string."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from dayloom.llm import bwt, repeats
@@ -88,3 +90,20 @@ def test_query_returns_the_remaining_text(spark):
         assert r.n_removed or r.text == texts[r.doc_id]
         if len(r.text.encode()) == left:
             assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
+
+
+def test_memory_of_a_task():
+    """What anchors and the search hold at once stays small, however much text a task has."""
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 123, 3000, np.uint8)) for _ in range(700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(range(700)), pa.array(texts)], ["doc_id", "digest", "text"])
+    pieces = [(k // 2, k, k, 0, 1, texts[k % 350][:2900 + k], 0) for k in range(700)]
+    tasks = [lambda: repeats._find_anchors(150, 48)([batch]),
+             lambda: repeats._search_pieces(150, False)([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pieces)], list("abcdefg"))])]
+    for task in tasks:
+        tracemalloc.start()
+        for _ in task():
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 60 << 20, most
