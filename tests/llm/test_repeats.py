@@ -1,6 +1,7 @@
 """Repeats against a plain index of every string."""
 
 import hashlib
+import re
 import tracemalloc
 from collections import Counter
 
@@ -92,6 +93,62 @@ def test_query_returns_the_remaining_text(spark):
             assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
 
 
+def slow_passages(texts, least):
+    """(byte ranges of words in ``least`` consecutive words that also start elsewhere, text without them) of each text."""
+    spans = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())] for t in texts]
+    words = [[(t or "").encode()[a:b] for a, b in s] for t, s in zip(texts, spans)]
+    seen = Counter(tuple(w[i:i + least]) for w in words for i in range(len(w) - least + 1))
+    out = []
+    for t, s, w in zip(texts, spans, words):
+        gone = {i + k for i in range(len(w) - least + 1) if seen[tuple(w[i:i + least])] > 1 for k in range(least)}
+        ranges = [[s[i][0], s[i][1]] for i in sorted(gone) if i - 1 not in gone]
+        for r, i in zip(ranges, [i for i in sorted(gone) if i + 1 not in gone]):
+            r[1] = s[i][1]
+        data, edges = (t or "").encode(), [0, *(x for r in ranges for x in r), None]
+        out.append(([tuple(r) for r in ranges], b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()))
+    return out
+
+
+@pytest.mark.parametrize("least,gram,limit,chunk", [(50, 8, 2048, 1 << 18), (50, 8, 3, 1000), (12, 3, 2, 300)])
+def test_passages_equal_plain_index(spark, monkeypatch, least, gram, limit, chunk):
+    """Passages by words, of any number of bytes, white space between the words aside; the other columns stay as they are."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    rows = data()
+    few = [f"w{i}" for i in range(49)]
+    rows += [(100 + i, t, None, None, None) for i, t in enumerate([
+        " ".join(few) + " own", " ".join(few) + " other", "x " + "\t ".join([*few, "é"]) + "\n", " ".join([*few, "é", "y"]), "z " * 200, "字" * 300, "字" * 300])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = repeats.without_repeats(docs, limit=limit, passage_words=least, passage_gram=gram).collect()
+    got = [(r.row.doc_id, [(p.start, p.end) for p in r.passages], r.passage_free_text) for r in out]
+    want = [(r[0], *w) for r, w in zip(rows, slow_passages([r[1] for r in rows], least))]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    same = lambda rows: sorted(repr((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.kept_text)) for r in rows)
+    assert same(out) == same(repeats.without_repeats(docs, limit=limit).collect())
+
+
+def test_query_finds_passages_under_400_bytes(spark, tmp_path):
+    """The contract's columns leave a repeated passage of 60 short words; passage_free_text doesn't."""
+    own, passage = lambda k: " ".join(f"{k}{j}" for j in range(80)), " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{own('a')}\n{passage}\n{own('b')}"), (2, f"{passage} {own('c')}"), (3, own("d"))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in repeats.op7_repeats(spark, str(tmp_path)).collect()}
+    assert {k: (r.n_removed, r.text) for k, r in out.items()} == {k: (0, t) for k, t in rows}
+    assert {k: (r.n_passages, r.passage_free_text) for k, r in out.items()} == {
+        1: (1, f"{own('a')}\n\n{own('b')}"), 2: (1, " " + own("c")), 3: (0, own("d"))}
+
+
+def test_transform_of_words_equals_plain_index():
+    """More distinct words than 16 bits hold, too."""
+    rng = np.random.default_rng(5)
+    for n, kinds in ((40, 3), (90000, 1 << 62)):
+        pieces = [rng.integers(0, kinds, n).astype("<u8") for _ in range(3)]
+        pieces[2][5:30] = pieces[0][7:32]
+        words = [p.tolist() for p in pieces]
+        seen = Counter(tuple(w[i:i + 9]) for w in words for i in range(n - 8))
+        want = [i + 9 <= n and seen[tuple(w[i:i + 9])] > 1 for w in words for i in range(n)]
+        assert any(want) and bwt.repeated_starts([p.tobytes() for p in pieces], 9, words=True).tolist() == want
+
+
 def test_memory_of_a_task():
     """What anchors and the search hold at once stays small, however much text a task has."""
     rng = np.random.default_rng(6)
