@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dayloom.llm import simhash
-from dayloom.llm.common import id_key, partitions, stage
+from dayloom.llm.common import id_key, parts, partitions, stage
 from dayloom.llm.graph import components
 
 SHINGLE, LIKENESS = 5, 0.8
@@ -51,7 +51,7 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _prints(batches):
-    for batch in batches:
+    for batch in parts(batches):
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         digest = np.array([xxhash.xxh64_intdigest(t, simhash.SEED) for t in texts], np.uint64).view(np.int64)
         fp = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
@@ -64,7 +64,7 @@ def _prints(batches):
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in parts(batches):
         rows = [(shingle_hashes(t) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["digest", "shingles"])
 

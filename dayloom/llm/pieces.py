@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dayloom.llm.common import table
+from dayloom.llm.common import parts, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -176,6 +176,16 @@ def _decoder(rows):
     return run
 
 
+def _both_ways(rows):
+    encoded, decoded = _encoder(rows), _decoder(rows)
+
+    def run(batches):
+        yield from decoded(encoded(parts(batches)))
+        _model(rows.value).known.clear()  # the worker lives on, in stages that have no use for these words
+
+    return run
+
+
 def encode(docs: DataFrame, pieces=None) -> DataFrame:
     """``docs`` with its text as ``ids`` (array of int) in place of ``text``.
 
@@ -196,10 +206,12 @@ def decode(coded: DataFrame, pieces=None) -> DataFrame:
 
 
 def there_and_back(docs: DataFrame, pieces=None) -> DataFrame:
-    """(row, ids, text): ``decode(encode(docs))`` in one Python worker a task, so a task holds one automaton and one memory of words."""
-    given, rows = _rows_and_texts(docs), _vocabulary(docs, pieces)
-    encoded, decoded = _encoder(rows), _decoder(rows)
-    return given.mapInArrow(lambda batches: decoded(encoded(batches)),
+    """(row, ids, text): ``decode(encode(docs))`` in one Python worker a task, so a task holds one automaton and one memory of words.
+
+    The memory ends with the task: the stages of a pipeline share their workers.
+    """
+    given = _rows_and_texts(docs)
+    return given.mapInArrow(_both_ways(_vocabulary(docs, pieces)),
                             f"row {given.schema['row'].dataType.simpleString()}, ids array<int>, text string")
 
 

@@ -1,8 +1,12 @@
 """Encoding against the library's own best path on the same pieces, and exact round trips."""
 
+from types import SimpleNamespace
+
+import pyarrow as pa
 import pytest
 
 from dayloom.llm import pieces
+from dayloom.llm.common import parts
 
 SCHEMA = "doc_id long, text string, row string, ids string"
 
@@ -110,6 +114,20 @@ def test_one_worker_codes_both_ways(spark):
     assert pieces.there_and_back(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_task_holds_little_and_leaves_nothing():
+    """A large batch comes back in slices, in order, and the words met are forgotten when the task ends."""
+    texts = [f"text {i} of a large batch, é" if i % 7 else None for i in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200), pa.int64()), pa.array(texts, pa.string())], ["row", "text"])
+    rows = SimpleNamespace(value=pieces.read_pieces())
+    out = list(pieces._both_ways(rows)(iter([batch.slice(0, 0), batch])))
+    assert [b.num_rows for b in out] == [b.num_rows for b in parts([batch])] == [512, 512, 176]
+    assert pieces._model(rows.value).known == {}
+    back = pa.Table.from_batches(out)
+    assert back["row"].to_pylist() == list(range(1200)) and back["text"].to_pylist() == [t or "" for t in texts]
+    model = pieces.Pieces(rows.value)
+    assert back["ids"].to_pylist() == [list(memoryview(model.encode(t or "")).cast("i")) for t in texts]
+
+
 def test_decode_equals_library(library):
     model = pieces.Pieces(pieces.read_pieces())
     for text in ("Hello  world", "漢 é\n", " x"):
