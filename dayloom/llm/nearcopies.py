@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from dayloom.llm import simhash
-from dayloom.llm.common import id_key, parts, partitions, stage
+from dayloom.llm.common import id_key, parts, partitions, stage, stage_narrow
 from dayloom.llm.graph import components
 
 SHINGLE, LIKENESS = 5, 0.8
@@ -73,7 +73,7 @@ def shared_bands(prints: DataFrame) -> DataFrame:
     """(digest, band, key) of the bands that different texts have in common."""
     bands = prints.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
     several = bands.groupBy("band", "key").agg(F.min("digest").alias("v"), F.max("digest").alias("w")).where("v <> w").select("band", "key")
-    return stage(bands.join(several, ["band", "key"], "left_semi"), "bands")
+    return stage_narrow(bands.join(several, ["band", "key"], "left_semi"), "bands")
 
 
 def pairs_with(shared: DataFrame, *hubs) -> DataFrame:
@@ -84,7 +84,7 @@ def pairs_with(shared: DataFrame, *hubs) -> DataFrame:
 
 def shingle_sets(asked: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
     """(digest, shingles) of the texts whose ``digest`` is asked for."""
-    asked = stage(asked.distinct(), "asked")
+    asked = stage_narrow(asked.distinct(), "asked")
     owner = prints.join(asked, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("id"))
     owner = owner.select("digest", *id_key("id.doc_id"))
     texts = docs.select(_digest().alias("digest"), *id_key(), "text").join(owner, ["digest", "key", "unknown"], "left_semi")
@@ -148,7 +148,7 @@ def links_between(shared: DataFrame, root: DataFrame, docs: DataFrame, prints: D
         F.sum("count").alias("n"), F.max(F.struct("count", "root")).alias("most")).where("n > most.count")
     blocks = [F.ceil(n / F.lit(tile)).cast("long") for n in (F.col("n") - F.col("most.count"), F.col("n"))]
     sizes = sizes.select("band", "key", F.col("most.root").alias("most"), blocks[0].alias("p"), blocks[1].alias("q"))
-    apart = stage(named.join(sizes, ["band", "key"]), "apart")
+    apart = stage_narrow(named.join(sizes, ["band", "key"]), "apart")
     asks = apart.where("root <> most").select(
         "band", "key", F.expr("pmod(digest, p)").alias("i"), F.explode(F.expr("sequence(0, q - 1)")).alias("j"), F.lit(False).alias("rest"), "digest", "root")
     rest = apart.select(
@@ -163,8 +163,8 @@ def joined(root: DataFrame, links: DataFrame) -> DataFrame:
     """``root`` (u, v) after further links between texts of different groups."""
     ends = links.join(root.toDF("u", "a"), "u", "left").join(root.toDF("v", "b"), "v", "left").select(
         F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v"))
-    top = components(stage(ends, "links"))
-    return stage(root.join(top.toDF("v", "w"), "v", "left").select("u", F.coalesce("w", "v").alias("v")).union(top), "roots")
+    top = components(stage_narrow(ends, "links"), stage_narrow)
+    return stage_narrow(root.join(top.toDF("v", "w"), "v", "left").select("u", F.coalesce("w", "v").alias("v")).union(top), "roots")
 
 
 def _digest():
@@ -179,19 +179,20 @@ def groups(docs: DataFrame, reach: int = 3, likeness=LIKENESS) -> DataFrame:
     table gives an empty table.
     """
     prints = stage(docs.select("doc_id", "text").mapInArrow(_prints, "doc_id long, digest long, fp long, bands array<long>"), "prints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("digest").alias("node")), "nodes")
+    nodes = stage_narrow(prints.groupBy("fp").agg(F.min("digest").alias("node")), "nodes")
     near = simhash.links(nodes.select("fp"), reach)
     named = near.join(nodes.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(
         nodes.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     same = prints.select("digest", "fp").distinct().join(nodes, "fp").where("digest <> node").select(F.col("digest").alias("u"), F.col("node").alias("v"))
     shared = shared_bands(prints)
-    first = stage(pairs_with(shared, F.min("digest")), "candidates")
-    root = stage(components(stage(named.union(same).union(alike(first, docs, prints, likeness)), "links")), "roots")
+    first = stage_narrow(pairs_with(shared, F.min("digest")), "candidates")
+    root = stage_narrow(components(stage_narrow(
+        named.union(same).union(alike(first, docs, prints, likeness)), "links"), stage_narrow), "roots")
     # what is not linked yet is held against other texts of its bands, a different one in each
     own = F.xxhash64("digest", "band")
     more = pairs_with(shared, F.min_by("digest", own), F.max_by("digest", own))
     apart = more.join(root.toDF("u", "a"), "u", "left").join(root.toDF("v", "b"), "v", "left").where("coalesce(a, u) <> coalesce(b, v)")
-    root = joined(root, alike(stage(apart.select("u", "v"), "candidates"), docs, prints, likeness))
+    root = joined(root, alike(stage_narrow(apart.select("u", "v"), "candidates"), docs, prints, likeness))
     # and then against all that are in other groups still
     root = joined(root, links_between(shared, root, docs, prints, likeness))
     return prints.join(root.toDF("digest", "root"), "digest", "left").select("doc_id", "digest", F.coalesce("root", "digest").alias("root"))

@@ -146,3 +146,22 @@ def test_empty(spark):
 @pytest.mark.parametrize("text", ["a b c d e f g", "one", "é é ü", ""])
 def test_shingles(text):
     assert len(nearcopies.shingle_hashes(text.encode())) == len(shingles(text))
+
+
+def test_narrow_tables_get_few_files(spark):
+    """The tables of keys between the steps have at most four files a core, or one for eight partitions, and all rows."""
+    from dayloom.llm import common, graph
+
+    most = max(4 * spark.sparkContext.defaultParallelism, common.partitions(spark) // 8)
+    written = []
+
+    def write(df, label):
+        written.append(common.stage_narrow(df, label))
+        return written[-1]
+
+    edges = spark.range(0, 3000, 1, 3 * most).selectExpr("id + 1 AS u", "id - id % 10 AS v").where("u % 10 <> 0")
+    assert len(common.stage(edges, "wide").inputFiles()) > most
+    top = graph.components(edges, write)
+    assert len(written) > 1 and all(1 <= len(t.inputFiles()) <= most for t in written)
+    assert sorted(map(tuple, top.collect())) == [(u, u - u % 10) for u in range(3000) if u % 10]
+    assert common.stage_narrow(edges.limit(0), "none").count() == 0
