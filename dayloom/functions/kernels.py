@@ -21,25 +21,52 @@ def walk(histories, horizon, predict, lags=LAGS, windows=WINDOWS):
 
     ``histories`` holds the newest values of each series; ``predict(step, recent)``
     gets the lag and average columns of all series and returns one value per series.
-    A lag further back than the history takes the last value.
+    A lag further back than the history takes the last value.  A day is one row of memory,
+    and a window is summed from the sums of the next smaller one, so no sum runs on and drifts.
     """
     memory = max([*lags, *windows])
     count = np.array([min(len(h), memory) for h in histories])
-    values = np.zeros((len(histories), memory + horizon))
-    for row, h in enumerate(histories):
-        if count[row]:
-            values[row, memory - count[row]:memory] = h[-count[row]:]
+    least, most = count.min(initial=memory), count.max(initial=0)
+    values = np.zeros((memory + horizon, len(histories)))
+    for column, h in enumerate(histories):
+        if count[column]:
+            values[memory - count[column]:memory, column] = h[-count[column]:]
+    recent = np.empty((len(lags) + len(windows), len(histories)))
+    order = sorted(range(len(windows)), key=windows.__getitem__)
+    # sums[k][t] is the sum of the k-th smallest window before day t
+    sums = [np.empty((memory + horizon, len(histories))) for _ in order[:-1]]
+
+    def total(k, end):
+        w = windows[order[k]]
+        if not k:
+            return values[end - w:end].sum(axis=0)
+        below = windows[order[k - 1]]
+        whole, rest = divmod(w, below)
+        out = sums[k - 1][end - (whole - 1) * below:end + 1:below].sum(axis=0)
+        return out + values[end - w:end - w + rest].sum(axis=0) if rest else out
+
     with np.errstate(all="ignore"):
+        for k in range(len(sums)):
+            for end in range(memory - windows[order[-1]] + windows[order[k]], memory):
+                sums[k][end] = total(k, end)
         for step in range(horizon):
             end = memory + step
-            known = count + step
-            last = values[:, end - 1]
-            recent = [np.where(known >= n, values[:, end - n], last) for n in lags]
-            for w in windows:
-                size = np.maximum(np.minimum(known, w), 1)
-                recent.append(values[:, end - w:end].sum(axis=1) / size)
-            values[:, end] = predict(step, np.column_stack(recent))
-    return values[:, memory:]
+            last = values[end - 1]
+            for i, n in enumerate(lags):
+                if least + step >= n:
+                    recent[i] = values[end - n]
+                elif most + step < n:
+                    recent[i] = last
+                else:
+                    recent[i] = np.where(count + step >= n, values[end - n], last)
+            for k, i in enumerate(order):
+                w, of = windows[i], total(k, end)
+                if k < len(sums):
+                    sums[k][end] = of
+                size = w if least + step >= w else np.maximum(np.minimum(count + step, w), 1)
+                np.divide(of, size, out=recent[len(lags) + i])
+            values[end] = predict(step, recent.T)
+    return values[memory:].T
 
 
 def ridge(gram, cross, alpha):
@@ -49,23 +76,25 @@ def ridge(gram, cross, alpha):
     return np.linalg.solve(gram + np.reshape(alpha, (-1, 1, 1)) * eye, cross)
 
 
-def _on_support(gram, target, on, l2):
-    """Solve (G + l2) w = target on each problem's own support, zero elsewhere."""
-    d = gram.shape[-1]
-    jitter = 1e-13 * np.einsum("sjj->sj", gram).max(axis=1)[:, None]
-    lhs = gram * (on[:, :, None] & on[:, None, :])
-    lhs = lhs + np.eye(d) * np.where(on, l2 + jitter, 1.0)[:, None, :]
-    return np.linalg.solve(lhs, np.where(on, target, 0.0)[:, :, None])[:, :, 0]
+def _support(on):
+    """Columns of each problem's own support, filled up to the widest, and which of them are real."""
+    size = on.sum(axis=1)
+    row, column = np.nonzero(on)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.zeros((len(on), max(int(size.max()), 1)), dtype=np.int64)
+    at[row, place] = column
+    return at, np.arange(at.shape[1]) < size[:, None]
 
 
-def elastic_net(gram, cross, l1, l2, rounds=None):
+def elastic_net(gram, cross, l1, l2, rounds=None, of=None):
     """Minimise w'Gw/2 - c'w + l1 |w| + l2 |w|^2 / 2 for stacks (S,d,d) and (S,d).
 
     Active-set descent, all problems in step: take in the coordinate that violates
     optimality most, solve on the support, stop at the first weight to reach zero and
     let it go.  The objective falls at each move, so every problem ends at its optimum; one
     that rounding keeps from settling within ``rounds`` moves (by default far more than any
-    needs) comes back as NaN, as a failed fit.
+    needs) comes back as NaN, as a failed fit.  Only the support's rows of a matrix are read, and
+    with ``of``, the place of each problem's matrix, several problems may share one.
     """
     s, d = cross.shape
     result, todo = np.zeros((s, d)), np.arange(s)
@@ -73,11 +102,12 @@ def elastic_net(gram, cross, l1, l2, rounds=None):
     banned = np.zeros((s, d), dtype=bool)   # entries that cannot move off zero for now
     settled = np.ones(s, dtype=bool)
     floor = 1e-12 * np.abs(cross).max(axis=1)
+    of = np.arange(s) if of is None else of
+    jitter = 1e-13 * np.einsum("sjj->sj", gram).max(axis=1)
+    c, slope = cross, cross
     for _ in range(rounds or 1000 + 50 * d):
         if not len(todo):
             return result
-        g, c = gram[todo], cross[todo]
-        slope = c - np.einsum("sjk,sk->sj", g, w) - l2 * w
         excess = np.where((sign != 0) | banned, -np.inf, np.abs(slope))
         entrant = excess.argmax(axis=1)
         rows = np.arange(len(todo))
@@ -86,27 +116,38 @@ def elastic_net(gram, cross, l1, l2, rounds=None):
         if done.any():
             result[todo[done]] = w[done]
             keep = ~done
-            todo, g, c, w, sign = todo[keep], g[keep], c[keep], w[keep], sign[keep]
+            todo, of, c, w, sign = todo[keep], of[keep], c[keep], w[keep], sign[keep]
             banned, settled, floor = banned[keep], settled[keep], floor[keep]
             slope, entrant, rows = slope[keep], entrant[keep], np.arange(keep.sum())
             if not len(todo):
                 break
         entering = rows[settled]
         sign[entering, entrant[settled]] = np.sign(slope[entering, entrant[settled]])
-        exact = _on_support(g, c - l1 * sign, sign != 0, l2)
-        leaving = (sign != 0) & (exact * sign <= 0)
-        gap = w - exact
-        step = np.where(leaving, w / np.where(gap == 0, 1.0, gap), np.inf)
+        at, real = _support(sign != 0)
+        own = rows[:, None], at
+        wide = gram[of[:, None], at]
+        lhs = np.take_along_axis(wide, at[:, None, :], axis=2) * (real[:, :, None] & real[:, None, :])
+        diagonal = np.arange(at.shape[1])
+        lhs[:, diagonal, diagonal] += np.where(real, l2 + jitter[of][:, None], 1.0)
+        signed = np.where(real, sign[own], 0.0)
+        exact = np.linalg.solve(lhs, np.where(real, c[own] - l1 * signed, 0.0)[:, :, None])[:, :, 0]
+        was = np.where(real, w[own], 0.0)
+        leaving = (signed != 0) & (exact * signed <= 0)
+        gap = was - exact
+        step = np.where(leaving, was / np.where(gap == 0, 1.0, gap), np.inf)
         first = step.argmin(axis=1)
         length = np.minimum(step[rows, first], 1.0)
         blocked = step[rows, first] < 1.0
         stuck = blocked & (length <= 0)
-        w = w + length[:, None] * (exact - w)
-        w[rows[blocked], first[blocked]] = 0.0
-        sign[rows[blocked], first[blocked]] = 0.0
+        now = was + length[:, None] * (exact - was)
+        now[rows[blocked], first[blocked]] = 0.0
+        leaver = at[rows, first]
+        w[rows[:, None].repeat(at.shape[1], axis=1)[real], at[real]] = now[real]
+        sign[rows[blocked], leaver[blocked]] = 0.0
         banned[~stuck] = False
-        banned[rows[stuck], first[stuck]] = True
+        banned[rows[stuck], leaver[stuck]] = True
         settled = ~blocked | stuck
+        slope = c - np.matmul(now[:, None, :], wide)[:, 0] - l2 * w
     result[todo] = np.nan
     return result
 

@@ -148,16 +148,20 @@ def feature_vectors(panel: DataFrame, periods: Column = None, exog=None, extra=(
         n_fixed = len(PERIODS)
         detected = F.slice(periods, n_fixed + 1, F.greatest(F.size(periods) - n_fixed, F.lit(0)))
         fourier = F.concat(fourier, fourier_vector(t, detected, harmonics))
+    known_lags = F.slice(F.array(*[F.col(lag_name(n)) for n in lags]), F.lit(1), used)
     parts = [
-        F.slice(F.array(*[F.col(lag_name(n)) for n in lags]), F.lit(1), used),
+        known_lags,
         F.array(*[F.col(ma_name(w)) for w in windows], t, *dow_columns()),
         fourier,
     ] + ([exog] if exog is not None else [])
     x = F.concat(*parts)
-    return (
-        ordered.select(KEY, DAY, TARGET, "n_rows", *keep, x.alias("x"))
-        .filter(F.col(TARGET).isNotNull() & F.forall("x", lambda e: e.isNotNull()))
-    )
+    # Calendar values are known where the day is, so they are worked out for complete rows only.
+    complete = F.col(TARGET).isNotNull() & t.isNotNull() & F.forall(known_lags, lambda e: e.isNotNull())
+    for entry in [F.col(ma_name(w)) for w in windows] + ([periods] if periods is not None else []):
+        complete = complete & entry.isNotNull()
+    for entries in ([periods] if periods is not None else []) + ([exog] if exog is not None else []):
+        complete = complete & F.forall(entries, lambda e: e.isNotNull())
+    return ordered.filter(complete).select(KEY, DAY, TARGET, "n_rows", *keep, x.alias("x"))
 
 
 def vector_names(periods: Column, n_rows="n_rows", lags=LAGS, windows=WINDOWS, harmonics=HARMONICS) -> Column:

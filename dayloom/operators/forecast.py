@@ -3,7 +3,7 @@
 A linear model splits into a part known in advance (intercept, calendar, exogenous
 values, trend) and eight weights on lags and averages of the growing history.  One map
 stage advances all series and models of a batch together, day by day; there is no
-driver loop over steps and no lineage to cut.
+driver loop over steps and no lineage to cut.  Waves are worked out once for all series of a slice.
 """
 
 import numpy as np
@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from dayloom.functions import kernels
 from dayloom.operators.models import NEIGHBOUR_MODEL, TREND_SUFFIX, _level_pairs, has
 from dayloom.operators.panel import by_day, whole_series
-from dayloom.schema import DAY, KEY, LAGS, MEMORY, TARGET, WINDOWS
+from dayloom.schema import DAY, HARMONICS, KEY, LAGS, MEMORY, PERIODS, TARGET, WINDOWS
 
 FORECAST = "series_id string, model string, ds date, y double, yhat double"
 _FORECAST_SCHEMA = pa.schema([
     ("series_id", pa.string()), ("model", pa.string()), ("ds", pa.date32()),
     ("y", pa.float64()), ("yhat", pa.float64())])
 EPOCH = "1970-01-01"
-PATH_CELLS = 4_000_000  # values held at once by a recursion stage, about 32 MB
+PATH_CELLS = 2_000_000  # values held at once by a recursion stage, 16 MB; sums of windows take twice as much again
 
 
 def calendar_gaps(split: DataFrame) -> DataFrame:
@@ -146,34 +146,88 @@ def emit(rows, owners, labels, paths):
     ], names=["series_id", "model", "ds", "y", "yhat"])
 
 
+def _plain_part(first_t, weekday, weights, lift, horizon):
+    """Intercept, trend, weekday and polynomial ``lift`` of paths on every day, one row per path.
+
+    ``weights``: trend, seven weekdays, intercept; ``first_t`` and ``weekday`` are those of the first day.
+    """
+    h = np.arange(horizon)
+    c0, c1, c2 = lift.T
+    t, slope = first_t, weights[:, 0]
+    dow = np.take_along_axis(weights[:, 1:8], (weekday[:, None] + np.arange(7)) % 7, axis=1)
+    own = np.column_stack([weights[:, 8] + slope * t + c0 + c1 * t + c2 * t * t, slope + c1 + 2.0 * c2 * t, c2, dow])
+    return own @ np.vstack([np.ones(horizon), h, h * h, *(h % 7 == i for i in range(7))])
+
+
+def _wave_tables(rows, horizon):
+    """A function from a row to the waves of its periods, a table with one column a day for each part of them."""
+    age = [r.last_day + 1 - r.start_day for r in rows]
+    start, tables = min(age), {}
+    t = np.arange(start, max(age) + horizon)
+
+    def waves(row):
+        at = row.last_day + 1 - row.start_day - start
+        periods, fixed = tuple(row.periods), len(PERIODS)
+        for key in (periods[:fixed], *((p,) for p in periods[fixed:])):
+            if key not in tables:
+                tables[key] = np.ascontiguousarray(kernels.calendar_block(t.astype(float), t, key)[:, 8:].T)
+            yield tables[key][:, at:at + horizon]
+
+    return waves
+
+
 def _linear_walker(names, add_trend, lags, windows):
     """Map stage over state rows joined with weights; a series walks the models it wants."""
+    def alike(rows):
+        """Places of the rows whose weights have one layout, and walk the same models."""
+        found = {}
+        for i, row in enumerate(rows):
+            own = tuple(k for k, m in enumerate(names) if has(getattr(row, "wanted", -1), m))
+            if own:
+                used = sum(row.n_train > n for n in lags)
+                found.setdefault((row.d, used, len(row.periods), len(getattr(row, "levels", ())), row.degree > 0, own), []).append(i)
+        return found.items()
+
     def walk_chunk(longest, rows):
         base, recent, labels, owners = [], [], [], []
-        for i, row in enumerate(rows):
-            used = sum(row.n_train > n for n in lags)
-            d, levels = row.d, list(getattr(row, "levels", ()))
-            own = [k for k, m in enumerate(names) if has(getattr(row, "wanted", -1), m)]
-            w = np.asarray(row.weights).reshape(len(names), 2, d + 1)[own]
-            known = np.column_stack([calendar_of(row, longest), _exog_block(row, longest)])
-            day, level = _level_days(row, levels, longest)
-            for v in (0, 1) if row.degree > 0 else (0,):
-                fixed = known @ w[:, v, used + len(windows):d - len(levels)].T + w[:, v, d]
-                np.add.at(fixed, day, w[:, v, d - len(levels) + level].T)
-                if v and add_trend:
-                    fixed = fixed + trend_of(row, longest)[:, None]
-                r = np.zeros((len(own), len(lags) + len(windows)))
-                r[:, :used] = w[:, v, :used]
-                r[:, len(lags):] = w[:, v, used:used + len(windows)]
-                base.append(fixed.T)
-                recent.append(r)
-                labels += [names[k] + (TREND_SUFFIX if v else "") for k in own]
-                owners += [i] * len(own)
+        waves = _wave_tables(rows, longest)
+        for (d, used, n_periods, n_levels, sloped, own), at in alike(rows):
+            some, variants = [rows[i] for i in at], (0, 1) if sloped else (0,)
+            w = np.stack([r.weights for r in some]).reshape(len(at), len(names), 2, d + 1)[:, own][:, :, variants]
+            paths = w.reshape(-1, d + 1)
+            each = len(own) * len(variants)
+            calendar = used + len(windows)
+            end = calendar + 8 + 2 * HARMONICS * n_periods
+            lift = np.zeros((len(at), len(own), len(variants), 3))
+            if sloped and add_trend:
+                lift[:, :, 1] = np.array([(r.c0, r.c1, r.c2) for r in some])[:, None]
+            first = np.array([r.last_day + 1 for r in some])
+            fixed = _plain_part(
+                np.repeat(first - np.array([r.start_day for r in some]), each).astype(float), np.repeat((first + 3) % 7, each),
+                np.hstack([paths[:, calendar:calendar + 8], paths[:, d:]]), lift.reshape(-1, 3), longest)
+            for k, row in enumerate(some):
+                mine = slice(k * each, (k + 1) * each)
+                wave = calendar + 8
+                for table in waves(row):
+                    fixed[mine] += paths[mine, wave:wave + len(table)] @ table
+                    wave += len(table)
+                if d - n_levels > end:
+                    fixed[mine] += paths[mine, end:d - n_levels] @ _exog_block(row, longest).T
+                if n_levels:
+                    day, level = _level_days(row, list(row.levels), longest)
+                    np.add.at(fixed[mine].T, day, paths[mine, d - n_levels + level].T)
+            r = np.zeros((len(paths), len(lags) + len(windows)))
+            r[:, :used] = paths[:, :used]
+            r[:, len(lags):] = paths[:, used:calendar]
+            base.append(fixed)
+            recent.append(r)
+            labels += [names[k] + (TREND_SUFFIX if v else "") for k in own for v in variants] * len(at)
+            owners += np.repeat(at, each).tolist()
         if not owners:
             return None
-        base, recent = np.concatenate(base), np.concatenate(recent)
+        base, recent = np.ascontiguousarray(np.concatenate(base).T), np.ascontiguousarray(np.concatenate(recent).T)
         paths = kernels.walk([rows[o].hist for o in owners], longest,
-                             lambda h, z: base[:, h] + (z * recent).sum(axis=1), lags, windows)
+                             lambda h, z: base[h] + (z.T * recent).sum(axis=0), lags, windows)
         return emit(rows, owners, labels, paths)
 
     def run(batches):

@@ -1,11 +1,11 @@
 """Regressors fitted for every series at once.
 
-Two stages.  A grouped Arrow task reduces the complete rows of each series to centred
-moments (d x d), which are all that the quadratic models need; a map stage then solves
-whole batches of series together, so no solver loop runs once per series.  Models that
-need the rows themselves (Huber, linear epsilon-insensitive) are fitted in the first
-stage.  Rows of a series are already together after the feature windows, so the
-grouped stage adds no shuffle, and a series is at most one row per calendar day.
+One map stage over rows that lie series by series.  The complete rows of the series in a batch shrink
+together to centred moments (d x d each), which are all that the quadratic models need; stacks of
+series of one width are then solved together, so no solver loop runs once per series and no matrix
+leaves its task.  Models that need the rows themselves (Huber, linear epsilon-insensitive) are fitted
+where the rows are.  Rows of a series are already together after the feature windows, so the
+stage adds no shuffle, and a series is at most one row per calendar day.
 
 Category columns come as the names of the levels a row has; a series numbers its own, for a level
 it never had can get no weight.  Up to ``DENSE_COLUMNS`` columns they are written out; beyond that
@@ -13,12 +13,12 @@ the fit works on the list of ones (``functions.wide``), so any number of levels
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.functions import kernels, wide
+from dayloom.operators.panel import by_series
 from dayloom.schema import KEY, TARGET
 
 TREND_SUFFIX = "+Trend"
@@ -38,6 +38,7 @@ ROW_MODELS = {
     "LinearSVR": ("insensitive", {"c": 1.0, "epsilon": 0.0, "penalise_intercept": True}),
 }
 STACK = 512  # series solved together; a 40-wide Gram matrix stack is then about 7 MB
+CELLS = 1 << 20  # values of a stack of rows or matrices held at once, 8 MB
 LINEAR_MODELS = tuple(MOMENT_MODELS) + tuple(ROW_MODELS)
 NEIGHBOUR_MODEL = "KNN (n_neighbors=5)"
 TREE_MODELS = {
@@ -48,13 +49,12 @@ ALL_MODELS = LINEAR_MODELS + (NEIGHBOUR_MODEL,) + tuple(TREE_MODELS)
 
 DENSE_COLUMNS = 256  # widest series whose category columns are written out
 
-_MOMENTS = (
-    "series_id string, n bigint, d int, wanted bigint, levels array<string>, mean_x array<double>, scale_x array<double>, "
-    "mean_y array<double>, gram array<double>, cross array<double>, yy array<double>, "
-    "row_weights array<double>, row_rounds array<int>, weights array<double>, rounds array<int>"
-)
 _WEIGHTS = ("series_id string, n bigint, d int, wanted bigint, levels array<string>, weights array<double>, "
             "rounds array<int>")
+_FITTED = pa.schema([
+    ("series_id", pa.string()), ("n", pa.int64()), ("d", pa.int32()), ("wanted", pa.int64()), ("levels", pa.list_(pa.string())),
+    ("weights", pa.list_(pa.float64())), ("rounds", pa.list_(pa.int32()))])
+_STACKED = ("n", "mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights", "row_rounds")
 
 
 def linear_order(models):
@@ -83,8 +83,11 @@ def _matrix(column, n):
 
 def _scale(x):
     centre, spread = x.mean(axis=0), x.std(axis=0)
-    flat = spread <= 1e-14 * np.maximum(np.abs(centre), 1.0)
-    return centre, np.where(flat, 1.0, spread)
+    return centre, np.where(_is_flat(spread, centre), 1.0, spread)
+
+
+def _is_flat(spread, centre):
+    return spread <= 1e-14 * np.maximum(np.abs(centre), 1.0)
 
 
 def _or_nan(fit, d):
@@ -146,32 +149,98 @@ def _wide_fits(design, targets, names, mask):
     return np.concatenate(weights), rounds
 
 
-def _moments_of(models, dense_columns):
-    row_models = [m for m in ROW_MODELS if m in models]
+def _fitted(series_id, n, d, mask, levels, weights, rounds):
+    """Rows of fits of one width: ``weights`` and ``rounds`` have one line per series."""
+    lists = [pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], pa.array(m.ravel(), kind)) for m, kind in (
+        (weights, pa.float64()), (rounds.astype(np.int32), pa.int32()))]
+    ahead = [pa.array(v, f.type) for v, f in zip((series_id, n, [d] * len(n), [mask] * len(n), levels), _FITTED)]
+    return pa.RecordBatch.from_arrays([*ahead, *lists], schema=_FITTED)
 
-    def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        x = _matrix(table["x"], n)
-        mask = table["wanted"][0].as_py() if "wanted" in table.column_names else -1
-        levels, at, column = _level_pairs(table)
-        targets = np.column_stack([table[c].to_numpy() for c in (TARGET, "detrended")])
-        d = x.shape[1] + len(levels)
-        out = {"series_id": [table[KEY][0].as_py()], "n": [n], "d": [d], "wanted": [mask], "levels": [levels]}
-        empty = dict.fromkeys(("mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights", "row_rounds"), [None])
-        if levels and d > dense_columns:
-            weights, rounds = _wide_fits(wide.Design(x, at, column, len(levels)), targets, linear_order(models), mask)
-            out |= empty | {"weights": [weights], "rounds": [rounds]}
-        else:
-            if levels:
-                ones = np.zeros((n, len(levels)))
-                ones[at, column] = 1.0
-                x = np.hstack([x, ones])
-            out |= _dense_moments(x, targets, row_models, mask) | {"weights": [None], "rounds": [None]}
-        types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())] + [pa.list_(pa.float64())] * 7 + [
-            pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int32())]
-        return pa.table([pa.array(v, type=t) for v, t in zip(out.values(), types)], names=list(out))
 
-    return run
+def _whole_series(batches):
+    """(rows, sizes): tables of whole series and their numbers of rows, from batches that hold them one after the other.
+
+    ``rows`` says on every row how many its series has.
+    """
+    held, missing = [], 0
+    for batch in batches:
+        if missing and missing >= batch.num_rows:  # the series that is open goes on
+            held.append(batch)
+            missing -= batch.num_rows
+            if not missing:
+                yield pa.Table.from_batches(held), [sum(b.num_rows for b in held)]
+                held = []
+            continue
+        sizes, at, counts = [sum(b.num_rows for b in held) + missing] if held else [], missing, batch.column("rows").to_numpy()
+        while at < batch.num_rows:
+            sizes.append(int(counts[at]))
+            at += sizes[-1]
+        cut = batch.num_rows if at == batch.num_rows else at - sizes.pop()
+        if sizes:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]), sizes
+        held, missing = ([batch.slice(cut)], at - batch.num_rows) if cut < batch.num_rows else ([], 0)
+
+
+def _one_series(table, models, dense_columns):
+    """A wide series as rows of fits, or the moments of any other as a stack of one."""
+    row_models = [m for m in ROW_MODELS if m in models]
+    n = table.num_rows
+    x = _matrix(table["x"], n)
+    mask = table["wanted"][0].as_py() if "wanted" in table.column_names else -1
+    levels, at, column = _level_pairs(table)
+    targets = np.column_stack([table[c].to_numpy() for c in (TARGET, "detrended")])
+    d, series_id = x.shape[1] + len(levels), [table[KEY][0].as_py()]
+    if levels and d > dense_columns:
+        weights, rounds = _wide_fits(wide.Design(x, at, column, len(levels)), targets, linear_order(models), mask)
+        return _fitted(series_id, [n], d, mask, [levels], weights[None], np.array([rounds])), None
+    if levels:
+        ones = np.zeros((n, len(levels)))
+        ones[at, column] = 1.0
+        x = np.hstack([x, ones])
+    one = {"series_id": series_id, "n": np.array([n]), "levels": [levels]}
+    return None, (d, mask, one | {c: np.asarray(v) for c, v in _dense_moments(x, targets, row_models, mask).items()})
+
+
+def _many_series(table, sizes):
+    """(d, mask, moments) of series without category columns, stacked by width."""
+    sizes, lists = np.array(sizes), table["x"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    width = np.diff(lists.offsets.to_numpy())
+    flat = np.asarray(lists.flatten().to_numpy(zero_copy_only=False))
+    first = np.cumsum(sizes) - sizes
+    targets = np.column_stack([table[c].to_numpy() for c in (TARGET, "detrended")])
+    names = table[KEY].take(pa.array(first)).to_pylist()
+    masks = table["wanted"].to_numpy()[first] if "wanted" in table.column_names else np.full(len(sizes), -1)
+    for d in np.unique(width[first]):
+        own = width == d
+        x = flat[np.repeat(own, width)].reshape(-1, d)
+        place = np.cumsum(own) - 1
+        for mask in np.unique(masks):
+            these = np.flatnonzero((width[first] == d) & (masks == mask))
+            these, at = these[np.argsort(sizes[these], kind="stable")[::-1]], 0
+            while at < len(these):  # alike lengths side by side, in slices of bounded size
+                some = these[at:at + max(1, CELLS // int(d * max(d, sizes[these[at]])))]
+                at += len(some)
+                n = sizes[some]
+                step = np.arange(n[0])
+                real = step < n[:, None]
+                rows = np.where(real, first[some, None] + step, first[some, None])
+                yield int(d), int(mask), {"series_id": [names[i] for i in some], "n": n, "levels": [[]] * len(some),
+                                          **_stacked_moments(x[place[rows]], targets[rows], real, n)}
+
+
+def _stacked_moments(x, y, real, n):
+    """Centred moments of both targets for series of up to ``x.shape[1]`` rows, those that are ``real``."""
+    x[~real], y[~real] = 0.0, 0.0
+    per = n[:, None].astype(float)
+    centre, mean_y = x.sum(axis=1) / per, y.sum(axis=1) / per
+    xc, yc = x - centre[:, None], y - mean_y[:, None]
+    xc[~real], yc[~real] = 0.0, 0.0
+    spread = np.sqrt((xc * xc).sum(axis=1) / per)
+    side = xc.transpose(0, 2, 1)
+    return {"mean_x": centre, "scale_x": np.where(_is_flat(spread, centre), 1.0, spread), "mean_y": mean_y,
+            "gram": np.matmul(side, xc), "cross": np.matmul(side, yc), "yy": (yc ** 2).sum(axis=1),
+            "row_weights": np.zeros((len(n), 0)), "row_rounds": np.zeros((len(n), 0), int)}
 
 
 def _dense_moments(x, targets, row_models, mask):
@@ -194,26 +263,12 @@ def _dense_moments(x, targets, row_models, mask):
             rounds.append(done)
     return {
         "mean_x": [centre], "scale_x": [scale], "mean_y": [mean_y],
-        "gram": [(xc.T @ xc).ravel()], "cross": [(xc.T @ yc).ravel()],
+        "gram": [xc.T @ xc], "cross": [xc.T @ yc],
         "yy": [(yc ** 2).sum(axis=0)],
         "row_weights": [np.concatenate(rows) if rows else np.zeros(0)], "row_rounds": [rounds],
     }
 
 
-def moments(vectors: DataFrame, models=LINEAR_MODELS) -> DataFrame:
-    """Centred moments per series of ``(series_id, x, y, detrended)`` rows.
-
-    Optional columns: ``levels`` (names of a row's category levels) and ``wanted`` (a mask of
-    models, equal on all rows of a series; the others are not fitted).
-    """
-    extra = [c for c in ("levels", "wanted") if c in vectors.columns]
-    return (
-        vectors.select(KEY, TARGET, "detrended", "x", *extra)
-        .groupBy(KEY)
-        .applyInArrow(_moments_of(models, DENSE_COLUMNS), _MOMENTS)
-    )
-
-
 def _solve_stack(names, n, mean_x, scale, mean_y, gram, cross, yy):
     """Weights (S, models, 2 targets, d + 1) of every quadratic model for one stack, and rounds (S, models, 2)."""
     s, d = mean_x.shape
@@ -229,12 +284,14 @@ def _solve_stack(names, n, mean_x, scale, mean_y, gram, cross, yy):
         elif kind == "scaled_ridge":
             w = kernels.ridge(scaled_gram, scaled_cross, p["alpha"] * n) / scale[:, :, None]
         elif kind == "elastic_net":
-            # Both targets of a series are separate problems on the same matrix.
-            w = kernels.elastic_net(
-                np.repeat(scaled_gram / per_row, 2, axis=0),
-                np.swapaxes(scaled_cross / per_row, 1, 2).reshape(2 * s, d),
-                p["alpha"] * p["ratio"], p["alpha"] * (1 - p["ratio"]))
-            w = np.swapaxes(w.reshape(s, 2, d), 1, 2) / scale[:, :, None]
+            # Both targets of a series are separate problems on the same matrix, if they differ.
+            side = np.swapaxes(scaled_cross / per_row, 1, 2)
+            other = np.flatnonzero((side[:, 0] != side[:, 1]).any(axis=1))
+            w = kernels.elastic_net(scaled_gram / per_row, np.concatenate([side[:, 0], side[other, 1]]),
+                                    p["alpha"] * p["ratio"], p["alpha"] * (1 - p["ratio"]), of=np.r_[np.arange(s), other])
+            both = np.stack([w[:s], w[:s]], axis=2)
+            both[other, :, 1] = w[s:]
+            w = both / scale[:, :, None]
         else:
             logs = [[[], []] for _ in range(s)]
             w = np.stack([
@@ -260,45 +317,69 @@ def _solve_guarded(names, *arrays):
         return tuple(np.concatenate(part) for part in zip(*alone))
 
 
-def _solve(names):
-    def solved(g, d, mask):
-        own = [m for m in names if has(mask, m)]
-        s = len(g)
-        stacked = {c: np.stack(g[c].to_numpy()) for c in
-                   ("mean_x", "scale_x", "mean_y", "gram", "cross", "yy", "row_weights", "row_rounds")}
-        weights, rounds = np.full((s, len(names), 2, d + 1), np.nan), np.zeros((s, len(names), 2), int)
-        if own:
-            at = [names.index(m) for m in own]
-            weights[:, at], rounds[:, at] = _solve_guarded(
-                own, g["n"].to_numpy(), stacked["mean_x"], stacked["scale_x"],
-                stacked["mean_y"], stacked["gram"].reshape(s, d, d),
-                stacked["cross"].reshape(s, d, 2), stacked["yy"])
-        weights = np.concatenate([weights.reshape(s, -1), stacked["row_weights"]], axis=1)
-        rounds = np.concatenate([rounds.reshape(s, -1), stacked["row_rounds"]], axis=1)
-        return pd.DataFrame({"series_id": g["series_id"], "n": g["n"], "d": d, "wanted": mask, "levels": g["levels"],
-                             "weights": list(weights), "rounds": list(rounds.astype(np.int32))})
+def _solve(names, d, mask, stack):
+    """Rows of fits of series that have one width and want the same models, from their moments."""
+    own = [m for m in names if has(mask, m)]
+    s = len(stack["n"])
+    weights, rounds = np.full((s, len(names), 2, d + 1), np.nan), np.zeros((s, len(names), 2), int)
+    if own:
+        at = [names.index(m) for m in own]
+        weights[:, at], rounds[:, at] = _solve_guarded(own, *(stack[c] for c in _STACKED[:-2]))
+    weights = np.concatenate([weights.reshape(s, -1), stack["row_weights"]], axis=1)
+    rounds = np.concatenate([rounds.reshape(s, -1), stack["row_rounds"]], axis=1)
+    return _fitted(stack["series_id"], stack["n"], d, mask, stack["levels"], weights, rounds)
+
+
+def _fits(models, dense_columns):
+    """Map stage from rows that lie series by series to one row of fits per series."""
+    names = [m for m in MOMENT_MODELS if m in models]
+    alone = any(m in ROW_MODELS for m in models)
+
+    def joined(parts):
+        stack = {c: np.concatenate([p[c] for p in parts]) for c in _STACKED}
+        return stack | {c: [v for p in parts for v in p[c]] for c in ("series_id", "levels")}
 
     def run(batches):
-        for pdf in batches:
-            ready = pdf["weights"].notna()
-            if ready.any():  # wide series, solved where their rows were
-                yield pdf.loc[ready, ["series_id", "n", "d", "wanted", "levels", "weights", "rounds"]]
-            # Series of one width are solved as one stack, in slices of bounded size.
-            for (d, mask), same in pdf[~ready].groupby(["d", "wanted"], sort=False):
-                for at in range(0, len(same), STACK):
-                    yield solved(same.iloc[at:at + STACK], d, mask)
+        waiting, cells = {}, 0  # moments by width and mask, solved once there are enough
+        for table, sizes in _whole_series(batches):
+            if alone or "levels" in table.column_names:
+                ends = np.cumsum(sizes).tolist()
+                found = (_one_series(table.slice(e - n, n), models, dense_columns) for e, n in zip(ends, sizes))
+            else:
+                found = ((None, part) for part in _many_series(table, sizes))
+            for ready, part in found:
+                if ready is not None:  # a wide series, solved where its rows were
+                    yield ready
+                    continue
+                d, mask, moments = part
+                parts = waiting.setdefault((d, mask), [])
+                parts.append(moments)
+                cells += moments["gram"].size
+                if sum(len(p["n"]) for p in parts) * d * d >= min(CELLS, STACK * d * d):
+                    cells -= sum(p["gram"].size for p in waiting.pop((d, mask)))
+                    yield _solve(names, d, mask, joined(parts))
+                elif cells > 4 * CELLS:
+                    for (d, mask), parts in waiting.items():
+                        yield _solve(names, d, mask, joined(parts))
+                    waiting, cells = {}, 0
+        for (d, mask), parts in waiting.items():
+            yield _solve(names, d, mask, joined(parts))
 
     return run
 
 
 def fit_linear(vectors: DataFrame, models=LINEAR_MODELS) -> DataFrame:
-    """One row per series: ``weights`` = models x (raw, detrended) x (d weights, intercept).
+    """One row per series of ``(series_id, x, y, detrended)`` rows: ``weights`` = models x (raw, detrended) x (d weights, intercept).
 
+    Optional columns: ``levels`` (names of a row's category levels) and ``wanted`` (a mask of
+    models, equal on all rows of a series; the others are not fitted).
     Models follow ``linear_order(models)``.  The last of the d columns are the series' ``levels``.
     ``rounds`` has one entry per model and target: 0 was not wanted, a negative one did not converge.
     """
-    names = [m for m in MOMENT_MODELS if m in models]
-    return moments(vectors, models).mapInPandas(_solve(names), _WEIGHTS)
+    extra = [c for c in ("levels", "wanted") if c in vectors.columns]
+    # The count brings the rows of a series together where they are not yet, and tells a task when it has them all.
+    rows = vectors.select(KEY, TARGET, "detrended", "x", *extra, F.count(F.lit(1)).over(by_series()).alias("rows"))
+    return rows.mapInArrow(_fits(models, DENSE_COLUMNS), _WEIGHTS)
 
 
 def coefficients(weights: DataFrame, models=LINEAR_MODELS) -> DataFrame:
