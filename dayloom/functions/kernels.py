@@ -76,14 +76,13 @@ def ridge(gram, cross, alpha):
     return np.linalg.solve(gram + np.reshape(alpha, (-1, 1, 1)) * eye, cross)
 
 
-def _support(on):
-    """Columns of each problem's own support, filled up to the widest, and which of them are real."""
+def _support(on, none):
+    """Columns of each problem's own support, filled up to the widest with the column ``none``."""
     size = on.sum(axis=1)
     row, column = np.nonzero(on)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    at = np.zeros((len(on), max(int(size.max()), 1)), dtype=np.int64)
-    at[row, place] = column
-    return at, np.arange(at.shape[1]) < size[:, None]
+    at = np.full((len(on), max(int(size.max()), 1)), none)
+    at[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = column
+    return at
 
 
 def elastic_net(gram, cross, l1, l2, rounds=None, of=None):
@@ -97,24 +96,28 @@ def elastic_net(gram, cross, l1, l2, rounds=None, of=None):
     with ``of``, the place of each problem's matrix, several problems may share one.
     """
     s, d = cross.shape
+    # a last column of zeros fills up supports that are smaller than others
+    wider, c = np.zeros((len(gram), d + 1, d + 1)), np.zeros((s, d + 1))
+    wider[:, :d, :d], c[:, :d] = gram, cross
+    entries = wider.reshape(-1)
     result, todo = np.zeros((s, d)), np.arange(s)
-    w, sign = np.zeros((s, d)), np.zeros((s, d))
-    banned = np.zeros((s, d), dtype=bool)   # entries that cannot move off zero for now
+    w, sign = np.zeros((s, d + 1)), np.zeros((s, d + 1))
+    banned = np.zeros((s, d + 1), dtype=bool)   # entries that cannot move off zero for now
     settled = np.ones(s, dtype=bool)
     floor = 1e-12 * np.abs(cross).max(axis=1)
     of = np.arange(s) if of is None else of
     jitter = 1e-13 * np.einsum("sjj->sj", gram).max(axis=1)
-    c, slope = cross, cross
+    slope = c
     for _ in range(rounds or 1000 + 50 * d):
         if not len(todo):
             return result
         excess = np.where((sign != 0) | banned, -np.inf, np.abs(slope))
-        entrant = excess.argmax(axis=1)
+        entrant = excess[:, :d].argmax(axis=1)
         rows = np.arange(len(todo))
         open_ = excess[rows, entrant] > l1 * (1 + 1e-10) + floor
         done = settled & ~open_
         if done.any():
-            result[todo[done]] = w[done]
+            result[todo[done]] = w[done, :d]
             keep = ~done
             todo, of, c, w, sign = todo[keep], of[keep], c[keep], w[keep], sign[keep]
             banned, settled, floor = banned[keep], settled[keep], floor[keep]
@@ -123,15 +126,14 @@ def elastic_net(gram, cross, l1, l2, rounds=None, of=None):
                 break
         entering = rows[settled]
         sign[entering, entrant[settled]] = np.sign(slope[entering, entrant[settled]])
-        at, real = _support(sign != 0)
+        at = _support(sign != 0, d)
         own = rows[:, None], at
-        wide = gram[of[:, None], at]
-        lhs = np.take_along_axis(wide, at[:, None, :], axis=2) * (real[:, :, None] & real[:, None, :])
+        lines = of[:, None] * (d + 1) + at
+        lhs = entries.take(lines[:, :, None] * (d + 1) + at[:, None, :])
         diagonal = np.arange(at.shape[1])
-        lhs[:, diagonal, diagonal] += np.where(real, l2 + jitter[of][:, None], 1.0)
-        signed = np.where(real, sign[own], 0.0)
-        exact = np.linalg.solve(lhs, np.where(real, c[own] - l1 * signed, 0.0)[:, :, None])[:, :, 0]
-        was = np.where(real, w[own], 0.0)
+        lhs[:, diagonal, diagonal] += np.where(at < d, l2 + jitter[of][:, None], 1.0)
+        signed, was = sign[own], w[own]
+        exact = np.linalg.solve(lhs, (c[own] - l1 * signed)[:, :, None])[:, :, 0]
         leaving = (signed != 0) & (exact * signed <= 0)
         gap = was - exact
         step = np.where(leaving, was / np.where(gap == 0, 1.0, gap), np.inf)
@@ -142,12 +144,12 @@ def elastic_net(gram, cross, l1, l2, rounds=None, of=None):
         now = was + length[:, None] * (exact - was)
         now[rows[blocked], first[blocked]] = 0.0
         leaver = at[rows, first]
-        w[rows[:, None].repeat(at.shape[1], axis=1)[real], at[real]] = now[real]
+        w[own] = now
         sign[rows[blocked], leaver[blocked]] = 0.0
         banned[~stuck] = False
         banned[rows[stuck], leaver[stuck]] = True
         settled = ~blocked | stuck
-        slope = c - np.matmul(now[:, None, :], wide)[:, 0] - l2 * w
+        slope = c - np.matmul(now[:, None, :], wider.reshape(-1, d + 1).take(lines, axis=0))[:, 0] - l2 * w
     result[todo] = np.nan
     return result
 
